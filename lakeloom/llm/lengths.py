@@ -86,11 +86,12 @@ def limits(hist: DataFrame, by: list[str] = ()) -> DataFrame:
         F.sum("_d").over(every).alias("docs_total"),
         F.sum("_t").over(every).alias("tokens_total"),
     )
-    same = [hist[c].eqNullSafe(rows[c]) for c in [*by, "_bucket"]]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    joined = hist.join(rows, condition).select(*(hist[c] for c in by), hist["n_tokens"], hist["n_docs"], hist["_bucket"].alias("_bucket"), hist["_tokens"].alias("_tokens"), "_d_above", "_t_above", "docs_total", "tokens_total")
+    names = {c: f"_r_{c}" for c in [*by, "_bucket"]}
+    rows = rows.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for c, r in names.items():
+        condition = condition & F.col(c).eqNullSafe(F.col(r))
+    joined = hist.join(rows, condition).drop(*names.values())
     within = Window.partitionBy(*by, "_bucket").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
     longer: Column = F.coalesce(F.sum("n_docs").over(within), zero) + F.col("_d_above")
     tokens: Column = F.coalesce(F.sum("_tokens").over(within), zero) + F.col("_t_above")
