@@ -22,7 +22,7 @@ from lakeloom.llm.common import small_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this public vocabulary splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPAN = 1024  # lengths of one bucket of the two-level suffix sums
+SPAN = 64  # lengths of one bucket of the two-level suffix sums
 
 _encoders: dict[tuple[str, str], object] = {}
 
@@ -67,7 +67,7 @@ def limits(hist: DataFrame, by: list[str] = ()) -> DataFrame:
     tokens_cut (total when every document is cut at L); share_within (documents of at most L
     tokens over all: L is the q-quantile for the smallest L with share_within >= q).
 
-    Sums run over buckets of 1024 lengths first, then within a bucket, so no task sees more
+    Sums run over buckets of 64 lengths first, then within a bucket, so no task sees more
     than one bucket's lengths or one row for each bucket.
     """
     by = list(by)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import lengths, telephony
+from pyspark.sql import functions as F
+
+from lakeloom.llm import lengths, mixing, rules, telephony
 from lakeloom.llm.common import documents
 
 
@@ -18,5 +20,19 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(lengths.token_lengths(documents(spark, sf_dir))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_telephony_audio, op5_length_histogram)}
-ORACLES: dict[str, str] = {}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir), ["doc_id"])
+
+
+def op9_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the order of training: by the time of each document's first copy, those not taken last."""
+    out = mixing.mix(documents(spark, sf_dir))
+    first = F.col("time_1").isNull()
+    out = out.repartitionByRange(first, "time_1", "doc_id").sortWithinPartitions(first, "time_1", "doc_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("time_1", "time_2")})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op4_telephony_audio, op5_length_histogram, op7_quality_rules, op9_mixing_curriculum)
+}
+ORACLES: dict[str, str] = {"op7_quality_rules": rules.oracle(), "op9_mixing_curriculum": mixing.oracle()}
