@@ -8,10 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lengths, mixing, rules, telephony
+from lakeloom.llm import lengths, mixing, pieces, quality, rules, telephony, toxicity
 from lakeloom.llm.common import documents
 
 
+def remainder(n: int):
+    """crc32 of the document id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    machine = quality.fit(docs, labels(spark, sf_dir), remainder(4) != 2, metadata=("n_chars",))
+    return quality.score(docs, machine, metadata=("n_chars",)).withColumn("held_out", remainder(4) == 2)
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, labels(spark, sf_dir), remainder(3) != 1)
+    return toxicity.score(docs, model).withColumn("held_out", remainder(3) == 1)
+
+
+def op3_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir))
+
+
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.payload_features(documents(spark, sf_dir))
 
@@ -33,6 +58,15 @@ def op9_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_telephony_audio, op5_length_histogram, op7_quality_rules, op9_mixing_curriculum)
+    f.__name__: f
+    for f in (
+        op1_quality_machine,
+        op2_counterfactual_toxicity,
+        op3_piece_transducer,
+        op4_telephony_audio,
+        op5_length_histogram,
+        op7_quality_rules,
+        op9_mixing_curriculum,
+    )
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.oracle(), "op9_mixing_curriculum": mixing.oracle()}
