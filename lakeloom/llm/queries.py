@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lengths, mixing, pieces, quality, rules, telephony, toxicity
+from lakeloom.llm import lengths, mixing, pieces, quality, rules, surrogates, telephony, toxicity
 from lakeloom.llm.common import documents
 
 
@@ -57,6 +57,11 @@ def op9_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("time_1", "time_2")})
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.surrogates(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.size("_types").cast("long").alias("n_entities"), F.array_join(F.array_sort("_types"), ",").alias("types"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_length_histogram,
         op7_quality_rules,
         op9_mixing_curriculum,
+        op10_pii_surrogates,
     )
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": rules.oracle(), "op9_mixing_curriculum": mixing.oracle()}
