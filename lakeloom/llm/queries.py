@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lengths, mixing, pieces, quality, rules, surrogates, telephony, toxicity
+from lakeloom.llm import lengths, mixing, pieces, quality, repeats, rules, surrogates, telephony, toxicity
 from lakeloom.llm.common import documents
 
 
@@ -45,6 +45,10 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(lengths.token_lengths(documents(spark, sf_dir))))
 
 
+def op6_super_kmer_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir), ["doc_id"])
 
@@ -70,9 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_piece_transducer,
         op4_telephony_audio,
         op5_length_histogram,
+        op6_super_kmer_repeats,
         op7_quality_rules,
         op9_mixing_curriculum,
         op10_pii_surrogates,
     )
 }
-ORACLES: dict[str, str] = {"op7_quality_rules": rules.oracle(), "op9_mixing_curriculum": mixing.oracle()}
+ORACLES: dict[str, str] = {"op6_super_kmer_repeats": repeats.ORACLE, "op7_quality_rules": rules.oracle(), "op9_mixing_curriculum": mixing.oracle()}
