@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lengths, mixing, pieces, quality, repeats, rules, surrogates, telephony, toxicity
+from lakeloom.llm import lengths, mixing, near, pieces, quality, repeats, rules, surrogates, telephony, toxicity
 from lakeloom.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir), ["doc_id"])
 
 
+def op8_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(documents(spark, sf_dir))
+
+
 def op9_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the order of training: by the time of each document's first copy, those not taken last."""
     out = mixing.mix(documents(spark, sf_dir))
@@ -76,8 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_length_histogram,
         op6_super_kmer_repeats,
         op7_quality_rules,
+        op8_adaptive_prefix_join,
         op9_mixing_curriculum,
         op10_pii_surrogates,
     )
 }
-ORACLES: dict[str, str] = {"op6_super_kmer_repeats": repeats.ORACLE, "op7_quality_rules": rules.oracle(), "op9_mixing_curriculum": mixing.oracle()}
+ORACLES: dict[str, str] = {"op6_super_kmer_repeats": repeats.ORACLE, "op7_quality_rules": rules.oracle(), "op8_adaptive_prefix_join": near.ORACLE, "op9_mixing_curriculum": mixing.oracle()}
