@@ -1,15 +1,19 @@
-"""Every registered query, with the SQL that an independent engine runs for the same rows."""
+"""Every registered query of the library, without the llm subpackage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lakeloom.functions import scalar, tables as table_functions
+from lakeloom.operators import aggregates, corpus, joins, keyed, payloads, search, sets, star, web, windows
+from lakeloom.plans.registry import Query
+from lakeloom.sources import formats
+from lakeloom.streaming import events
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (star, web, payloads, corpus, keyed, search, joins, aggregates, windows, sets, scalar, table_functions, formats, events)
 
-from lakeloom.operators import star
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (star,):
-    QUERIES |= _module.QUERIES
-    ORACLES |= _module.ORACLES
+for _module in MODULES:
+    if _clash := QUERIES.keys() & _module.registry.queries.keys():
+        raise ValueError(f"registered twice: {sorted(_clash)}")
+    QUERIES |= _module.registry.queries
+    ORACLES |= _module.registry.oracles
