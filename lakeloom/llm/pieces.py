@@ -120,7 +120,8 @@ class Transducer:
         inner = {c for p in longer for c in p}
         if not inner <= self.ids.keys():
             raise ValueError("a character of a longer piece is no piece itself")
-        alone = [chr(c) for c in range(128) if chr(c) not in inner and c != 32]
+        # A run of uncovered characters is one unknown piece where there is no byte fallback, so it isn't cut.
+        alone = [chr(c) for c in range(128) if chr(c) not in inner and c != 32 and (self.fallback or chr(c) in self.ids)]
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in longer)
         cut = "".join(map(re.escape, alone))
         self.parts = re.compile(f"[{cut}]| *[^ {cut}]+| +" if cut else " *[^ ]+| +").findall if not self.crosses else (lambda t: [t] if t else [])

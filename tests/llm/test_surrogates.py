@@ -1,0 +1,110 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeloom.llm import surrogates as s
+from lakeloom.llm.queries import QUERIES
+
+KEY = b"a key of tests"
+
+
+def test_every_type_is_found_and_replaced_in_its_format():
+    text = (
+        'Mail re.46@mail8.example.com, call +1 (523) 555-1055, host 248.167.124.71, card 4111 1111 1111 1111, number 9807915762804490, '
+        'iban DE89 3704 0044 0532 0130 00, ssn 078-05-1120, token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b". Mrs. Mary Smith came. Version 2.0, BY-NC 4.0.'
+    )
+    found = [f[2] for f in s.find(text)]
+    assert found == ["email", "phone", "ip", "card", "card", "iban", "ssn", "secret", "person"]
+    new, types = s.replaced(text, KEY, {})
+    assert types == found and [f[2] for f in s.find(new)] == found
+    for begin, end, _, _ in s.find(text):
+        assert text[begin:end] not in new
+    shape = lambda t: re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", t))
+    assert shape(new.split("call ")[1][:17]) == "+9 (999) 999-9999" and new.split("call ")[1].startswith("+1")
+    assert s._luhn("".join(c for c in new.split("card ")[1][:19] if c.isdigit()))
+    assert not s._luhn(new.split("number ")[1][:16]) or s._luhn("9807915762804490")
+    assert s._iban_is_right(new.split("iban ")[1][:27].replace(" ", ""))
+    assert all(0 <= int(x) < 256 for x in new.split("host ")[1].split(",")[0].split("."))
+    assert new.endswith("Version 2.0, BY-NC 4.0.")
+
+
+def test_gender_script_and_case_stay():
+    for text, names in (("Mr. John x", s.GIVEN["en m"]), ("Frau Greta x", s.GIVEN["de f"]), ("Señora Marta x", s.GIVEN["es f"])):
+        assert s.replaced(text, KEY, {})[0].split(" ")[1] in names
+    new = s.replaced("Dr. Αλέξης Ивановна", KEY, {})[0]
+    assert re.fullmatch(r"Dr\. [Α-Ωα-ωάέήίόύώϊϋΐΰ]+ [А-Яа-я]+", new) and "Ивановна" not in new
+    upper = s.replaced("WRITE TO NT.26@MAIL6.EXAMPLE.COM!!", KEY, {})[0]
+    lower = s.replaced("write to nt.26@mail6.example.com!!", KEY, {})[0]
+    assert upper == lower.upper() and upper != lower
+
+
+def test_one_entity_has_one_surrogate_however_it_is_written():
+    a, b = s.replaced("+1 (523) 555-1055 and 523-555-1055", KEY, {})[0].split(" and ")
+    assert re.sub(r"\D", "", a)[1:] == re.sub(r"\D", "", b)
+    assert s.surrogate("ip", "1.2.3.4", KEY) == s.surrogate("ip", "1.2.3.4", KEY) != s.surrogate("ip", "1.2.3.4", b"other")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
+def test_permutations_are_permutations(size):
+    assert sorted(s.permuted(v, size, KEY, "t") for v in range(size)) == list(range(size))
+
+
+def test_distinct_entities_stay_distinct():
+    r = random.Random(2)
+    for kind, make in (
+        ("email", lambda: f"{r.choice('abc')}{r.randrange(100)}@x{r.randrange(10)}.org"),
+        ("card", lambda: f"{r.randrange(10**13):013d}"),
+        ("ip", lambda: ".".join(str(r.randrange(256)) for _ in range(4))),
+        ("secret", lambda: f"{r.randrange(16**8):08x}"),
+        ("person", lambda: f"m:{r.choice(['john', 'peter', 'paul'])} {r.choice('bcd')}{r.choice('aei')}{r.choice('nrt')}{r.choice('ou')}"),
+    ):
+        entities = {make() for _ in range(500)}
+        assert len({s.surrogate(kind, e, KEY) for e in entities}) == len(entities)
+
+
+def test_collisions_are_found_and_resolved(spark):
+    """Surrogates that are entities themselves, or meet each other, get further attempts."""
+    first = s.surrogate("ip", "1.2.3.4", KEY)
+    mentions = spark.createDataFrame([("ip", "1.2.3.4"), ("ip", first), ("ip", "9.9.9.9"), ("card", "1234567890123")], "type string, entity string")
+    moved = {(r.type, r.entity): r.attempt for r in s.collisions(mentions, KEY).collect()}
+    assert moved == {("ip", "1.2.3.4"): 1}
+
+    def meeting(rows, key):  # all first attempts meet; later ones don't
+        new = F.when(F.col("attempt") == 0, F.lit("same")).otherwise(F.concat("entity", F.lit("-"), F.col("attempt").cast("string")))
+        return rows.select("type", "entity", "attempt", new.alias("surrogate"))
+
+    moved = {r.entity: r.attempt for r in s.collisions(mentions.filter("type = 'ip'"), KEY, meeting).collect()}
+    assert len(moved) == 2 and set(moved.values()) == {1}
+    assert s.collisions(mentions.filter("type = 'card'"), KEY) is None
+
+
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_resolved_collisions_reach_the_texts(spark, broadcast):
+    first = s.surrogate("ip", "1.2.3.4", s.KEY)
+    df = spark.createDataFrame([(1, "at 1.2.3.4 x"), (2, f"at {first} x"), (3, "at 1.2.3.4 y"), (4, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in s.surrogates(df, broadcast=broadcast).collect()}
+    assert first not in out[1] and out[1][3:-2] == out[3][3:-2] == s.surrogate("ip", "1.2.3.4", s.KEY, 1)
+    assert out[4] is None and "1.2.3.4" not in " ".join(filter(None, out.values()))
+
+
+def test_query_against_brute_force(spark, medium):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
+    rows = QUERIES["op10_pii_surrogates"](spark, medium).collect()
+    assert len(rows) == len(texts)
+    hard = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b[0-9a-f]{40}\b", re.I)
+    for r in rows:
+        old = set(hard.findall(texts[r.doc_id]))
+        assert not old & set(hard.findall(r.text))
+        assert (r.n_entities > 0) == (r.text != texts[r.doc_id]) == bool(s.find(texts[r.doc_id]))
+        assert r.text == s.replaced(texts[r.doc_id], s.KEY, {})[0]
+
+
+def test_messy_and_empty(messy, empty):
+    out = s.surrogates(messy)
+    assert out.columns == [*messy.columns, "_types"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[2].text is None and rows[3].text == "" and rows[None]._types == ["email", "phone"]
+    assert rows[7].text == "one two" and len(rows[5].text) == 150_000
+    assert s.surrogates(empty).count() == 0
