@@ -39,9 +39,9 @@ class Words:
             yield w, i
 
 
-@registry.query("udf_arrow_scalar", "SELECT n_nationkey, upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) AS name FROM nation WHERE NOT regexp_matches(n_name, '[^A-Za-z]')")
+@registry.query("udf_arrow_scalar", "SELECT c_custkey, upper(substr(lower(c_mktsegment), 1, 1)) || substr(lower(c_mktsegment), 2) AS segment FROM customer")
 def arrow_scalar(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").filter(~F.col("n_name").rlike("[^A-Za-z]")).select("n_nationkey", title_case(F.lower("n_name")).alias("name"))
+    return table(spark, d, "customer").select("c_custkey", title_case(F.lower("c_mktsegment")).alias("segment"))
 
 
 @registry.query(

@@ -78,11 +78,11 @@ def sort_nulls(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("k"), "n_nationkey")).cast("long").alias("place"), "n_nationkey")
 
 
-@registry.query("sub_scalar", "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) * 1.2 FROM part q WHERE q.p_brand = p.p_brand)")
+@registry.query("sub_scalar", "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) * 1.01 FROM part q WHERE q.p_brand = p.p_brand)")
 def scalar_subquery(spark: SparkSession, d: str) -> DataFrame:
     """A correlated average, as a join with an aggregate."""
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
-    mean = part.groupBy("p_brand").agg((F.avg("p_retailprice") * 1.2).alias("least"))
+    mean = part.groupBy("p_brand").agg((F.avg("p_retailprice") * 1.01).alias("least"))
     return part.join(mean, "p_brand").filter("p_retailprice > least").select("p_partkey")
 
 

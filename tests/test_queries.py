@@ -6,13 +6,17 @@ from compare import rows_of, rows_of_sql
 from lakeloom.plans import catalog
 
 
+SELECTIVE = {"join_as_of", "join_self"}  # no rows on the smallest tables
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_query_equals_sql(spark, small, name):
+def test_query_equals_sql(spark, small, medium, name):
+    small = medium if name in SELECTIVE else small
     names, rows = rows_of(catalog.QUERIES[name](spark, small))
     other_names, other = rows_of_sql(catalog.ORACLES[name], small)
     assert names == other_names
     assert rows == other
-    assert rows or name in ("join_as_of",)
+    assert rows
 
 
 def test_every_oracle_has_a_query():
