@@ -76,9 +76,8 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk_bytes: int) -> DataFrame:
     """BASE rows: for sets that may have a partner also print, prefix and shingles; null for others."""
-    n_chunks = px.number_of_chunks(df.select(key, column), chunk_bytes)
-    size = int(df.select(key, column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    bits = min(60, max(34, size.bit_length() + 7))
+    n_chunks = px.number_of_chunks(df, chunk_bytes)
+    bits = min(60, max(34, px.stored_size(df).bit_length() + 7))
     drop = np.uint64(64 - bits)
     docs = px.chunked(df, n_chunks, key, column)
 
@@ -311,11 +310,12 @@ def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4
 def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80, **options) -> DataFrame:
     """The input's rows and columns with one document of each class: the one whose id names it.
 
-    Rows that share that id are told apart by nothing, so one of them stays.
+    Rows that share that id are told apart by nothing, so one of them stays. A row without an id
+    stays only if its class has no id at all.
     """
     names = df.columns
     found = classes(df, key, column, n, percent, **options)
-    stay = found.filter(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
+    stay = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
     kept = df.join(stay, df[key].cast("long").eqNullSafe(stay["_stay"])).select(*(df[c] for c in names))
     return kept.dropDuplicates([key])
 

@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import utf8
 
 ROW = "chunk int, bucket int, packed binary"
-#: Bytes of stored input for each chunk.
-CHUNK_BYTES = 4_000_000
+#: Bytes of stored input for each chunk, up to so many chunks; beyond them chunks grow, up to the largest.
+#: Every chunk may send a row to every bucket, so their number, not only their size, needs a bound.
+CHUNK_BYTES, CHUNKS, LARGEST_BYTES = 8_000_000, 1024, 64_000_000
+#: A small input is dealt to so many chunks, if each then has half a megabyte.
+SPREAD, LEAST_BYTES = 12, 500_000
 NO_ID = np.iinfo(np.int64).max  # a null id: no document's id is greater
 
 
@@ -82,10 +85,14 @@ def cut(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(buckets[b]), int(b), int(e)
 
 
+def stored_size(df: DataFrame) -> int:
+    """The planner's estimate of the stored size, which needs no pass over the data."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def number_of_chunks(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    """By the planner's estimate of the stored size, which needs no pass over the data."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return int(min(1_000_000, max(1, -(-size // chunk_bytes))))
+    size = stored_size(df)
+    return int(min(1_000_000, max(1, -(-size // LARGEST_BYTES), min(CHUNKS, -(-size // chunk_bytes)), min(SPREAD, size // LEAST_BYTES))))
 
 
 def chunked(df: DataFrame, n: int, key: str, column: str) -> DataFrame:

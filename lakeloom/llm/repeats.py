@@ -103,7 +103,7 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 def repeats(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = WINDOW, m: int = RUN, hot: int = HOT, chunk_bytes: int = px.CHUNK_BYTES, texts: bool = False) -> DataFrame:
     """One row for each row of the input: key long, n_words, n_removed, kept_sha256, and kept (the text) if asked for."""
-    n = px.number_of_chunks(df.select(key, column), chunk_bytes)
+    n = px.number_of_chunks(df, chunk_bytes)
     docs = px.chunked(df, n, key, column)
 
     def minimisers(table: pa.Table) -> pa.Table:
