@@ -37,8 +37,8 @@ from lakeloom.llm.common import chunks, joined, mix, spans, window_hashes, word_
 from lakeloom.llm.components import components
 
 PART = 1_500_000
-#: Shingles of a group's blocks that one task holds (two blocks each).
-BLOCK = 4_000_000
+#: Shingles of a block; a task holds two blocks, and about ten numbers for each shingle.
+BLOCK = 1_000_000
 #: Cost of counting one shingle of a candidate's overlap, where reading one list entry costs 1.
 VERIFY = 0.5
 BASE = "id long, n_shingles long, print_a long, print_b long, prefix array<long>, shingles binary"
