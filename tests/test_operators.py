@@ -109,3 +109,40 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThan(o_orderdate" in plan
     plan = star.star_revenue(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_tax" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("hint,node", [("broadcast", "BroadcastHashJoin"), ("merge", "SortMergeJoin"), ("shuffle_hash", "ShuffledHashJoin")])
+def test_join_strategies_by_hint(spark, small, hint, node):
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    customer = spark.read.parquet(f"{small}/customer.parquet").hint(hint)
+    df = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    assert node in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == orders.count()
+
+
+def test_top_k_and_group_limits_stay_in_their_tasks(spark, small):
+    assert "TakeOrderedAndProject" in star.top_suppliers(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in star.top_orders(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partition_filter_prunes_folders(spark, small):
+    plan = formats.partitioned(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(o_orderstatus" in plan
+
+
+def test_paged_source_partitions_and_refuses_bad_options(spark):
+    spark.dataSource.register(formats.PagedSource)
+    df = spark.read.format("paged").option("rows", 45).option("page", 20).load()
+    assert df.rdd.getNumPartitions() == 3 and df.count() == 45
+    assert spark.read.format("paged").option("rows", 0).load().count() == 0
+    with pytest.raises(Exception, match="page must be positive"):
+        spark.read.format("paged").option("page", 0).load().count()
+
+
+def test_duplicate_query_names_are_refused():
+    from lakeloom.plans.registry import Registry
+
+    r = Registry()
+    r.query("x")(lambda s, d: None)
+    with pytest.raises(ValueError):
+        r.query("x")(lambda s, d: None)
