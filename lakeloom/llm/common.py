@@ -6,8 +6,10 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D of the UTF-8 text
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,33 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
+_kept: dict[str, Callable[[], None]] = {}
+_user = ""
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Registers how an operator's tables in a worker are dropped."""
+    _kept[name] = drop
+
+
+def in_worker(name: str) -> None:
+    """Called where an operator's work in a worker begins. Workers serve one operator after another;
+    what the others keep there is dropped and its memory given back, so that it doesn't add up."""
+    global _user
+    if _user == name:
+        return
+    for other, drop in _kept.items():
+        if other != name:
+            drop()
+    if _user:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    _user = name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -138,3 +167,6 @@ def chunks(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, in
         size += len(t) + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+keeps("packed", _powers.clear)

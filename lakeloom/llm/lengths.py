@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import small_batches
+from lakeloom.llm.common import in_worker, keeps, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this public vocabulary splits a text before merging.
@@ -25,10 +25,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPAN = 64  # lengths of one bucket of the two-level suffix sums
 
 _encoders: dict[tuple[str, str], object] = {}
+keeps("lengths", _encoders.clear)
 
 
 def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     """The encoding of a rank file, loaded once in each worker."""
+    in_worker("lengths")
     key = (vocabulary, pattern)
     if key not in _encoders:
         import tiktoken

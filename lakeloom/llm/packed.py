@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import utf8
+from lakeloom.llm.common import in_worker, small_batches, utf8
 
 ROW = "chunk int, bucket int, packed binary"
 #: Bytes of stored input for each chunk, up to so many chunks; beyond them chunks grow, up to the largest.
@@ -59,6 +59,7 @@ def unpack(packed: bytes) -> list[np.ndarray]:
 
 def gathered(table: pa.Table, by: str = "chunk") -> tuple[list[list[np.ndarray]], list[int]]:
     """The packed rows of a group, unpacked, and where each came from."""
+    in_worker("packed")
     return [unpack(x) for x in table.column("packed").to_pylist()], table.column(by).to_pylist()
 
 
@@ -97,12 +98,14 @@ def number_of_chunks(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 def chunked(df: DataFrame, n: int, key: str, column: str) -> DataFrame:
     """chunk int, id long, text string: what the exchanges need of each document."""
+    small_batches(df.sparkSession)
     identity = df[key].cast("long")
     return df.select(F.pmod(F.xxhash64(identity), F.lit(n)).cast("int").alias("chunk"), identity.alias("id"), df[column].cast("string").alias("text"))
 
 
 def of_chunk(table: pa.Table) -> tuple[int, np.ndarray, list[bytes]]:
     """Number, ids (null: NO_ID) and texts of a chunk."""
+    in_worker("packed")
     if not table.num_rows:
         return -1, np.zeros(0, dtype=np.int64), []
     ids = np.array([NO_ID if x is None else x for x in table.column("id").to_pylist()], dtype=np.int64)

@@ -37,13 +37,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeloom.llm.common import small_batches
+from lakeloom.llm.common import in_worker, keeps, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 250_000  # paths of parts of each of two generations that a worker keeps
+KEPT = 200_000  # paths of parts of each of two generations that a worker keeps
 
 
 class Paths(dict):
@@ -274,10 +274,12 @@ class Transducer:
 
 
 _compiled: dict[str, Transducer] = {}
+keeps("pieces", _compiled.clear)
 
 
 def transducer(model: str = MODEL) -> Transducer:
     """The model at a path that every machine has, compiled once in each worker."""
+    in_worker("pieces")
     if model not in _compiled:
         with open(model, "rb") as f:
             _compiled[model] = Transducer(f.read())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import small_batches, utf8
+from lakeloom.llm.common import in_worker, small_batches, utf8
 
 WORDS = 1 << 15
 BINS = 16
@@ -161,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column:
     inner = inner.select("k", "y", "t", *(f"m{i}" for i in range(len(metadata))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("quality")
         for b in batches:
             extra = list(zip(*(c.to_pylist() for c in b.columns[3:]), strict=True)) or [()] * b.num_rows
             places = [features(t, m).tobytes() for t, m in zip(utf8(b.column(2)), extra, strict=True)]
@@ -177,6 +178,7 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", column: str =
     sent = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))  # its size is fixed by WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("quality")
         model = Machine(*sent.value)
         for b in batches:
             extra = list(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)) or [()] * b.num_rows

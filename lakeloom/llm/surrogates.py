@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import small_batches, written
+from lakeloom.llm.common import in_worker, keeps, small_batches, written
 
 KEY = b"replace this key"  # production passes its own
 BROADCAST = 50_000
@@ -267,11 +267,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=50_000)
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     return SURROGATE[kind](entity, key, f"{kind}|{attempt}")
 
 
+keeps("surrogates", surrogate.cache_clear)
+
+
 def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
     """The text with its entities replaced, and the entities' types."""
     found = find(text)
@@ -290,6 +293,7 @@ def entities(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ()) ->
     kinds = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("surrogates")
         for b in batches:
             rows = [(i, f[2], f[3]) for i, t in enumerate(b.column(0).to_pylist()) if t for f in find(t)]
             at = pa.array([r[0] for r in rows], pa.int32())
@@ -304,6 +308,7 @@ def assigned(rows: DataFrame, key: bytes) -> DataFrame:
     """type, entity, attempt with the surrogate of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("surrogates")
         for b in batches:
             new = [surrogate(*x[:2], key, x[2]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["type", "entity", "attempt", "surrogate"])
@@ -341,6 +346,7 @@ def _replace(df: DataFrame, column: str, key: bytes, shared, listed: str | None)
     place = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("surrogates")
         common = shared.value if shared else {}
         for b in batches:
             own = b.column(names.index(listed)).to_pylist() if listed else [None] * b.num_rows

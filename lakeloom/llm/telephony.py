@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeloom.llm.common import small_batches, utf8
+from lakeloom.llm.common import in_worker, small_batches, utf8
 
 RATE = 8000
 BLOCK = 64  # bytes of an ADPCM block: a 4-byte header and two samples in each other byte
@@ -158,6 +158,7 @@ def transcode(df: DataFrame, key: str, column: str, codec: str | None = None, to
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("telephony")
         for b in batches:
             pcm, rates, counts, problems = [], [], [], []
             for data in b.column(1).to_pylist():
@@ -214,6 +215,7 @@ def payload_features(df: DataFrame, key: str = "doc_id", column: str = "text") -
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("telephony")
         for b in batches:
             if not b.num_rows:
                 continue

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import small_batches, written
+from lakeloom.llm.common import in_worker, small_batches, written
 from lakeloom.llm.quality import sample_of
 
 #: Words for groups of people, by kind; within a kind they are swapped for each other.
@@ -181,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column:
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
 
     def each_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("toxicity")
         for batch in batches:
             for at in range(0, batch.num_rows, 128):  # bounds the table of counts
                 b = batch.slice(at, 128)
@@ -203,6 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column:
     known = Marks({*vocabulary, *(w.encode() for w in KIND_OF)})
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("toxicity")
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
@@ -220,6 +222,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", column: str = "tex
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("toxicity")
         for b in batches:
             scores = [model.score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["k", "score"])
@@ -235,6 +238,7 @@ def keep_clean(docs: DataFrame, model: Model, column: str = "text", threshold: f
     schema, place = docs.schema, docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("toxicity")
         for b in batches:
             yield b.filter(pa.array([model.score(t or "") < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 
