@@ -267,9 +267,9 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The inverse: the surface of each id, without the dummy prefix; bytes that are no UTF-8 become U+FFFD."""
-        if any(i < 0 or i >= len(self.surface) for i in ids):
+        if ids and (min(ids) < 0 or max(ids) >= len(self.surface)):
             raise ValueError("an id out of range")
-        out = b"".join([self.surface[i] for i in ids]).decode("utf-8", errors="replace")
+        out = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", errors="replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
