@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 200_000  # paths of parts of each of two generations that a worker keeps
+KEPT = 350_000  # paths of parts of each of two generations that a worker keeps
 
 
 class Paths(dict):
