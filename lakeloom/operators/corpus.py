@@ -41,16 +41,16 @@ SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS shared FROM dg JOIN bg USING
 """,
 )
 def benchmark_overlap(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
-    """Documents and benchmark items with a common run of eight words.
+    """Documents and benchmark items with a common run of eight words, compared by 64-bit hashes.
 
-    Runs of the benchmark are few and may be broadcast by their measured size; each document's
-    runs are compared where they are made, as hashes first, so only matches are words again.
+    Only hashes of runs leave the row they are made in. The benchmark's are few and may be broadcast
+    by their measured size; then no document's runs are shuffled, only the matches.
     """
 
     def runs(name: str, key: str) -> DataFrame:
         df = table(spark, d, name).select(key, F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1).alias("_w"))
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        each = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " ")))
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
+        each = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(n)))))
         return df.select(key, F.explode(each).alias("g"))
 
     return runs("documents", "doc_id").join(runs("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
