@@ -146,7 +146,7 @@ class _PagedReader(DataSourceReader):
             raise ValueError("rows must not be negative and page must be positive")
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(b, min(b + self.size, self.rows)) for b in range(0, self.rows, self.size)]
+        return [_Range(b, min(b + self.size, self.rows)) for b in range(0, max(1, self.rows), self.size)]  # one at least
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         keys = list(range(partition.begin, partition.end))
