@@ -27,13 +27,15 @@ is greater than every other and is a null component only among nulls; an empty t
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import packed as px
-from lakeloom.llm.common import chunks, joined, mix, spans, window_hashes, word_hashes, written
+from lakeloom.llm.common import chunks, joined, mix, spans, text_column, window_hashes, word_hashes, written
 from lakeloom.llm.components import components
 
 PART = 1_500_000
@@ -42,6 +44,7 @@ BLOCK = 1_000_000
 #: Cost of counting one shingle of a candidate's overlap, where reading one list entry costs 1.
 VERIFY = 0.5
 BASE = "id long, n_shingles long, print_a long, print_b long, prefix array<long>, shingles binary"
+PRINTS = ["print_a", "print_b", "n_shingles"]
 
 
 def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +77,16 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
-def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk_bytes: int) -> DataFrame:
-    """BASE rows: for sets that may have a partner also print, prefix and shingles; null for others."""
+def row_print(df: DataFrame, key: str, column: str) -> Column:
+    """What tells a row from others: 128 bits of its id and text together."""
+    return F.md5(F.concat_ws(":", F.coalesce(df[key].cast("long").cast("string"), F.lit("null")), text_column(df, column)))
+
+
+def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk_bytes: int, rows: bool = False) -> DataFrame:
+    """BASE rows: for sets that may have a partner also print, prefix and shingles; null for others.
+
+    With ``rows`` also each row's ``row_print``.
+    """
     n_chunks = px.number_of_chunks(df, chunk_bytes)
     bits = min(60, max(34, px.stored_size(df).bit_length() + 7))
     drop = np.uint64(64 - bits)
@@ -150,6 +161,7 @@ def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk
                 print_b.append(int(mix(own ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64).astype(np.int64)))
                 sets.append(own.tobytes())
         ids_column = table.column("id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
+        told = [hashlib.md5(b"%s:%s" % (b"null" if i is None else b"%d" % i, t)).hexdigest() for i, t in zip(ids_column.to_pylist(), texts, strict=True)] if rows else None
         return pa.table(
             {
                 "id": ids_column,
@@ -159,9 +171,10 @@ def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk
                 "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                 "shingles": pa.array(sets, pa.binary()),
             }
+            | ({"row": pa.array(told, pa.string())} if rows else {})
         )
 
-    return px.with_answers(docs, px.to_chunks(px.to_buckets(docs, counts), frequencies), select, BASE)
+    return px.with_answers(docs, px.to_chunks(px.to_buckets(docs, counts), frequencies), select, BASE + ", row string" * rows)
 
 
 def adaptive_lengths(ranks: list[np.ndarray], frequency: np.ndarray, percent: int) -> np.ndarray:
@@ -265,15 +278,12 @@ def join_in_memory(ids: np.ndarray, sets: list[np.ndarray], percent: int, side:
     return out
 
 
-def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4, percent: int = 85, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES) -> DataFrame:
-    """One row for each row of the input: key long, n_shingles long, component_id long."""
-    none = F.lit(int(px.NO_ID))
-    base = written(signatures(df, key, column, n, percent, chunk_bytes), "sets")
-    prints = ["print_a", "print_b", "n_shingles"]
+def linked_sets(base: DataFrame, rep: Column, percent: int, block: int) -> DataFrame:
+    """Each set that may have a partner: its print, node, rep (the least over its rows) and the root it is connected with."""
     reps = (
         base.filter(F.col("print_a").isNotNull())
-        .groupBy(*prints)
-        .agg(F.min(F.coalesce("id", none)).alias("rep"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
+        .groupBy(*PRINTS)
+        .agg(F.min(rep).alias("rep"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
     )
     # Equal sets are one node; a node is known by its print, as ids need not be unique.
     reps = written(reps.withColumn("node", F.xxhash64("print_a", "print_b", "n_shingles")), "representatives")
@@ -298,26 +308,39 @@ def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4
 
     links = placed.groupBy("group", "i", "j").applyInArrow(link, "a long, b long")
     linked = components(links)
-    named = reps.select(*prints, "node", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return reps.select(*PRINTS, "node", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4, percent: int = 85, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES) -> DataFrame:
+    """One row for each row of the input: key long, n_shingles long, component_id long."""
+    none = F.lit(int(px.NO_ID))
+    base = written(signatures(df, key, column, n, percent, chunk_bytes), "sets")
+    named = linked_sets(base, F.coalesce("id", none), percent, block)
     least_id = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(least_id, "root").select(*(F.col(p).alias(f"_{p}") for p in prints), "component")
+    named = named.join(least_id, "root").select(*(F.col(p).alias(f"_{p}") for p in PRINTS), "component")
     same = (base["print_a"] == named["_print_a"]) & (base["print_b"] == named["_print_b"]) & (base["n_shingles"] == named["_n_shingles"])
-    out = base.select("id", *prints).join(named, same, "left")
+    out = base.select("id", *PRINTS).join(named, same, "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), "n_shingles", F.when(component == none, F.lit(None)).otherwise(component).cast("long").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The input's rows and columns with one document of each class: the one whose id names it.
+def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES) -> DataFrame:
+    """The input's rows and columns with one document of each class: the one with the least id.
 
-    Rows that share that id are told apart by nothing, so one of them stays. A row without an id
-    stays only if its class has no id at all.
+    Rows are told apart by id and text, so rows whose ids are null or repeated stay unless their
+    texts are near copies. Of near copies of one id the row of the least ``row_print`` stays, of
+    rows equal in both any one; rows without a partner, such as empty texts, all stay.
     """
     names = df.columns
-    found = classes(df, key, column, n, percent, **options)
-    stay = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
-    kept = df.join(stay, df[key].cast("long").eqNullSafe(stay["_stay"])).select(*(df[c] for c in names))
-    return kept.dropDuplicates([key])
+    base = written(signatures(df, key, column, n, percent, chunk_bytes, rows=True), "sets")
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "row")  # a null id is greater than every other
+    first = linked_sets(base, least, percent, block).groupBy("root").agg(F.min("rep").alias("rep"))
+    stay = first.select(F.col("rep.row").alias("_row"), F.lit(True).alias("_stays"))
+    linked = base.filter(F.col("print_a").isNotNull()).select(F.col("row").alias("_row"), F.lit(False).alias("_stays"))
+    told = linked.unionByName(stay).groupBy("_row").agg(F.max("_stays").alias("_stays"))
+    w = Window.partitionBy("_row").orderBy("_row")
+    found = df.withColumn("_row", row_print(df, key, column)).join(told, "_row", "left").withColumn("_place", F.row_number().over(w))
+    return found.filter(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_place") == 1))).select(*names)
 
 
 ORACLE = r"""

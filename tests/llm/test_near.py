@@ -112,6 +112,14 @@ def test_one_of_each_keeps_rows_and_columns(messy, empty):
     assert near.classes(empty).count() == near.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    r = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (7, d + " end"), (3, d + " end"), (9, e), (9, e), (None, e), (None, a), (None, ""), (None, ""), (7, None)]
+    out = sorted(((x.doc_id, x.text) for x in near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    assert out == sorted([(None, a), (None, b), (7, c), (3, d + " end"), (9, e), (None, ""), (None, ""), (7, None)], key=repr)
+
+
 def test_messy(messy):
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     assert result(near.classes(messy)) == brute(rows)
