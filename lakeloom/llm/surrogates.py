@@ -12,7 +12,10 @@ and the way a phone number is set out don't matter), which preserves coreference
 
 ``collisions`` checks what the permutation can't promise: that no surrogate is itself an entity of
 the corpus, or another entity's surrogate. Such entities get a further attempt, which enters the
-permutation as a tweak, until none is left. They are few; up to ``BROADCAST`` of them are sent to
+permutation as a tweak, until none is left; after ``LONGER`` attempts every format grows, by more
+with each attempt, so that free values never run out. Values without a letter or digit to permute
+(a masked password) get keyed ones instead. Given names alone stay within lists all of whose names
+may be real, so they are not checked against entities, but none stays itself. Moved entities are few; up to ``BROADCAST`` of them are sent to
 all executors, more are joined to their documents.
 
 Defined results: null texts stay null, empty ones empty; texts without entities are unchanged to
@@ -37,9 +40,9 @@ from lakeloom.llm.common import in_worker, keeps, small_batches, written
 KEY = b"replace this key"  # production passes its own
 BROADCAST = 50_000
 ROUNDS = 8
-#: Attempts after which a collision is an error: each has a chance of under a half, usually far less.
+#: Attempts after which the surrogates themselves must be wrong: formats that grow have free values long before.
 ATTEMPTS = 40
-#: Attempts after which an e-mail address may grow.
+#: Attempts after which a surrogate may be longer than its entity.
 LONGER = 6
 
 #: Titles by gender (m, f, or n for either), and given names by language and gender.
@@ -114,24 +117,43 @@ def _digits(text: str) -> str:
 
 
 def _fill(shape: str, digits: str) -> str:
-    """The shape with its digits replaced in order."""
+    """The shape with its digits replaced in order; digits beyond it follow."""
     it = iter(digits)
-    return "".join(next(it) if c in "0123456789" else c for c in shape)
+    return "".join([next(it) if c in "0123456789" else c for c in shape]) + "".join(it)
+
+
+def _fixed(text: str) -> bool:
+    """Whether by_alphabet can only return the text itself."""
+    return not any(c in _PLACE for c in text)
+
+
+def _keyed(e: str, key: bytes, tweak: str, width: int) -> str:
+    """So many digits that depend on the entity and the attempt."""
+    return f"{permuted(0, 10**width, key, f'{tweak}|{e}|longer'):0{width}d}"
+
+
+def _growth(tweak: str) -> int:
+    """By how many steps the surrogate of this attempt is longer than its entity."""
+    return max(0, int(tweak.rpartition("|")[2]) - LONGER + 1)
+
+
+def _more(e: str, key: bytes, tweak: str) -> str:
+    """What a surrogate grows by: its format may have too few other values."""
+    steps = _growth(tweak)
+    return _keyed(e, key, tweak, 3 + steps) if steps else ""
 
 
 def _email(e: str, key: bytes, tweak: str) -> str:
     name, _, top = e.rpartition(".")
+    if _fixed(name):
+        user, _, host = name.partition("@")
+        return f"{_keyed(e, key, tweak, max(6, len(user)) + _growth(tweak))}@{host}.{top}"
     out = by_alphabet(name, key, f"{tweak}|{top}") + "." + top
-    attempt = int(tweak.rpartition("|")[2])
-    if attempt < LONGER:
-        return out
-    # So short an address has too few others of its format: it becomes longer.
-    more = permuted(0, 10_000, key, f"{tweak}|{e}|longer")
-    return out.replace("@", f"{more:04d}@", 1)
+    return out.replace("@", f"{_more(e, key, tweak)}@", 1)
 
 
 def _number(e: str, key: bytes, tweak: str) -> str:
-    return by_alphabet(e, key, tweak)
+    return by_alphabet(e, key, tweak) + _more(e, key, tweak)
 
 
 def _card(e: str, key: bytes, tweak: str) -> str:
@@ -139,12 +161,14 @@ def _card(e: str, key: bytes, tweak: str) -> str:
     while True:  # walks within the numbers with a right, or a wrong, check digit
         out = by_alphabet(out, key, f"{tweak}|card")
         if _luhn(out) == good:
-            return out
+            break
+    more = _more(e, key, tweak)
+    return next(x for c in "0123456789" if _luhn(x := out + more + c) == good) if more else out
 
 
 def _ip(e: str, key: bytes, tweak: str) -> str:
     value = permuted(int.from_bytes(bytes(map(int, e.split("."))), "big"), 1 << 32, key, tweak)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    return ".".join(map(str, value.to_bytes(4, "big"))) + _more(e, key, tweak)
 
 
 def _iban_is_right(e: str) -> bool:
@@ -153,15 +177,35 @@ def _iban_is_right(e: str) -> bool:
 
 def _iban(e: str, key: bytes, tweak: str) -> str:
     country, body = e[:2], e[4:]
-    body = by_alphabet(body, key, f"{tweak}|{country}")
+    body = by_alphabet(body, key, f"{tweak}|{country}") + _more(e, key, tweak)
     check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
     return f"{country}{check:02d}{body}"
 
 
 def _secret(e: str, key: bytes, tweak: str) -> str:
     if re.fullmatch(r"[0-9a-f]+", e):
-        return f"{permuted(int(e, 16), 16 ** len(e), key, f'{tweak}|hex{len(e)}'):0{len(e)}x}"
-    return by_alphabet(e, key, tweak)
+        return f"{permuted(int(e, 16), 16 ** len(e), key, f'{tweak}|hex{len(e)}'):0{len(e)}x}" + _more(e, key, tweak)
+    if _fixed(e):
+        return _keyed(e, key, tweak, len(e) + _growth(tweak))
+    return by_alphabet(e, key, tweak) + _more(e, key, tweak)
+
+
+def _syllables(word: str, e: str, key: bytes, tweak: str, count: int) -> str:
+    """So many keyed pairs of consonant and vowel in the script of the word's last letter."""
+    vowels = 9 if "α" <= word[-1] <= "ω" else 11 if "а" <= word[-1] <= "ӿ" else 1
+    a, b = _ALPHABETS[vowels + 1], _ALPHABETS[vowels]
+    value, out = permuted(0, (len(a) * len(b)) ** count, key, f"{tweak}|{e}|syllables"), ""
+    for _ in range(count):
+        value, x = divmod(value, len(a) * len(b))
+        out += a[x // len(b)] + b[x % len(b)]
+    return out
+
+
+@lru_cache(maxsize=10_000)
+def _after(names: str, key: bytes, tweak: str) -> list[int]:
+    """Each place of a list of names sent to the next in a keyed order, so that none stays."""
+    order = sorted(range(len(GIVEN[names])), key=lambda i: permuted(i, len(GIVEN[names]), key, tweak))
+    return [order[(order.index(i) + 1) % len(order)] for i in range(len(order))]
 
 
 def _person(e: str, key: bytes, tweak: str) -> str:
@@ -172,13 +216,18 @@ def _person(e: str, key: bytes, tweak: str) -> str:
     kind = " ".join(x[0] if x else "-" for x in listed)
     # One permutation of the whole name: places in the lists, then the letters of the other words.
     out = []
+    last = max((i for i, x in enumerate(listed) if not x), default=-1)
     for i, (w, x) in enumerate(zip(words, listed, strict=True)):
-        if x:
+        if x and last < 0:
+            out.append(GIVEN[x[0]][_after(x[0], key, f"{tweak}|{kind}|{i}")[x[1]]].lower())
+        elif x:
             others = "|".join(v for k, v in enumerate(words) if k != i and not listed[k])
             names_of = GIVEN[x[0]]
             out.append(names_of[permuted(x[1], len(names_of), key, f"{tweak}|{kind}|{i}|{others}")].lower())
         else:
-            out.append(by_alphabet(w, key, f"{tweak}|{gender}|{kind}|{i}"))
+            new = _syllables(w, e, key, f"{tweak}|{i}", (len(w) + 1) // 2) if _fixed(w) else by_alphabet(w, key, f"{tweak}|{gender}|{kind}|{i}")
+            grown = _growth(tweak) if i == last else 0
+            out.append(new + (_syllables(w, e, key, f"{tweak}|{i}|longer", grown) if grown else ""))
     return f"{gender}:{' '.join(out)}"
 
 
@@ -225,12 +274,12 @@ def render(kind: str, text: str, new: str) -> str:
     """The surrogate of a normal form, set out as the text was."""
     if kind == "phone":
         digits = _digits(text)
-        return _fill(text, digits[: len(digits) - len(new)] + new)
+        return _fill(text, digits[: len(digits) - len(normal(kind, text))] + new)
     if kind in ("card", "ssn"):
         return _fill(text, new)
     if kind == "iban":
         it = iter(new.upper())
-        return "".join(c if c == " " else next(it) for c in text)
+        return "".join([c if c == " " else next(it) for c in text]) + "".join(it)
     if kind == "secret":
         return new.upper() if text.upper() == text and text.lower() != text else new
     if kind == "email":
@@ -337,7 +386,7 @@ def collisions(mentions: DataFrame, key: bytes, compute: Callable[[DataFrame, by
         changed = True
         again = current.join(taken, ["type", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         current = written(current.join(taken, ["type", "entity"], "left_anti").unionByName(compute(again, key)), "surrogates")
-    raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts: a format has too few values for its entities")
+    raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts, though every format has grown")
 
 
 def _replace(df: DataFrame, column: str, key: bytes, shared, listed: str | None) -> DataFrame:

@@ -89,6 +89,34 @@ def test_resolved_collisions_reach_the_texts(spark, broadcast):
     assert out[4] is None and "1.2.3.4" not in " ".join(filter(None, out.values()))
 
 
+def test_masked_secrets_and_short_formats_do_not_stop_the_rest(spark):
+    names = [c.upper() + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]  # every name of its format
+    texts = ['password="********" x', 'token: "------" x', "Dr. Ъъ x", 'secret="密密密密密密" x', *(f"Mr. {n} x" for n in names)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in s.surrogates(df).orderBy("doc_id").collect()]
+    old = {f[3] for t in texts for f in s.find(t)}
+    assert len(out) == len(set(out)) == len(texts)
+    assert all(n[-2:] == " x" and not any(m in n for m in ("****", "----", "ъ", "密")) for n in out[:4])
+    assert not old & {f[3] for t in out for f in s.find(t)}
+
+
+def test_every_format_may_grow_and_still_be_set_out():
+    text = "a@b.org +1 (523) 555-1055 248.167.124.71 4111 1111 1111 1111 078-05-1120 DE89 3704 0044 0532 0130 00 token = \"9233a8ec\" Mr. Abel Stone"
+    for start, end, kind, entity in s.find(text):
+        new = [s.render(kind, text[start:end], s.surrogate(kind, entity, KEY, a)) for a in range(s.LONGER + 5)]
+        size = [len(x.rpartition(".")[2] if kind == "ip" else x) for x in new]  # octets have one to three digits
+        assert len(set(new)) == len(new) and all(n > (3 if kind == "ip" else end - start) for n in size[s.LONGER :]), kind
+    assert s._luhn(s.surrogate("card", "4111111111111111", KEY, 9)) and s._iban_is_right(s.surrogate("iban", "DE89370400440532013000", KEY, 9))
+
+
+def test_no_given_name_alone_stays_itself():
+    for k in (KEY, b"2", b"3", s.KEY):
+        for names in s.GIVEN.values():
+            new = [s.surrogate("given", f"n:{n.lower()}", k) for n in names]
+            assert sorted(new) == sorted(f"n:{n.lower()}" for n in names)
+            assert not any(x == f"n:{n.lower()}" for x, n in zip(new, names))
+
+
 def test_query_against_brute_force(spark, medium):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
     rows = QUERIES["op10_pii_surrogates"](spark, medium).collect()
