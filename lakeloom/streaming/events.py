@@ -1,6 +1,6 @@
 """Event-time processing, each as a transform that takes a batch or a stream alike.
 
-``run`` drains a stream of the events table into a named in-memory table, file by file, and is
+``run`` drains a stream of the events table into a named in-memory table, file by file or all files together, and is
 what the registered queries use, so results come from the streaming engine.
 """
 
@@ -24,11 +24,12 @@ registry = Registry()
 LATENESS = "2 hours"
 
 
-def stream(spark: SparkSession, d: str, columns: list[str], parts: int = 1) -> DataFrame:
+def stream(spark: SparkSession, d: str, columns: list[str], parts: int = 1, together: bool = False) -> DataFrame:
     """The events as a stream; ``ts`` becomes a zoned timestamp, as watermarks need one.
 
     A file reader takes a folder, so a table of one file is written to one. With ``parts`` > 1 the
-    events are written as so many files, one after the other in order of time, each a micro-batch.
+    events are written as so many files, one after the other in order of time, each a micro-batch. ``together`` makes
+    all files one micro-batch: where late rows are dropped, no order of files may make rows late.
     """
     path = f"{d}/events.parquet"
     source = table(spark, d, "events")
@@ -42,7 +43,8 @@ def stream(spark: SparkSession, d: str, columns: list[str], parts: int = 1) -> D
     elif _is_file(spark, path):
         path = scratch(spark, "event-files")
         source.write.parquet(path)
-    df = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    reader = spark.readStream.schema(source.schema)
+    df = (reader if together else reader.option("maxFilesPerTrigger", 1)).parquet(path)
     return df.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
 
 
@@ -123,7 +125,7 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
 @registry.query("e4_distinct", "SELECT event_id, user_id, ts FROM events")
 def distinct_stream(spark: SparkSession, d: str) -> DataFrame:
     """Every event sent twice comes out once."""
-    df = stream(spark, d, ["ts", "user_id", "event_id"])
+    df = stream(spark, d, ["ts", "user_id", "event_id"], together=True)
     twice = df.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withWatermark("ts", LATENESS)
     return run(distinct(twice), "append").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
@@ -137,9 +139,9 @@ WHERE c.event_type = 'click' AND p.event_type = 'purchase'
 )
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
     """E5: purchases within an hour of a click; watermarks on both sides bound what is kept."""
-    clicks = stream(spark, d, ["ts", "user_id", "event_id", "event_type"]).filter("event_type = 'click'")
+    clicks = stream(spark, d, ["ts", "user_id", "event_id", "event_type"], together=True).filter("event_type = 'click'")
     clicks = clicks.select(F.col("event_id").alias("click"), F.col("user_id").alias("u1"), F.col("ts").alias("t1")).withWatermark("t1", LATENESS)
-    bought = stream(spark, d, ["ts", "user_id", "event_id", "event_type"]).filter("event_type = 'purchase'")
+    bought = stream(spark, d, ["ts", "user_id", "event_id", "event_type"], together=True).filter("event_type = 'purchase'")
     bought = bought.select(F.col("event_id").alias("purchase"), F.col("user_id").alias("u2"), F.col("ts").alias("t2")).withWatermark("t2", LATENESS)
     on = F.expr("u1 = u2 AND t2 > t1 AND t2 <= t1 + INTERVAL 1 HOUR")
     return run(clicks.join(bought, on).select("click", "purchase"), "append")

@@ -99,6 +99,15 @@ def test_late_events_are_dropped_after_the_watermark_passes(spark, tmp_path):
     assert counts.get(base) == 1 and counts[base + dt.timedelta(hours=30)] == 1
 
 
+def test_events_in_files_out_of_order_are_not_late(spark, tmp_path):
+    base, path = dt.datetime(2024, 1, 1), str(tmp_path / "events.parquet")
+    for day in (9, 6, 3, 0):
+        rows = [(10 * day + k, k % 2, base + dt.timedelta(days=day, minutes=k), ("click", "click", "purchase", "purchase")[k]) for k in range(4)]
+        spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string").coalesce(1).write.mode("append").parquet(path)
+    assert sorted(r.event_id for r in events.distinct_stream(spark, str(tmp_path)).collect()) == sorted(10 * d + k for d in (0, 3, 6, 9) for k in range(4))
+    assert sorted(tuple(r) for r in events.interval_join(spark, str(tmp_path)).collect()) == sorted((10 * d + k, 10 * d + k + 2) for d in (0, 3, 6, 9) for k in (0, 1))
+
+
 def test_stream_equals_batch(spark, small):
     batch = events.tumbling(spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(batch.collect()) == sorted(events.tumbling_stream(spark, small).collect())
