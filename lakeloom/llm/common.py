@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,13 +24,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
 _kept: dict[str, Callable[[], None]] = {}
 _user = ""
+_tables: dict[int, str] = {}  # folders of the tables that written gave
 
 
 def keeps(name: str, drop: Callable[[], None]) -> None:
@@ -66,21 +64,48 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, in tests, it is a temporary folder; outside local mode executors would not
+    share one, so there the setting is required.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.gettempdir() + "/lakeloom-checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows reread from the shared folder: cuts lineage, survives lost executors."""
+    """The same rows reread from the shared folder: cuts lineage, survives lost executors.
+
+    The table goes when the application ends, or earlier by ``dropped``.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = path
+    weakref.finalize(out, _tables.pop, id(out), None)
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a table that ``written`` gave and that nothing reads any more."""
+    path = _tables.pop(id(table), None)
+    if path:
+        files, place = _file_system(table.sparkSession, path)
+        files.delete(place, True)
 
 
 def text_column(df: DataFrame, column: str = "text"):
@@ -99,21 +124,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    key = str(base)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        have = _powers[key] = np.cumprod(out, dtype=np.uint64)
-    return have
-
-
-def _byte_table(seed: int) -> np.ndarray:
-    return mix((np.arange(1, 257, dtype=np.uint64) + _U(seed * 1000 & 0xFFFFFFFF)) * _U(_BASE))
-
-
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes with one newline after each text, and where each text starts (one more entry than texts)."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
@@ -129,27 +139,57 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+#: Bytes from which a word is hashed alone, by a hash of arbitrary long strings.
+LONG_WORD = 256
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hash of each word's bytes: a polynomial over a random byte table, finished with its length."""
-    n = len(buf)
-    terms = _byte_table(seed)[buf]
-    terms *= _power(_BASE, n)[:n]
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(terms, out=total[1:])
-    h = total[end] - total[start]
-    h *= _power(_BASE_INV, n)[start]
-    h += (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-    return mix(h)
+    """64-bit hash of each word's bytes, eight of them mixed in at a time; seeds give independent hashes."""
+    size = end - start
+    filled = np.zeros(len(buf) + 8, dtype=np.uint8)
+    filled[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=filled, strides=(1,))  # from every byte on
+    h = mix(size.astype(np.uint64) + _U(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    if not len(size):
+        return h
+    h = mix(h ^ (eight[start] & _HEADS[np.minimum(size, 8)]))
+    longer = np.flatnonzero(size > 8)
+    done = 8
+    while len(longer) and done < LONG_WORD:
+        left = size[longer] - done
+        h[longer] = mix(h[longer] ^ (eight[start[longer] + done] & _HEADS[np.minimum(left, 8)]))
+        longer = longer[left > 8]
+        done += 8
+    for i in longer.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, salt=b"%d" % seed).digest(), "little")
+    return h
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two runs from theirs. What depends on the first is no linear function of it, so that
+    no arrangement of equal parts cancels out."""
+    x = a ^ (a >> _U(29))
+    x *= _U(0xC2B2AE3D27D4EB4F)
+    x += b
+    return mix(x)
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive word hashes (len(h) - k + 1 of them), in time independent of k."""
+    """Hash of every run of k consecutive word hashes (len(h) - k + 1 of them), from runs of doubling length."""
     n = len(h)
     if n < k:
         return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(h * _power(_BASE, n)[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * _power(_BASE_INV, n)[: n - k + 1])
+    out, have, level, width = None, 0, h, 1
+    while True:
+        if k & width:
+            part = level[have : have + n - k + 1]
+            out = part if out is None else _pair(out, part)
+            have += width
+        if 2 * width > k:
+            return mix(out)
+        level = _pair(level[:-width], level[width:])
+        width *= 2
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -168,5 +208,3 @@ def chunks(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, in
     if start < len(texts):
         yield start, len(texts)
 
-
-keeps("packed", _powers.clear)

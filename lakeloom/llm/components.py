@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import written
+from lakeloom.llm.common import dropped, written
 
 STEPS = 60
 
@@ -31,5 +31,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        e = written(small.distinct(), "edges")
+        e, before = written(small.distinct(), "edges"), e
+        dropped(before)
     raise RuntimeError(f"components did not settle in {STEPS} steps")

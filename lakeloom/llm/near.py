@@ -45,6 +45,7 @@ BLOCK = 1_000_000
 VERIFY = 0.5
 BASE = "id long, n_shingles long, print_a long, print_b long, prefix array<long>, shingles binary"
 PRINTS = ["print_a", "print_b", "n_shingles"]
+COUNTS = (px.Kind((np.uint64, np.uint32)),)  # a shingle and how many documents have it
 
 
 def sets_of(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,57 +83,42 @@ def row_print(df: DataFrame, key: str, column: str) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(df[key].cast("long").cast("string"), F.lit("null")), text_column(df, column)))
 
 
-def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk_bytes: int, rows: bool = False) -> DataFrame:
+def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk_bytes: int, direct: int = px.DIRECT, rows: bool = False) -> DataFrame:
     """BASE rows: for sets that may have a partner also print, prefix and shingles; null for others.
 
     With ``rows`` also each row's ``row_print``.
     """
-    n_chunks = px.number_of_chunks(df, chunk_bytes)
-    bits = min(60, max(34, px.stored_size(df).bit_length() + 7))
+    size = px.stored_size(df, column)
+    n_chunks = px.number_of_chunks(size, chunk_bytes)
+    bits = min(60, max(34, size.bit_length() + 7))
     drop = np.uint64(64 - bits)
     docs = px.chunked(df, n_chunks, key, column)
+    exchange = px.Exchange(n_chunks, direct)
 
-    def counts(table: pa.Table) -> pa.Table:
-        chunk, _, texts = px.of_chunk(table)
+    def counts(table: pa.Table) -> list[px.Part]:
+        _, _, texts = px.of_chunk(table)
         found = np.sort(np.concatenate([sets_of(texts[a:b], n)[1] >> drop for a, b in chunks(texts, PART)]))
         new = np.ones(len(found), dtype=bool)
         new[1:] = found[1:] != found[:-1]
         begin = np.flatnonzero(new)
-        found, count = found[begin], np.diff(np.append(begin, len(found)))
-        out = []
-        for b, i, j in px.cut(px.bucket_of(found << drop, n_chunks)):
-            more = np.flatnonzero(count[i:j] > 1)  # few: most are counted once
-            out.append((b, px.pack(np.diff(found[i:j], prepend=np.uint64(0)), more.astype(np.uint32), count[i:j][more].astype(np.uint32))))
-        return px.rows([chunk] * len(out), [o[0] for o in out], [o[1] for o in out])
-
-    def frequencies(table: pa.Table) -> pa.Table:
-        parts, origin = px.gathered(table)
-        keys, count = [], []
-        for step, more, many in parts:
-            keys.append(np.cumsum(step, dtype=np.uint64))
-            c = np.ones(len(step), dtype=np.int64)
-            c[more] = many
-            count.append(c)
-        ends = np.cumsum([len(k) for k in keys])
-        keys, count = np.concatenate(keys), np.concatenate(count)
+        found, count = found[begin], np.diff(np.append(begin, len(found))).astype(np.uint32)
+        return [px.part(px.bucket_of(found << drop, n_chunks), [found, count])]
+
+    def frequencies(parts: list[px.Part]) -> list[px.Part]:
+        keys, count = parts[0].columns
         order = np.argsort(keys, kind="stable")
         new = np.ones(len(keys), dtype=bool)
         new[1:] = keys[order][1:] != keys[order][:-1]
         total = np.empty(len(keys), dtype=np.int64)
-        total[order] = np.add.reduceat(count[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        out, bucket = [], table.column("bucket")[0].as_py()
-        for chunk, i, j in zip(origin, np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            at = i + np.flatnonzero(total[i:j] > 1)
-            if len(at):
-                out.append((chunk, px.pack(np.diff(keys[at], prepend=np.uint64(0)), np.minimum(total[at], 2**32 - 1).astype(np.uint32))))
-        return px.rows([o[0] for o in out], [bucket] * len(out), [o[1] for o in out])
-
-    def select(table: pa.Table, answers: pa.Table) -> pa.Table:
+        total[order] = np.add.reduceat(count[order].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        at = np.flatnonzero(total > 1)
+        return [px.part(parts[0].peer[at], [keys[at], np.minimum(total[at], 2**32 - 1).astype(np.uint32)])]
+
+    def select(table: pa.Table, answers: list[px.Part]) -> pa.Table:
         _, ids, texts = px.of_chunk(table)
-        got = [(np.cumsum(step, dtype=np.uint64), total) for step, total in px.gathered(answers)[0]]
-        got.sort(key=lambda x: x[0][0])  # buckets hold ranges
-        known = np.concatenate([g[0] for g in got]) if got else np.zeros(0, dtype=np.uint64)
-        total = np.concatenate([g[1] for g in got]).astype(np.int64) if got else np.zeros(0, dtype=np.int64)
+        order = np.argsort(answers[0].columns[0], kind="stable")
+        known, total = (x[order] for x in answers[0].columns)
+        total = total.astype(np.int64)
         sizes, print_a, print_b, prefixes, sets = [], [], [], [], []
         for a, b in chunks(texts, PART):
             owner, grams = sets_of(texts[a:b], n)
@@ -174,7 +160,8 @@ def signatures(df: DataFrame, key: str, column: str, n: int, percent: int, chunk
             | ({"row": pa.array(told, pa.string())} if rows else {})
         )
 
-    return px.with_answers(docs, px.to_chunks(px.to_buckets(docs, counts), frequencies), select, BASE + ", row string" * rows)
+    told = exchange.to_chunks(exchange.to_buckets(docs, counts, COUNTS), frequencies, COUNTS, COUNTS)
+    return exchange.with_answers(docs, told, select, COUNTS, BASE + ", row string" * rows)
 
 
 def adaptive_lengths(ranks: list[np.ndarray], frequency: np.ndarray, percent: int) -> np.ndarray:
@@ -285,8 +272,8 @@ def linked_sets(base: DataFrame, rep: Column, percent: int, block: int) -> DataF
         .groupBy(*PRINTS)
         .agg(F.min(rep).alias("rep"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
     )
-    # Equal sets are one node; a node is known by its print, as ids need not be unique.
-    reps = written(reps.withColumn("node", F.xxhash64("print_a", "print_b", "n_shingles")), "representatives")
+    # Equal sets are one node. Its number is its place in the written table, so no two nodes share one.
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
     lists = reps.select("node", F.explode("prefix").alias("shingle"))
     least = lists.groupBy("shingle").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     near = lists.join(least, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a != b").distinct()
@@ -311,10 +298,10 @@ def linked_sets(base: DataFrame, rep: Column, percent: int, block: int) -> DataF
     return reps.select(*PRINTS, "node", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4, percent: int = 85, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4, percent: int = 85, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES, direct: int = px.DIRECT) -> DataFrame:
     """One row for each row of the input: key long, n_shingles long, component_id long."""
     none = F.lit(int(px.NO_ID))
-    base = written(signatures(df, key, column, n, percent, chunk_bytes), "sets")
+    base = written(signatures(df, key, column, n, percent, chunk_bytes, direct), "sets")
     named = linked_sets(base, F.coalesce("id", none), percent, block)
     least_id = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least_id, "root").select(*(F.col(p).alias(f"_{p}") for p in PRINTS), "component")
@@ -324,7 +311,7 @@ def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4
     return out.select(F.col("id").alias(key), "n_shingles", F.when(component == none, F.lit(None)).otherwise(component).cast("long").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES, direct: int = px.DIRECT) -> DataFrame:
     """The input's rows and columns with one document of each class: the one with the least id.
 
     Rows are told apart by id and text, so rows whose ids are null or repeated stay unless their
@@ -332,7 +319,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int
     rows equal in both any one; rows without a partner, such as empty texts, all stay.
     """
     names = df.columns
-    base = written(signatures(df, key, column, n, percent, chunk_bytes, rows=True), "sets")
+    base = written(signatures(df, key, column, n, percent, chunk_bytes, direct, rows=True), "sets")
     least = F.struct(F.col("id").isNull().alias("none"), "id", "row")  # a null id is greater than every other
     first = linked_sets(base, least, percent, block).groupBy("root").agg(F.min("rep").alias("rep"))
     stay = first.select(F.col("rep.row").alias("_row"), F.lit(True).alias("_stays"))

@@ -13,7 +13,8 @@ chunks of documents and buckets of keys:
    its bucket large: its windows travel one by one, to buckets of their own hashes;
 3. each chunk marks the words of windows that an earlier document has.
 
-Windows are compared by two independent 64-bit hashes of their words.
+Windows are compared by two independent 64-bit hashes of their words, super-k-mers by a 128-bit hash
+of their bytes.
 
 Defined results: a null text has no words; texts shorter than a window stay whole; rows that
 share an id are one document (neither is smaller); a null id is greater than every other; an
@@ -28,17 +29,21 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from lakeloom.llm import packed as px
-from lakeloom.llm.common import _power, chunks, joined, mix, spans, window_hashes, word_hashes
+from lakeloom.llm.common import chunks, joined, mix, spans, window_hashes, word_hashes
 
 WINDOW, RUN = 50, 8
 #: Documents with a minimiser from which its windows travel one by one.
 HOT = 512
 PART = 1_500_000  # bytes of text that are hashed at a time
-_BASE_2 = 0xC2B2AE3D27D4EB4F | 1
-_BASE_2_INV = pow(_BASE_2, -1, 1 << 64)
+#: What chunks and buckets send each other: minimisers, the shared ones, super-k-mers and windows, who has them first.
+MINIMISERS = (px.Kind((np.uint64, np.int64, np.int64, np.uint32)),)
+SHARED = (px.Kind((np.uint64, bool)),)
+TRAVEL = (px.Kind((np.uint64, np.uint64, np.int64, np.int64), True), px.Kind((np.uint64, np.uint64, np.int64, np.int64)))
+EARLIEST = (px.Kind((np.uint64, np.uint64, np.uint32, np.uint32, np.int64)), px.Kind((np.uint64, np.uint64, np.int64)))
 
 
 @dataclass
@@ -55,12 +60,17 @@ class Windows:
     key: np.ndarray  # its minimiser, as a uniform key
     valid: np.ndarray  # whether a window starts at each word
 
-    def fingerprints(self, k: int, pick: np.ndarray) -> np.ndarray:
-        """Hash of the word sequence of the picked super-k-mers."""
-        total = np.zeros(len(self.h) + 1, dtype=np.uint64)
-        np.cumsum(self.h * _power(_BASE_2, len(self.h))[: len(self.h)], out=total[1:])
-        begin, end = self.at[pick], self.at[pick] + self.n[pick] + k - 1
-        return mix((total[end] - total[begin]) * _power(_BASE_2_INV, len(self.h) + 1)[begin] + (end - begin).astype(np.uint64))
+    def strings(self, k: int, pick: np.ndarray) -> list[bytes]:
+        """The bytes of the picked super-k-mers, as they stand in their text."""
+        raw = self.buf.tobytes()
+        begin, end = self.start[self.at[pick]], self.end[self.at[pick] + self.n[pick] + k - 2]
+        return [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def fingerprints(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each string, as two arrays."""
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in strings]), dtype="<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def windows(texts: list[bytes], k: int, m: int, seed: int = 1) -> Windows:
@@ -101,13 +111,23 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = WINDOW, m: int = RUN, hot: int = HOT, chunk_bytes: int = px.CHUNK_BYTES, texts: bool = False) -> DataFrame:
+def _first_of(low: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """For each entry the least ``low`` of the entries that are equal to it in ``by``."""
+    order = np.lexsort(by[::-1])
+    new = _changes(*(x[order] for x in by))
+    out = np.empty(len(low), dtype=np.int64)
+    out[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
+def repeats(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = WINDOW, m: int = RUN, hot: int = HOT, chunk_bytes: int = px.CHUNK_BYTES, direct: int = px.DIRECT, texts: bool = False) -> DataFrame:
     """One row for each row of the input: key long, n_words, n_removed, kept_sha256, and kept (the text) if asked for."""
-    n = px.number_of_chunks(df, chunk_bytes)
+    n = px.number_of_chunks(px.stored_size(df, column), chunk_bytes)
     docs = px.chunked(df, n, key, column)
+    exchange = px.Exchange(n, direct)
 
-    def minimisers(table: pa.Table) -> pa.Table:
-        chunk, ids, all_texts = px.of_chunk(table)
+    def minimisers(table: pa.Table) -> list[px.Part]:
+        _, ids, all_texts = px.of_chunk(table)
         keys, owners = [], []
         for a, b in chunks(all_texts, PART):
             w = windows(all_texts[a:b], k, m)
@@ -115,19 +135,16 @@ def repeats(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = W
             owners.append(ids[a:b][w.doc[w.at]])
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         if not len(keys):
-            return px.rows([], [], [])
+            return [px.part(keys, [keys, owners, owners, keys.astype(np.uint32)])]
         order = np.lexsort((owners, keys))
         keys, owners = keys[order], owners[order]
         begin, low, high = _least_and_greatest(np.arange(len(keys)), _changes(keys), owners, owners)
         count = np.add.reduceat(_changes(keys, owners).astype(np.int64), begin).astype(np.uint32)
         keys = keys[begin]
-        out = [(b, px.pack(keys[i:j], low[i:j], high[i:j], count[i:j])) for b, i, j in px.cut(px.bucket_of(keys, n))]
-        return px.rows([chunk] * len(out), [o[0] for o in out], [o[1] for o in out])
+        return [px.part(px.bucket_of(keys, n), [keys, low, high, count])]
 
-    def shared(table: pa.Table) -> pa.Table:
-        parts, origin = px.gathered(table)
-        keys, low, high, count = px.concatenated(parts, 4, [np.uint64, np.int64, np.int64, np.uint32])
-        of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    def shared(parts: list[px.Part]) -> list[px.Part]:
+        keys, low, high, count = parts[0].columns
         order = np.argsort(keys, kind="stable")
         new = _changes(keys[order])
         begin, low, high = _least_and_greatest(order, new, low, high)
@@ -136,135 +153,96 @@ def repeats(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = W
         is_hot = np.empty(len(keys), dtype=bool)
         wanted[order] = (low < high)[group]
         is_hot[order] = (np.add.reduceat(count[order].astype(np.int64), begin) > hot)[group]
-        out = []
-        for i, chunk in enumerate(origin):
-            at = slice(*np.searchsorted(of, [i, i + 1]))
-            mine_keys, mine_hot = keys[at][wanted[at]], is_hot[at][wanted[at]]
-            if len(mine_keys):
-                out.append((chunk, px.pack(mine_keys, mine_hot)))
-        bucket = table.column("bucket")[0].as_py()
-        return px.rows([o[0] for o in out], [bucket] * len(out), [o[1] for o in out])
-
-    def travel(table: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk, ids, all_texts = px.of_chunk(table)
-        keys, is_hot = px.concatenated(px.gathered(answers)[0], 2, [np.uint64, bool])
-        if not len(keys):
-            return px.rows([], [], [])
+        return [px.part(parts[0].peer[wanted], [keys[wanted], is_hot[wanted]])]
+
+    def travel(table: pa.Table, answers: list[px.Part]) -> list[px.Part]:
+        _, ids, all_texts = px.of_chunk(table)
+        keys, is_hot = answers[0].columns
         order = np.argsort(keys)
         keys, is_hot = keys[order], is_hot[order]
-        prints, owners, targets, strings = [], [], [], []
+        prints, prints_2, owners, targets, strings = [], [], [], [], []
         first, second, window_owners = [], [], []
-        for a, b in chunks(all_texts, PART):
+        for a, b in chunks(all_texts, PART) if len(keys) else ():
             w = windows(all_texts[a:b], k, m)
             if not len(w.at):
                 continue
             place = np.minimum(np.searchsorted(keys, w.key), len(keys) - 1)
             found = keys[place] == w.key
             pick = np.flatnonzero(found & ~is_hot[place])
-            prints.append(w.fingerprints(k, pick))
+            some = w.strings(k, pick)
+            one, two = fingerprints(some)
+            prints.append(one)
+            prints_2.append(two)
             owners.append(ids[a:b][w.doc[w.at[pick]]])
             targets.append(w.key[pick])
-            raw = w.buf.tobytes()
-            strings += [raw[i:j] for i, j in zip(w.start[w.at[pick]].tolist(), w.end[w.at[pick] + w.n[pick] + k - 2].tolist(), strict=True)]
+            strings += some
             pick = np.flatnonzero(found & is_hot[place])
             if len(pick):
                 each = np.repeat(w.at[pick] - np.concatenate([[0], np.cumsum(w.n[pick])[:-1]]), w.n[pick]) + np.arange(w.n[pick].sum())
                 first.append(window_hashes(w.h, k)[each])
                 second.append(window_hashes(word_hashes(w.buf, w.start, w.end, 2), k)[each])
                 window_owners.append(ids[a:b][w.doc[each]])
-        prints, owners, targets = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (prints, owners, targets))
-        owners = owners.astype(np.int64)
-        order = np.lexsort((owners, prints, targets))
+        prints, prints_2, targets, first, second = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (prints, prints_2, targets, first, second))
+        owners, window_owners = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (owners, window_owners))
+        order = np.lexsort((owners, prints_2, prints, targets))
         begin, low, high = np.zeros(0, dtype=np.int64), owners[:0], owners[:0]
         if len(order):
-            begin, low, high = _least_and_greatest(order, _changes(targets[order], prints[order]), owners, owners)
+            begin, low, high = _least_and_greatest(order, _changes(targets[order], prints[order], prints_2[order]), owners, owners)
         picked = order[begin]
-        prints, buckets = prints[picked], px.bucket_of(targets[picked], n)
-        sizes = np.array([len(strings[i]) for i in picked], dtype=np.uint32)
-        first, second, window_owners = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (first, second, window_owners))
-        window_owners = window_owners.astype(np.int64)
+        whole = px.part(px.bucket_of(targets[picked], n), [prints[picked], prints_2[picked], low, high], [strings[i] for i in picked])
         order = np.lexsort((window_owners, second, first))
-        window_begin, window_low, window_high = np.zeros(0, dtype=np.int64), window_owners[:0], window_owners[:0]
+        begin, low, high = np.zeros(0, dtype=np.int64), window_owners[:0], window_owners[:0]
         if len(order):
-            window_begin, window_low, window_high = _least_and_greatest(order, _changes(first[order], second[order]), window_owners, window_owners)
-        first, second = first[order[window_begin]], second[order[window_begin]]
-        window_buckets = px.bucket_of(first, n)
-        nothing = (0, 0)
-        spans_of = {b: [(i, j), nothing] for b, i, j in px.cut(buckets)}
-        for b, i, j in px.cut(window_buckets):
-            spans_of.setdefault(b, [nothing, nothing])[1] = (i, j)
-        out = []
-        for b, ((i, j), (p, q)) in spans_of.items():
-            text = np.frombuffer(b"".join(strings[x] for x in picked[i:j]), dtype=np.uint8)
-            out.append((b, px.pack(prints[i:j], low[i:j], high[i:j], sizes[i:j], text, first[p:q], second[p:q], window_low[p:q], window_high[p:q])))
-        return px.rows([chunk] * len(out), [o[0] for o in out], [o[1] for o in out])
-
-    def earliest(table: pa.Table) -> pa.Table:
-        parts, origin = px.gathered(table)
+            begin, low, high = _least_and_greatest(order, _changes(first[order], second[order]), window_owners, window_owners)
+        first, second = first[order[begin]], second[order[begin]]
+        return [whole, px.part(px.bucket_of(first, n), [first, second, low, high])]
+
+    def earliest(parts: list[px.Part]) -> list[px.Part]:
+        whole, alone = parts
+        prints, prints_2, low_of, high_of = whole.columns
+        strings = px.split(whole)
         one, two, low, high, entry, offset = [], [], [], [], [], []
-        prints, prints_of, n_entries = [], [], 0
-        for i, p in enumerate(parts):
-            fingerprint, low_of, high_of, sizes, text = p[:5]
-            ends = np.cumsum(sizes.astype(np.int64))
-            raw = text.tobytes()
-            strings = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-            for a, b in chunks(strings, PART):
-                buf, begins = joined(strings[a:b])
-                start, end = spans(buf)
-                doc = np.searchsorted(begins, start, side="right") - 1
-                places = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
-                one.append(window_hashes(word_hashes(buf, start, end, 1), k)[places])
-                two.append(window_hashes(word_hashes(buf, start, end, 2), k)[places])
-                own = doc[places]
-                low.append(low_of[a:b][own])
-                high.append(high_of[a:b][own])
-                entry.append(own + n_entries + a)
-                offset.append(places - np.searchsorted(doc, own))
-            prints.append(fingerprint)
-            prints_of.append(np.full(len(fingerprint), i))
-            n_entries += len(fingerprint)
-        for i, p in enumerate(parts):
-            one.append(p[5])
-            two.append(p[6])
-            low.append(p[7])
-            high.append(p[8])
-            entry.append(np.full(len(p[5]), -1 - i))
-            offset.append(np.arange(len(p[5])))
-        one, two, low, high, entry, offset = (np.concatenate(x) for x in (one, two, low, high, entry, offset))
-        if not len(one):
-            return px.rows([], [], [])
-        order = np.lexsort((two, one))
-        new = _changes(one[order], two[order])
-        first = np.empty(len(one), dtype=np.int64)
-        first[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        for a, b in chunks(strings, PART):
+            buf, begins = joined(strings[a:b])
+            start, end = spans(buf)
+            doc = np.searchsorted(begins, start, side="right") - 1
+            places = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
+            one.append(window_hashes(word_hashes(buf, start, end, 1), k)[places])
+            two.append(window_hashes(word_hashes(buf, start, end, 2), k)[places])
+            own = doc[places]
+            low.append(low_of[a:b][own])
+            high.append(high_of[a:b][own])
+            entry.append(own + a)
+            offset.append(places - np.searchsorted(doc, own))
+        n_entries = len(prints)
+        one, two, low, high = (np.concatenate([*x, y]) for x, y in zip((one, two, low, high), alone.columns, strict=True))
+        entry = np.concatenate([*entry, n_entries + np.arange(len(alone.peer))])
+        offset = np.concatenate([*offset, np.zeros(len(alone.peer), dtype=np.int64)])
+        first = _first_of(low, one, two) if len(one) else low
         needed = np.flatnonzero(first < high)
-        first, entry, offset, one = first[needed], entry[needed], offset[needed], one[needed]
-        prints, prints_of = np.concatenate(prints), np.concatenate(prints_of).astype(np.int64)
-        whole = entry >= 0
-        e, o, f = entry[whole], offset[whole], first[whole]
+        first, entry, offset = first[needed], entry[needed], offset[needed]
+        inside = entry < n_entries
+        single = entry[~inside] - n_entries
+        e, o, f = entry[inside], offset[inside], first[inside]
         begin = np.zeros(0, dtype=np.int64)
         if len(e):
             run = np.ones(len(e), dtype=bool)
             run[1:] = (e[1:] != e[:-1]) | (o[1:] != o[:-1] + 1) | (f[1:] != f[:-1])
             begin = np.flatnonzero(run)
         length = np.diff(np.append(begin, len(e))).astype(np.uint32)
-        e, o, f = e[begin], o[begin].astype(np.uint32), f[begin]
-        chunk_of = prints_of[e]
-        bucket = table.column("bucket")[0].as_py()
-        out = []
-        for i, chunk in enumerate(origin):
-            mine, alone = chunk_of == i, entry == -1 - i
-            if mine.any() or alone.any():
-                out.append((chunk, px.pack(prints[e[mine]], o[mine], length[mine], f[mine], one[alone], first[alone])))
-        return px.rows([x[0] for x in out], [bucket] * len(out), [x[1] for x in out])
-
-    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+        e = e[begin]
+        return [
+            px.part(whole.peer[e], [prints[e], prints_2[e], o[begin].astype(np.uint32), length, f[begin]]),
+            px.part(alone.peer[single], [alone.columns[0][single], alone.columns[1][single], first[~inside]]),
+        ]
+
+    def remove(table: pa.Table, answers: list[px.Part]) -> pa.Table:
         _, ids, all_texts = px.of_chunk(table)
-        prints, offset, length, first, single, single_first = px.concatenated(px.gathered(answers)[0], 6, [np.uint64, np.uint32, np.uint32, np.int64, np.uint64, np.int64])
-        order = np.argsort(prints, kind="stable")
-        prints, offset, length, first = prints[order], offset[order].astype(np.int64), length[order].astype(np.int64), first[order]
-        order = np.argsort(single)
-        single, single_first = single[order], single_first[order]
+        order = np.lexsort((answers[0].columns[1], answers[0].columns[0]))
+        prints, prints_2, offset, length, first = (x[order] for x in answers[0].columns)
+        offset, length = offset.astype(np.int64), length.astype(np.int64)
+        order = np.lexsort((answers[1].columns[1], answers[1].columns[0]))
+        single, single_2, single_first = (x[order] for x in answers[1].columns)
         counts, removed, digests, kept = [], [], [], []
         for a, b in chunks(all_texts, PART):
             gone = None
@@ -272,21 +250,25 @@ def repeats(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = W
                 w = windows(all_texts[a:b], k, m)
                 change = np.zeros(len(w.h) + 1, dtype=np.int64)
                 if len(w.at) and len(prints):
-                    own = w.fingerprints(k, np.arange(len(w.at)))
+                    own, own_2 = fingerprints(w.strings(k, np.arange(len(w.at))))
                     i, j = np.searchsorted(prints, own), np.searchsorted(prints, own, side="right")
                     which = np.repeat(np.arange(len(own)), j - i)
                     place = np.repeat(i - np.concatenate([[0], np.cumsum(j - i)[:-1]]), j - i) + np.arange(len(which))
-                    hit = ids[a:b][w.doc[w.at[which]]] > first[place]
+                    hit = (own_2[which] == prints_2[place]) & (ids[a:b][w.doc[w.at[which]]] > first[place])
                     begin = w.at[which[hit]] + offset[place[hit]]
                     np.add.at(change, begin, 1)
                     np.add.at(change, begin + length[place[hit]] + k - 1, -1)
                 if len(single) and len(w.valid) and w.valid.any():
                     places = np.flatnonzero(w.valid)
                     own = window_hashes(w.h, k)[places]
-                    i = np.minimum(np.searchsorted(single, own), len(single) - 1)
-                    hit = (single[i] == own) & (ids[a:b][w.doc[places]] > single_first[i])
-                    np.add.at(change, places[hit], 1)
-                    np.add.at(change, places[hit] + k, -1)
+                    i, j = np.searchsorted(single, own), np.searchsorted(single, own, side="right")
+                    if (j > i).any():
+                        own_2 = window_hashes(word_hashes(w.buf, w.start, w.end, 2), k)[places]
+                        which = np.repeat(np.arange(len(own)), j - i)
+                        place = np.repeat(i - np.concatenate([[0], np.cumsum(j - i)[:-1]]), j - i) + np.arange(len(which))
+                        hit = which[(own_2[which] == single_2[place]) & (ids[a:b][w.doc[places[which]]] > single_first[place])]
+                        np.add.at(change, places[hit], 1)
+                        np.add.at(change, places[hit] + k, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 per_text = np.searchsorted(w.doc, np.arange(b - a + 1))
                 dropped = np.concatenate([[0], np.cumsum(gone)])
@@ -305,9 +287,9 @@ def repeats(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = W
         out = {key: ids_column, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(out | ({"kept": pa.array(kept, pa.string())} if texts else {}))
 
-    many = px.to_chunks(px.to_buckets(docs, minimisers), shared)
-    early = px.to_chunks(px.with_answers(docs, many, travel, px.ROW), earliest)
-    return px.with_answers(docs, early, remove, f"{key} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    many = exchange.to_chunks(exchange.to_buckets(docs, minimisers, MINIMISERS), shared, MINIMISERS, SHARED)
+    early = exchange.to_chunks(exchange.to_buckets_with(docs, many, travel, SHARED, TRAVEL), earliest, TRAVEL, EARLIEST)
+    return exchange.with_answers(docs, early, remove, EARLIEST, f"{key} long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
 
 
 ORACLE = r"""

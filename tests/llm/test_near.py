@@ -133,3 +133,15 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = {x.node: x.root for x in components(df).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)} | {900: 900, 901: 900, 902: 900}
     assert components(df.limit(0)).count() == 0
+
+
+def test_words_of_one_pattern_stay_apart(spark):
+    x, y = ("".join((a + b)[bin(i).count("1") % 2] for i in range(1024)) for a, b in ("ab", "ba"))
+    rows = [(1, f"{x} {x} {x} {x} {x}"), (2, f"{y} {y} {y} {y} {y}"), (3, x), (4, y), (5, x)]
+    assert result(near.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_relays_change_no_class(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert result(near.classes(docs, chunk_bytes=20_000, direct=1)) == brute(rows)

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import repeats
 from lakeloom.llm.queries import QUERIES
@@ -70,3 +72,44 @@ def test_super_kmers_cover_every_window_once():
     covered = sorted(i for a, n in zip(w.at, w.n, strict=True) for i in range(a, a + n))
     assert covered == [i for i in range(len(w.valid)) if w.valid[i]]
     assert len(covered) == 1 + 2 + 251
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_and_windows_of_one_pattern_stay_apart(spark):
+    """Texts whose polynomial hashes modulo a power of two agree, in words, in windows and in super-k-mers."""
+    x, y = thue_morse(1024), thue_morse(1024, "b", "a")
+    p, q = (" ".join(thue_morse(1024, f"{a} ", f"{b} ").split()) for a, b in (("a", "b"), ("b", "a")))
+    tail = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{p} {tail}"), (4, f"{q} {tail}"), (5, f"{x} {tail}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"hot": 0}):
+        assert result(repeats.repeats(df, **options)) == brute(rows)
+
+
+@pytest.mark.parametrize("direct", [1, 10_000])
+def test_relays_give_the_same_rows(spark, small, direct):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert result(repeats.repeats(docs, chunk_bytes=20_000, direct=direct, hot=4)) == brute(rows)
+
+
+def test_rows_of_an_exchange_do_not_grow_with_the_square(spark, small):
+    import numpy as np
+
+    from lakeloom.llm import packed as px
+
+    docs, sent, kind = spark.read.parquet(f"{small}/documents.parquet"), {}, (px.Kind((np.uint64,)),)
+    keys = np.linspace(0, 2**64 - 2**12, 500).astype(np.uint64)
+    for n in (36, 144):
+        exchange = px.Exchange(n, direct=1)
+        first = docs.select(F.pmod("doc_id", F.lit(n)).cast("int").alias("chunk"), F.col("doc_id").alias("id"), "text")
+        to = exchange.to_buckets(first, lambda t, n=n: [px.part(px.bucket_of(keys, n), [keys])], kind)
+        back = exchange.to_chunks(to, lambda parts: parts, kind, kind)
+        sent[n] = to.count()
+        assert first.select("chunk").distinct().count() * 500 == sum(len(px._parts(pa.table({"source": [r.source], "target": [r.target], "packed": [bytes(r.packed)]}), kind)[0].peer) for r in back.collect())
+    assert sent[144] <= sent[36] * 4**1.5
+    assert px.number_of_chunks(8 * 10**13) == 10**7 and px.number_of_chunks(0) == 1
+    assert px.stored_size(docs, "text") < 10**8 and px.stored_size(spark.createDataFrame([("ab",)], "text string"), "text") <= 10**4
