@@ -10,11 +10,15 @@ similarity reaches the threshold; links lose nothing, but copies are not expande
    document fill the prefix for free. Equal sets become one representative.
 3. Representatives that share a prefix shingle are joined to the least of them; components of these
    candidate links are groups. Partners always share a prefix shingle, so no link leaves a group.
-4. Groups are joined in memory; a large one as pairs of blocks, each in its own task. Every set
-   orders its shingles rarest first within the group and chooses the length of its prefix: the
-   1-prefix plus l-1 shingles, where l minimises the estimated cost of lists read plus candidates
-   verified. A pair must share at least the smaller of its two l in the corresponding prefixes
-   before its overlap is counted. Pairs that are already connected aren't looked at again.
+4. Groups are joined in memory. Every set orders its shingles rarest first within the group and
+   chooses the length of its prefix: the 1-prefix plus l-1 shingles, where l minimises the
+   estimated cost of lists read plus candidates verified. A pair must share at least the smaller
+   of its two l in the corresponding prefixes before its overlap is counted. Pairs that are
+   already connected aren't looked at again.
+   A group of more than ``SETS`` sets or ``BLOCK`` shingles is dealt out: its sets are first joined,
+   part by part, with a few of them as pivots, which most near copies link to, so this takes time
+   in proportion to the group. Pairs of one component need no comparison any more; what remains
+   is those of sets outside a group's largest component, which go as pairs of blocks.
 5. Components of the links found, over representatives, give each document its class.
 
 Shingles are compared by 64-bit hashes, sets by 128 bits; the frequencies of step 1 use fewer bits,
@@ -41,6 +45,10 @@ from lakeloom.llm.components import components
 PART = 1_500_000
 #: Shingles of a block; a task holds two blocks, and about ten numbers for each shingle.
 BLOCK = 1_000_000
+#: Sets of a group that one task joins; larger groups are dealt out.
+SETS = 256
+#: Rounds of pivots in a large group, and pivots of a round.
+ROUNDS, PIVOTS = 2, 8
 #: Cost of counting one shingle of a candidate's overlap, where reading one list entry costs 1.
 VERIFY = 0.5
 BASE = "id long, n_shingles long, print_a long, print_b long, prefix array<long>, shingles binary"
@@ -184,12 +192,16 @@ def adaptive_lengths(ranks: list[np.ndarray], frequency: np.ndarray, percent: in
     return out
 
 
-def join_in_memory(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(id, root) of every id that links connect with a smaller one; with ``side``, only pairs of different sides."""
+def join_in_memory(ids: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(id, root) of every id that links connect with a smaller one; with ``side``, only pairs of different sides.
+
+    Ids of one ``label`` count as connected from the start; then (id, root) is told of one id for each label.
+    """
     count = len(sets)
     order = np.lexsort((ids, [len(s) for s in sets]))
     ids, sets = ids[order], [sets[i] for i in order]
     side = None if side is None else side[order]
+    label = ids if label is None else label[order]
     sizes = np.array([len(s) for s in sets])
     values, inverse, frequency = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), dtype=np.int64)
@@ -214,8 +226,11 @@ def join_in_memory(ids: np.ndarray, sets: list[np.ndarray], percent: int, side:
     list_begin = np.flatnonzero(new)[np.cumsum(new) - 1]
     starts = np.concatenate([[0], np.cumsum(length)])
 
-    root = np.arange(count)
-    grouped = {i: [i] for i in range(count)}
+    _, at_first, of_label = np.unique(label, return_index=True, return_inverse=True)
+    root = at_first[of_label]
+    grouped: dict[int, list[int]] = {}
+    for i, own in enumerate(root.tolist()):
+        grouped.setdefault(own, []).append(i)
 
     def unite(x: int, y: int) -> None:
         a, b = root[x], root[y]
@@ -259,13 +274,58 @@ def join_in_memory(ids: np.ndarray, sets: list[np.ndarray], percent: int, side:
         mark[ranks[x]] = False
     out = []
     for own in grouped.values():
-        if len(own) > 1:
-            least = int(ids[own].min())
-            out += [(int(i), least) for i in ids[own] if i != least]
+        _, some = np.unique(label[own], return_index=True)
+        if len(some) > 1:
+            found = ids[own][some]
+            least = int(found.min())
+            out += [(int(i), least) for i in found if i != least]
     return out
 
 
-def linked_sets(base: DataFrame, rep: Column, percent: int, block: int) -> DataFrame:
+def _linked(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a task's sets, between sides if they have any."""
+    named = {c: table.column(c).to_numpy() for c in table.column_names if c in ("node", "side", "label")}
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+    found = join_in_memory(named["node"], sets, percent, named.get("side"), named.get("label"))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def linked_in_large(members: DataFrame, percent: int, block: int, sets: int) -> DataFrame:
+    """Links that connect what is connected in groups too large for a task.
+
+    members: group, node, n_shingles, shingles, load (the group's shingles) and many (its sets).
+    """
+    parts = F.ceil(F.greatest(F.col("load") / block, F.col("many") / sets)).cast("int")
+    members = members.withColumn("parts", parts)
+    state = members.select("group", "node", "n_shingles", "load", "parts", F.col("node").alias("label"), F.lit(True).alias("open"))
+    links, pivots = None, None
+    for r in range(ROUNDS):
+        slot = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(PIVOTS))
+        chosen = state.filter("open").groupBy("group", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(-r - 1)).alias("h"), "node")).alias("first"))
+        chosen = written(chosen.select(F.col("first.node").alias("node")), "pivots")
+        pivots = chosen if pivots is None else pivots.union(chosen)
+        some = members.join(chosen, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+        others = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("side", F.lit(0))
+        both = others.unionByName(some).select("group", "part", "node", "side", "shingles")
+        found = written(both.groupBy("group", "part").applyInArrow(lambda t: _linked(t, percent), "a long, b long"), "stars")
+        links = found if links is None else links.union(found)
+        state = state.drop("label", "open").join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        largest = state.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"))
+        state = state.join(largest, "group").join(pivots.withColumn("is_pivot", F.lit(True)).distinct(), "node", "left")
+        state = written(state.withColumn("open", F.col("is_pivot").isNull() & (F.col("label") != F.col("top.label"))).drop("top", "is_pivot"), "groups")
+        if state.filter("open").isEmpty():
+            return links
+    # Sets outside the largest component against all of their group, in pairs of blocks.
+    left = state.filter("open").groupBy("group").agg(F.ceil(F.greatest(F.sum("n_shingles") / block, F.count(F.lit(1)) / sets)).cast("int").alias("rows"))
+    placed = state.join(left, "group").join(members.select("node", "shingles"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    every = placed.select("group", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), own.alias("j"), "node", "label", F.lit(0).alias("side"), "shingles")
+    rest = placed.filter("open").select("group", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "node", "label", F.lit(1).alias("side"), "shingles")
+    found = every.unionByName(rest).groupBy("group", "i", "j").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
+    return links.union(found)
+
+
+def linked_sets(base: DataFrame, rep: Column, percent: int, block: int, sets: int = SETS) -> DataFrame:
     """Each set that may have a partner: its print, node, rep (the least over its rows) and the root it is connected with."""
     reps = (
         base.filter(F.col("print_a").isNotNull())
@@ -279,30 +339,23 @@ def linked_sets(base: DataFrame, rep: Column, percent: int, block: int) -> DataF
     near = lists.join(least, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a != b").distinct()
     groups = components(near).withColumnRenamed("root", "group")
     placed = reps.select("node", "n_shingles", "shingles").join(groups, "node")
-    loads = placed.groupBy("group").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks"))
+    loads = placed.groupBy("group").agg(F.sum("n_shingles").alias("load"), F.count(F.lit(1)).alias("many"))
     placed = placed.join(loads, "group")
-    mine = F.pmod(F.hash("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.withColumn("own", mine).withColumn("other", other)
-    placed = placed.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
-
-    def link(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        nodes = table.column("node").to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
-        found = join_in_memory(nodes, sets, percent, None if i == j else table.column("own").to_numpy())
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    links = placed.groupBy("group", "i", "j").applyInArrow(link, "a long, b long")
+    is_large = (F.col("load") > block) | (F.col("many") > sets)
+    small = placed.filter(~is_large).select("group", "node", "shingles")
+    links = small.groupBy("group").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
+    large = written(placed.filter(is_large), "large")
+    if not large.isEmpty():
+        links = links.union(linked_in_large(large, percent, block, sets))
     linked = components(links)
     return reps.select(*PRINTS, "node", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4, percent: int = 85, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES, direct: int = px.DIRECT) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4, percent: int = 85, block: int = BLOCK, sets: int = SETS, chunk_bytes: int = px.CHUNK_BYTES, direct: int = px.DIRECT) -> DataFrame:
     """One row for each row of the input: key long, n_shingles long, component_id long."""
     none = F.lit(int(px.NO_ID))
     base = written(signatures(df, key, column, n, percent, chunk_bytes, direct), "sets")
-    named = linked_sets(base, F.coalesce("id", none), percent, block)
+    named = linked_sets(base, F.coalesce("id", none), percent, block, sets)
     least_id = named.groupBy("root").agg(F.min("rep").alias("component"))
     named = named.join(least_id, "root").select(*(F.col(p).alias(f"_{p}") for p in PRINTS), "component")
     same = (base["print_a"] == named["_print_a"]) & (base["print_b"] == named["_print_b"]) & (base["n_shingles"] == named["_n_shingles"])
@@ -311,7 +364,7 @@ def classes(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 4
     return out.select(F.col("id").alias(key), "n_shingles", F.when(component == none, F.lit(None)).otherwise(component).cast("long").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, chunk_bytes: int = px.CHUNK_BYTES, direct: int = px.DIRECT) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int = 5, percent: int = 80, block: int = BLOCK, sets: int = SETS, chunk_bytes: int = px.CHUNK_BYTES, direct: int = px.DIRECT) -> DataFrame:
     """The input's rows and columns with one document of each class: the one with the least id.
 
     Rows are told apart by id and text, so rows whose ids are null or repeated stay unless their
@@ -321,7 +374,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int
     names = df.columns
     base = written(signatures(df, key, column, n, percent, chunk_bytes, direct, rows=True), "sets")
     least = F.struct(F.col("id").isNull().alias("none"), "id", "row")  # a null id is greater than every other
-    first = linked_sets(base, least, percent, block).groupBy("root").agg(F.min("rep").alias("rep"))
+    first = linked_sets(base, least, percent, block, sets).groupBy("root").agg(F.min("rep").alias("rep"))
     stay = first.select(F.col("rep.row").alias("_row"), F.lit(True).alias("_stays"))
     linked = base.filter(F.col("print_a").isNotNull()).select(F.col("row").alias("_row"), F.lit(False).alias("_stays"))
     told = linked.unionByName(stay).groupBy("_row").agg(F.max("_stays").alias("_stays"))

@@ -49,7 +49,7 @@ def family(r, base, count, edits):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 300, "chunk_bytes": 3000}, {"n": 5, "percent": 80, "block": 1000}, {"n": 2, "percent": 50}])
+@pytest.mark.parametrize("options", [{}, {"block": 300, "chunk_bytes": 3000}, {"n": 5, "percent": 80, "block": 1000}, {"n": 2, "percent": 50}, {"sets": 3, "chunk_bytes": 3000}, {"sets": 1}, {"n": 2, "percent": 50, "sets": 2}])
 def test_families_passages_and_short_texts(spark, options):
     r = random.Random(11)
     new = lambda k: [f"w{r.randrange(3000)}" for _ in range(k)]
@@ -135,6 +135,20 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_large_groups_without_a_common_centre(spark):
+    """Chains of ever more edits link neighbours only, so pivots leave much to the pairs of blocks."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(3):
+        w = [f"w{r.randrange(400)}" for _ in range(60)]
+        for _ in range(60):
+            w[r.randrange(60)] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(near.classes(df, sets=8)) == brute(rows)
+
+
 def test_words_of_one_pattern_stay_apart(spark):
     x, y = ("".join((a + b)[bin(i).count("1") % 2] for i in range(1024)) for a, b in ("ab", "ba"))
     rows = [(1, f"{x} {x} {x} {x} {x}"), (2, f"{y} {y} {y} {y} {y}"), (3, x), (4, y), (5, x)]
