@@ -13,9 +13,13 @@ document whose words are c..c+size of its source (ordered by md5 of its id) is t
 middle c + k * source_size + size / 2 lies before the target. So a source's total differs from
 its target by at most half of one document.
 
+A source's order is that of md5 hashes of id and text, so rows of one id, or without one, are
+spread as others are. Words are counted once for ``mix``, whose sizes are written to the shared
+folder without texts; ``curriculum`` counts again where it carries the rows along.
+
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
-repeated rows are separate documents (ties of the order share a place by doc_id and size); an
-empty table gives no rows.
+repeated rows are separate documents, of which any may come first; an empty table gives no rows;
+input columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import WORD
+from lakeloom.llm.common import WORD, written
 
 #: Hex digits of the md5 by which a source's rows are dealt out: 4,096 buckets for each source.
 DIGITS = 3
@@ -77,17 +81,16 @@ class Curriculum:
         return out
 
 
-def sizes(df: DataFrame, key: str = "doc_id", source: str = "source", column: str = "text") -> DataFrame:
-    """key, source, size long and the place by which a source is ordered."""
-    place = F.md5(F.coalesce(df[key].cast("string"), F.lit("")))
-    return df.select(
+def sizes(df: DataFrame, key: str = "doc_id", source: str = "source", column: str = "text") -> list[Column]:
+    """doc_id, source, size long, _s (the source, null told from text) and _place, by which a source is ordered."""
+    text = df[column].cast("string")
+    return [
         df[key].alias("doc_id"),
         df[source].cast("string").alias("source"),
-        F.coalesce(F.regexp_count(df[column].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.when(df[source].isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), df[source].cast("string"))).alias("_s"),
-        place.alias("_place"),
-        F.substring(place, 1, DIGITS).alias("_b"),
-    )
+        F.md5(F.concat(F.coalesce(df[key].cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))).alias("_place"),
+    ]
 
 
 def targets(buckets: DataFrame, c: Curriculum) -> DataFrame:
@@ -113,18 +116,19 @@ def targets(buckets: DataFrame, c: Curriculum) -> DataFrame:
     return per.select("_s", "_i", "source_size", target.alias("target"))
 
 
-def mix(df: DataFrame, c: Curriculum = Curriculum(), key: str = "doc_id", source: str = "source", column: str = "text") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken, and the time of each of two copies."""
-    rows = sizes(df, key, source, column).repartition("_s", "_b")
-    buckets = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_sum"), F.max("source").alias("source"))
+def bucket_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("_s", F.substring("_place", 1, DIGITS).alias("_b")).agg(F.sum("size").alias("_sum"), F.max("source").alias("source"))
+
+
+def placed(rows: DataFrame, buckets: DataFrame, c: Curriculum) -> DataFrame:
+    """The rows with source_size, target, copies, taken and the time of each of two copies."""
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("_s", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     places = offsets.join(targets(buckets, c), "_s")
     inside = Window.partitionBy("_s", "_b").orderBy("_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_b", F.substring("_place", 1, DIGITS)).repartition("_s", "_b")
     rows = rows.withColumn("_inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(places, ["_s", "_b"])
-    at = F.col("_offset") + F.col("_inner")
-    out = rows.withColumn("_at", at)
-    middles = [2 * F.col("_at") + 2 * k * F.col("source_size") + F.col("size") for k in range(2)]
+    middles = [2 * (F.col("_offset") + F.col("_inner")) + 2 * k * F.col("source_size") + F.col("size") for k in range(2)]
     taken = [m < 2 * F.col("target") for m in middles]
     time = []
     for m, t in zip(middles, taken, strict=True):
@@ -132,22 +136,24 @@ def mix(df: DataFrame, c: Curriculum = Curriculum(), key: str = "doc_id", source
         by_weight = F.coalesce(*[F.when(F.col("_i") == i, c.times(i, q)) for i in range(len(c.weights))])
         time.append(F.when(t & (F.col("target") > 0), by_weight))
     copies = sum((F.when(t, 1).otherwise(0) for t in taken), F.lit(0)).cast("long")
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), time[0].alias("time_1"), time[1].alias("time_2")
-    )
+    return rows.withColumns({"copies": copies, "taken": copies * F.col("size"), "time_1": time[0], "time_2": time[1]})
 
 
-def curriculum(df: DataFrame, c: Curriculum = Curriculum(), key: str = "doc_id", source: str = "source", column: str = "text") -> DataFrame:
-    """The mix itself: the input's rows, once for each copy, range-sorted by training time.
+def mix(df: DataFrame, c: Curriculum = Curriculum(), key: str = "doc_id", source: str = "source", column: str = "text") -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies, taken, and the time of each of two copies."""
+    rows = written(df.select(*sizes(df, key, source, column)), "sizes")
+    return placed(rows, bucket_sums(rows), c).select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "time_1", "time_2")
 
-    Documents meet their places by key, so rows that share a key share their copies' number.
-    """
-    placed = mix(df, c, key, source, column).groupBy(F.col("doc_id").alias("_mix_key")).agg(F.max(F.struct("copies", "time_1", "time_2")).alias("_mix"))
-    times = F.filter(F.array(F.col("_mix.time_1"), F.col("_mix.time_2")), lambda t: t.isNotNull())
-    placed = placed.select("_mix_key", F.explode(times).alias("_mix_time"))
-    names = df.columns
-    out = df.join(placed, df[key].eqNullSafe(placed["_mix_key"]))
-    return out.repartitionByRange("_mix_time", "_mix_key").sortWithinPartitions("_mix_time", "_mix_key").select(*(df[n] for n in names))
+
+def curriculum(df: DataFrame, c: Curriculum = Curriculum(), key: str = "doc_id", source: str = "source", column: str = "text") -> DataFrame:
+    """The mix itself: the input's rows, once for each copy, range-sorted by training time."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    at = {x: names[df.columns.index(x)] for x in (key, source, column)}
+    rows = plain.select(*names, *sizes(plain, at[key], at[source], at[column]))
+    out = placed(rows, written(bucket_sums(rows), "sizes"), c)
+    out = out.select(*names, "doc_id", F.explode(F.array_compact(F.array("time_1", "time_2"))).alias("time"))
+    return out.repartitionByRange("time", "doc_id").sortWithinPartitions("time", "doc_id").select(*names).toDF(*df.columns)
 
 
 def oracle(c: Curriculum = Curriculum()) -> str:
@@ -170,7 +176,7 @@ def oracle(c: Curriculum = Curriculum()) -> str:
 
     return f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(CAST(doc_id AS VARCHAR)) AS place FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(c.weights)} AS i FROM d GROUP BY source),
 w AS (SELECT *, CAST({weights} AS DOUBLE) AS weight, {float(c.most)!r} * source_size AS cap FROM s),
 l AS (SELECT *, {float(c.share)!r} * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,

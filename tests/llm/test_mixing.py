@@ -87,6 +87,24 @@ def test_mix_gives_rows_in_order_with_all_columns(spark, messy, empty):
     assert mixing.mix(empty).count() == mixing.curriculum(empty).count() == 0
 
 
+def test_rows_without_or_with_repeated_ids_have_places_of_their_own(spark):
+    rows = [(None if i % 2 else i % 3, f"w{i} " * (1 + i % 4), ["a", "b", None][i % 3], "t", i) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, time string, _mix_time long").repartition(3)
+    want = {}
+    for r in mixing.mix(df).collect():
+        want[r.source, r.size] = want.get((r.source, r.size), 0) + r.copies
+    got = {}
+    for r in mixing.curriculum(df).collect():
+        got[r.source, len(r.text.split())] = got.get((r.source, len(r.text.split())), 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+    assert mixing.curriculum(df).columns == df.columns
+
+
+def test_texts_are_read_once(spark, small):
+    plan = QUERIES["op9_mixing_curriculum"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan
+
+
 def test_wrong_schedules_are_refused():
     with pytest.raises(ValueError):
         mixing.Curriculum(schedules=((1.0, 1.0, 1.0),))
