@@ -108,6 +108,16 @@ def dropped(table: DataFrame) -> None:
         files.delete(place, True)
 
 
+def apart(keep: list[str] | tuple[str, ...], added: list[str] | tuple[str, ...]) -> list[str]:
+    """Names of kept columns in a result: ``input_`` goes in front of one that an added column, or a column before it, has."""
+    out: list[str] = []
+    for name in keep:
+        while name.lower() in {x.lower() for x in (*added, *out)}:
+            name = f"input_{name}"
+        out.append(name)
+    return out
+
+
 def text_column(df: DataFrame, column: str = "text"):
     """The text as a non-null string."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -371,16 +371,18 @@ def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text", n: int
     texts are near copies. Of near copies of one id the row of the least ``row_print`` stays, of
     rows equal in both any one; rows without a partner, such as empty texts, all stay.
     """
-    names = df.columns
-    base = written(signatures(df, key, column, n, percent, chunk_bytes, direct, rows=True), "sets")
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)  # so that no name clashes
+    key, text = names[df.columns.index(key)], names[df.columns.index(column)]
+    base = written(signatures(plain, key, text, n, percent, chunk_bytes, direct, rows=True), "sets")
     least = F.struct(F.col("id").isNull().alias("none"), "id", "row")  # a null id is greater than every other
     first = linked_sets(base, least, percent, block, sets).groupBy("root").agg(F.min("rep").alias("rep"))
-    stay = first.select(F.col("rep.row").alias("_row"), F.lit(True).alias("_stays"))
-    linked = base.filter(F.col("print_a").isNotNull()).select(F.col("row").alias("_row"), F.lit(False).alias("_stays"))
-    told = linked.unionByName(stay).groupBy("_row").agg(F.max("_stays").alias("_stays"))
-    w = Window.partitionBy("_row").orderBy("_row")
-    found = df.withColumn("_row", row_print(df, key, column)).join(told, "_row", "left").withColumn("_place", F.row_number().over(w))
-    return found.filter(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_place") == 1))).select(*names)
+    stay = first.select(F.col("rep.row").alias("row"), F.lit(True).alias("stays"))
+    linked = base.filter(F.col("print_a").isNotNull()).select("row", F.lit(False).alias("stays"))
+    told = linked.unionByName(stay).groupBy("row").agg(F.max("stays").alias("stays"))
+    w = Window.partitionBy("row").orderBy("row")
+    found = plain.withColumn("row", row_print(plain, key, text)).join(told, "row", "left").withColumn("place", F.row_number().over(w))
+    return found.filter(F.col("stays").isNull() | (F.col("stays") & (F.col("place") == 1))).select(*names).toDF(*df.columns)
 
 
 ORACLE = r"""

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeloom.llm.common import in_worker, keeps, small_batches
+from lakeloom.llm.common import apart, in_worker, keeps, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -287,7 +287,7 @@ def transducer(model: str = MODEL) -> Transducer:
 
 
 def encode(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
-    """keep columns, n_pieces long and ids array<int>."""
+    """keep columns (see ``apart``), n_pieces long and ids array<int>."""
     kinds = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +303,11 @@ def encode(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ("doc_id
     small_batches(df.sparkSession)
     out = df.select(df[column].cast("string").alias("t"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep)))
     out = out.mapInArrow(run, ", ".join([*kinds, "n_pieces long, ids array<int>"]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(apart(keep, ("n_pieces", "ids")))})
 
 
 def decode(df: DataFrame, column: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
-    """keep columns and text string."""
+    """keep columns (see ``apart``) and text string."""
     kinds = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,7 @@ def decode(df: DataFrame, column: str = "ids", keep: tuple[str, ...] = ("doc_id"
     small_batches(df.sparkSession)
     out = df.select(df[column].alias("x"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep)))
     out = out.mapInArrow(run, ", ".join([*kinds, "text string"]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(apart(keep, ("text",)))})
 
 
 def digests(df: DataFrame, key: str = "doc_id", column: str = "text", model: str = MODEL) -> DataFrame:

@@ -10,7 +10,7 @@ text's windows to share a hash: under 1e-11 for a text of 20,000 words).
 
 Defined results: a null text counts as an empty one, which fails the base rule for its length;
 repeated rows give repeated results; the input's other columns are not carried on unless named
-in ``keep``, so none can clash.
+in ``keep``; a kept column that has an added one's name gets ``input_`` in front.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import SPACES, text_column
+from lakeloom.llm.common import SPACES, apart, text_column
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -68,10 +68,11 @@ def _long(c: Column) -> Column:
 def measure(df: DataFrame, keep: list[str], column: str = "text") -> DataFrame:
     """keep columns plus the counts that the rules use."""
     zero = F.lit(0).cast("long")
-    docs = df.select(*keep, text_column(df, column).alias("_t"))
+    kept = [f"k{i}" for i in range(len(keep))]
+    docs = df.select(*(df[c].alias(k) for c, k in zip(keep, kept, strict=True)), text_column(df, column).alias("_t"))
     trimmed = F.btrim("_t", F.lit(BLANKS))
     docs = docs.select(
-        *keep,
+        *kept,
         "_t",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)).alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("_l"),
@@ -101,8 +102,8 @@ def measure(df: DataFrame, keep: list[str], column: str = "text") -> DataFrame:
     # Adding nothing, this keeps the projection whole: without it, a filter on the counts would move
     # below it, where each column would be computed again for every mention of it.
     covered = covered + (F.spark_partition_id() * 0)
-    return docs.select(
-        *keep,
+    counts = docs.select(
+        *kept,
         _long(n).alias("n_words"),
         _long(F.length(F.translate("_t", BLANKS, ""))).alias("word_chars"),
         _long(F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
@@ -115,6 +116,8 @@ def measure(df: DataFrame, keep: list[str], column: str = "text") -> DataFrame:
         _long(F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
         F.lit(1).cast("long").alias("one"),
     )
+    added = [c for c in counts.columns if c not in kept] + ["base_failed", "kept"]
+    return counts.withColumnsRenamed(dict(zip(kept, apart(keep, added), strict=True)))
 
 
 def compiled(table: tuple[Rule, ...] = TABLE) -> Column:

@@ -1,32 +1,43 @@
 """Personal data and secrets replaced by keyed surrogates of the same type and format.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards and other long numbers,
-IBANs, US social security numbers, secrets after a key word, and people named after a title.
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards and other long
+numbers, IBANs, US social security numbers, secrets after a key word, and people named after a
+title. A name that a document gives with a title is replaced wherever the document has it again,
+unless the document also has that word in small letters.
 
 A surrogate is a keyed permutation of the values that share an entity's type and format: digits
 stay digits, letters stay letters of their script and case, separators stay, octets stay octets,
 check digits stay right (or wrong), given names of the built-in lists stay within their language
 and gender, vowels stay vowels in other names. As it is a permutation, distinct entities of a
-format get distinct surrogates, and one entity gets one surrogate in every document (letter case
-and the way a phone number is set out don't matter), which preserves coreference.
+format get distinct surrogates, and one entity gets one surrogate in every document, which
+preserves coreference. The way a phone number is set out doesn't matter, nor does letter case,
+except in secrets. Each word of a name is an entity of its own, so that a person's full and short
+names stay related.
 
 ``collisions`` checks what the permutation can't promise: that no surrogate is itself an entity of
 the corpus, or another entity's surrogate. Such entities get a further attempt, which enters the
 permutation as a tweak, until none is left; after ``LONGER`` attempts every format grows, by more
 with each attempt, so that free values never run out. Values without a letter or digit to permute
-(a masked password) get keyed ones instead. Given names alone stay within lists all of whose names
+(a masked password) get keyed ones instead. Given names stay within lists all of whose names
 may be real, so they are not checked against entities, but none stays itself. Moved entities are few; up to ``BROADCAST`` of them are sent to
 all executors, more are joined to their documents.
 
+Texts go through detection twice, once for the corpus' entities and once to be replaced. It looks
+for rare characters and words first and runs its patterns at those places only, which costs less
+than keeping texts or spans between the passes would.
+
 Defined results: null texts stay null, empty ones empty; texts without entities are unchanged to
-the byte; repeated rows get equal replacements; overlapping matches: the leftmost, then the
-longest type in the order of DETECTORS.
+the byte; repeated rows get equal replacements; overlapping matches: the leftmost, then the first
+type in the order of TYPES; input columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
+import itertools
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -40,8 +51,6 @@ from lakeloom.llm.common import in_worker, keeps, small_batches, written
 KEY = b"replace this key"  # production passes its own
 BROADCAST = 50_000
 ROUNDS = 8
-#: Attempts after which the surrogates themselves must be wrong: formats that grow have free values long before.
-ATTEMPTS = 40
 #: Attempts after which a surrogate may be longer than its entity.
 LONGER = 6
 
@@ -64,9 +73,25 @@ GIVEN = {
 _LIST_OF = {n.lower(): (k, i) for k, names in GIVEN.items() for i, n in enumerate(names)}
 
 #: Letters that may stand for each other: by script, vowels and consonants apart.
-_ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâáäæãå", "éèêë", "îïíì", "ôöóòœõ", "ùûüú", "çñß", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"]
-_PLACE = {c: (a, i) for a, letters in enumerate(_ALPHABETS) for i, c in enumerate(letters)}
-_SIZES = [len(a) for a in _ALPHABETS]
+_ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâáäæãå", "éèêë", "îïíì", "ôöóòœõ", "ùûüú", "çñß", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "ϊϋΐΰ", "ς", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "ёіїє", "йґў", "ъь"]
+_PLACE = {c: (letters, i) for letters in _ALPHABETS for i, c in enumerate(letters)}
+
+
+@lru_cache(maxsize=10_000)
+def _place(c: str) -> tuple[str, int] | None:
+    """Alphabet and place of a small letter or digit: of the list, else the letters of its kind (vowels
+    apart, if they are accented) next to it in Unicode; none if there is nothing to exchange it for."""
+    if c in _PLACE:
+        return _PLACE[c]
+    if not c.isalnum() or c.lower() != c:
+        return None
+
+    def kind(x: str) -> tuple:
+        base = unicodedata.normalize("NFD", x)[0]
+        return unicodedata.category(x), base == x, base in "aeiouyαεηιουωаеиоуыэюя"
+
+    near = [x for x in map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1)) if x not in _PLACE and x.isalnum() and x.lower() == x and len(x.upper()) == 1 and kind(x) == kind(c)]
+    return ("".join(near), near.index(c)) if len(near) > 1 and c in near else None
 
 
 def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -87,20 +112,21 @@ def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def by_alphabet(text: str, key: bytes, tweak: str) -> str:
-    """Lower-case text with every known letter and digit replaced within its alphabet, all at once."""
-    places = [_PLACE.get(c) for c in text]
-    shape = "".join(c if p is None else chr(0xE000 + p[0]) for c, p in zip(text, places, strict=True))
+    """Text with every letter and digit that has an alphabet replaced within it, all at once; case stays."""
+    lower = [c.lower() for c in text]
+    places = [_place(c) for c in lower]
+    shape = "|".join([(low if low == c else c) if p is None else f"{p[0][0]}{int(low != c)}" for c, low, p in zip(text, lower, places, strict=True)])
     value, size = 0, 1
     for p in places:
         if p:
-            value, size = value * _SIZES[p[0]] + p[1], size * _SIZES[p[0]]
+            value, size = value * len(p[0]) + p[1], size * len(p[0])
     value = permuted(value, size, key, f"{tweak}|{shape}")
     out = list(text)
     for i in range(len(text) - 1, -1, -1):
         if places[i]:
-            a = places[i][0]
-            value, digit = divmod(value, _SIZES[a])
-            out[i] = _ALPHABETS[a][digit]
+            letters = places[i][0]
+            value, digit = divmod(value, len(letters))
+            out[i] = letters[digit] if text[i] == lower[i] or len(letters[digit].upper()) != 1 else letters[digit].upper()
     return "".join(out)
 
 
@@ -124,7 +150,7 @@ def _fill(shape: str, digits: str) -> str:
 
 def _fixed(text: str) -> bool:
     """Whether by_alphabet can only return the text itself."""
-    return not any(c in _PLACE for c in text)
+    return not any((p := _place(c.lower())) and len(p[0]) > 1 for c in text)
 
 
 def _keyed(e: str, key: bytes, tweak: str, width: int) -> str:
@@ -171,6 +197,30 @@ def _ip(e: str, key: bytes, tweak: str) -> str:
     return ".".join(map(str, value.to_bytes(4, "big"))) + _more(e, key, tweak)
 
 
+def _ip6(e: str, key: bytes, tweak: str) -> str:
+    """Groups of zeros stay, until the surrogate has to grow; other groups are permuted together."""
+    groups = [int(g, 16) for g in ipaddress.IPv6Address(e).exploded.split(":")]
+    own = [i for i, g in enumerate(groups) if g]
+    value = 0
+    for i in own:
+        value = value * 65535 + groups[i] - 1
+    value = permuted(value, 65535 ** len(own), key, f"{tweak}|{own}")
+    for i in reversed(own):
+        value, g = divmod(value, 65535)
+        groups[i] = g + 1
+    for k, i in enumerate([i for i in range(8) if i not in own][: _growth(tweak)]):
+        groups[i] = 1 + permuted(0, 65535, key, f"{tweak}|{e}|{k}")
+    return str(ipaddress.IPv6Address(":".join(f"{g:x}" for g in groups)))
+
+
+def _phone(e: str, key: bytes, tweak: str) -> str:
+    """Digits; a number of nine digits (French, without its first 0) keeps a first digit that isn't 0."""
+    out = by_alphabet(e, key, tweak)
+    while len(e) == 9 and e[0] != "0" and out[0] == "0":
+        out = by_alphabet(out, key, tweak)
+    return out + _more(e, key, tweak)
+
+
 def _iban_is_right(e: str) -> bool:
     return int("".join(str(int(c, 36)) for c in e[4:] + e[:4])) % 97 == 1
 
@@ -183,8 +233,10 @@ def _iban(e: str, key: bytes, tweak: str) -> str:
 
 
 def _secret(e: str, key: bytes, tweak: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+", e):
-        return f"{permuted(int(e, 16), 16 ** len(e), key, f'{tweak}|hex{len(e)}'):0{len(e)}x}" + _more(e, key, tweak)
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", e) and not e.isdigit():
+        upper = e.upper() == e
+        new = f"{permuted(int(e, 16), 16 ** len(e), key, f'{tweak}|hex{len(e)}{upper}'):0{len(e)}x}" + _more(e, key, tweak)
+        return new.upper() if upper else new
     if _fixed(e):
         return _keyed(e, key, tweak, len(e) + _growth(tweak))
     return by_alphabet(e, key, tweak) + _more(e, key, tweak)
@@ -192,8 +244,9 @@ def _secret(e: str, key: bytes, tweak: str) -> str:
 
 def _syllables(word: str, e: str, key: bytes, tweak: str, count: int) -> str:
     """So many keyed pairs of consonant and vowel in the script of the word's last letter."""
-    vowels = 9 if "α" <= word[-1] <= "ω" else 11 if "а" <= word[-1] <= "ӿ" else 1
-    a, b = _ALPHABETS[vowels + 1], _ALPHABETS[vowels]
+    first = "α" if "α" <= word[-1] <= "ω" else "а" if "а" <= word[-1] <= "ӿ" else "a"
+    at = next(i for i, letters in enumerate(_ALPHABETS) if letters[0] == first)
+    a, b = _ALPHABETS[at + 1], _ALPHABETS[at]
     value, out = permuted(0, (len(a) * len(b)) ** count, key, f"{tweak}|{e}|syllables"), ""
     for _ in range(count):
         value, x = divmod(value, len(a) * len(b))
@@ -208,66 +261,76 @@ def _after(names: str, key: bytes, tweak: str) -> list[int]:
     return [order[(order.index(i) + 1) % len(order)] for i in range(len(order))]
 
 
-def _person(e: str, key: bytes, tweak: str) -> str:
-    """Given names of a list stay in it; other names keep their length, script and vowels."""
-    gender, _, names = e.partition(":")
-    words = names.split(" ")
-    listed = [_LIST_OF.get(w) for w in words]
-    kind = " ".join(x[0] if x else "-" for x in listed)
-    # One permutation of the whole name: places in the lists, then the letters of the other words.
-    out = []
-    last = max((i for i, x in enumerate(listed) if not x), default=-1)
-    for i, (w, x) in enumerate(zip(words, listed, strict=True)):
-        if x and last < 0:
-            out.append(GIVEN[x[0]][_after(x[0], key, f"{tweak}|{kind}|{i}")[x[1]]].lower())
-        elif x:
-            others = "|".join(v for k, v in enumerate(words) if k != i and not listed[k])
-            names_of = GIVEN[x[0]]
-            out.append(names_of[permuted(x[1], len(names_of), key, f"{tweak}|{kind}|{i}|{others}")].lower())
-        else:
-            new = _syllables(w, e, key, f"{tweak}|{i}", (len(w) + 1) // 2) if _fixed(w) else by_alphabet(w, key, f"{tweak}|{gender}|{kind}|{i}")
-            grown = _growth(tweak) if i == last else 0
-            out.append(new + (_syllables(w, e, key, f"{tweak}|{i}|longer", grown) if grown else ""))
-    return f"{gender}:{' '.join(out)}"
-
-
-#: Each type's permutation of its normal form.
+def _given(e: str, key: bytes, tweak: str) -> str:
+    """Another given name of the list, so of the language and gender."""
+    names, i = _LIST_OF[e]
+    return GIVEN[names][_after(names, key, tweak)[i]].lower()
+
+
+def _name(e: str, key: bytes, tweak: str) -> str:
+    """Names that are in no list keep their length, script and vowels."""
+    new = _syllables(e, e, key, tweak, (len(e) + 1) // 2) if _fixed(e) else by_alphabet(e, key, tweak)
+    grown = _growth(tweak)
+    return new + (_syllables(e, e, key, f"{tweak}|longer", grown) if grown else "")
+
+
+#: Each type's permutation of its normal form; where matches begin together the first type counts.
 SURROGATE: dict[str, Callable[[str, bytes, str], str]] = {
-    "email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ssn": _number, "phone": _number, "card": _card, "person": _person, "given": _person,
+    "secret": _secret, "email": _email, "iban": _iban, "ip6": _ip6, "ip": _ip, "ssn": _number, "card": _card, "phone": _phone, "given": _given, "name": _name,
 }
+TYPES = {t: i for i, t in enumerate(SURROGATE)}
 
 _TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^\W\d_]+(?:[-'][A-ZÀ-ÖØ-Þ][^\W\d_]+)?"
-DETECTORS = {
-    "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*)(?:\"(?P<secret_a>[^\"\s]{6,})\"|'(?P<secret_b>[^'\s]{6,})'|(?P<secret_c>[A-Za-z0-9+/_=-]{12,}))",
-    "email": r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w-]))",
-    "iban": r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)",
-    "ip": r"(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9]))",
-    "ssn": r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
-    "card": r"(?P<card>(?<![0-9.])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])|(?<![0-9.])[0-9]{13,19}(?![0-9]))",
-    "phone": r"(?P<phone>(?<![0-9\w])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9]|[ -][0-9])|(?<!\w)\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9]))",
-}
-_TITLES = "|".join(sorted(_TITLE_OF, key=len, reverse=True))
-PERSON = rf"\b(?P<title>{_TITLES})\b(?P<gap>\.?[ ])(?P<person>{_NAME}(?:[ ]{_NAME}){{0,2}})"
-NUMBERS = re.compile("|".join(DETECTORS.values()))
-PEOPLE = re.compile(PERSON)
-_HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)\W").search
-
-
-def normal(kind: str, text: str, title: str = "") -> str:
+_UPPER = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x590)) if c.isupper())
+_WORD = rf"[{_UPPER}][^\W\d_]+"
+_NAME = rf"(?:[{_UPPER}]['’])?{_WORD}(?:[-'’]{_WORD})*"
+_IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+SECRET = re.compile(r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*)(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([A-Za-z0-9+/_=-]{12,}))")
+_SECRET_WORDS = ("key", "secret", "token", "passw", "pwd")
+EMAIL_USER = re.compile(r"[\w.+-]")
+EMAIL_HOST = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w-])")
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+FRENCH = r"\+33[ .-]?[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9]|[ -][0-9])|0[1-9](?:[ .-][0-9]{2}){4}(?![0-9]|[ -][0-9])"
+#: What may hold numbers: four digits or more, with at most two separators between each.
+DIGITS = re.compile(r"[0-9](?:[ .()-]{0,2}[0-9]){3,}")
+NUMBERS = re.compile(
+    rf"(?P<ip>(?<![0-9.]){_IPV4}(?![0-9]|\.[0-9]))"
+    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<card>(?<![0-9.])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])|(?<![0-9.])[0-9]{13,19}(?![0-9]))"
+    rf"|(?P<phone>(?<![\w+])(?:{FRENCH})"
+    r"|(?<![0-9\w])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9]|[ -][0-9])"
+    r"|(?<!\w)\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9]))"
+)
+PERSON = re.compile(rf"\.?[ ]({_NAME}(?:[ ]{_NAME}){{0,2}})")
+CAPITALISED = re.compile(rf"(?<!\w){_WORD}")
+SMALL = re.compile(r"[^\W\d_]+")
+
+
+def normal(kind: str, text: str) -> str:
     """What two mentions of one entity have in common."""
-    if kind in ("email", "secret"):
-        return text.lower()
     if kind == "iban":
         return text.replace(" ", "").lower()[:2].upper() + text.replace(" ", "")[2:].lower()
     if kind == "phone":
         digits = _digits(text)
+        if re.fullmatch(FRENCH, text):
+            return digits[-9:]
         return digits[-10:] if len(digits) >= 10 else digits
     if kind in ("card", "ssn"):
         return _digits(text)
     if kind == "ip":
         return ".".join(str(int(x)) for x in text.split("."))
-    return f"{_TITLE_OF.get(title, 'n')}:{text.lower()}"
+    if kind == "ip6":
+        return str(ipaddress.IPv6Address(text))
+    return text if kind == "secret" else text.lower()
+
+
+def _cased(text: str, new: str) -> str:
+    """A surrogate in small letters with the text's capitals."""
+    if text.upper() == text and text.lower() != text and len(text) > 1:
+        return new.upper()
+    out = [n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(text, new)]
+    return "".join(out) + new[len(out) :]
 
 
 def render(kind: str, text: str, new: str) -> str:
@@ -280,34 +343,88 @@ def render(kind: str, text: str, new: str) -> str:
     if kind == "iban":
         it = iter(new.upper())
         return "".join([c if c == " " else next(it) for c in text]) + "".join(it)
-    if kind == "secret":
-        return new.upper() if text.upper() == text and text.lower() != text else new
-    if kind == "email":
+    if kind == "ip6":
+        new = new if "::" in text else ":".join(f"{int(g, 16):x}" for g in ipaddress.IPv6Address(new).exploded.split(":"))
         return new.upper() if text.upper() == text else new
-    if kind in ("person", "given"):
-        new = new.partition(":")[2]
-        words = []
-        for old, w in zip(text.split(" "), new.split(" "), strict=True):
-            words.append(w.upper() if len(old) > 1 and old.isupper() else "-".join(x[:1].upper() + x[1:] for x in w.split("-")))
-        return " ".join(words)
-    return new
-
-
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """Start, end, type and normal form of each entity, in order, without overlaps."""
-    out = []
-    if _HINT(text):
-        for m in NUMBERS.finditer(text):
-            group = m.lastgroup
-            kind = "secret" if group.startswith("secret") else group
-            if kind == "iban" and not _iban_is_right(m[group].replace(" ", "")):
+    return _cased(text, new) if kind in ("email", "given", "name") else new
+
+
+Found = tuple[int, int, str, str]
+
+
+def _secrets(text: str) -> Iterator[Found]:
+    low = text.lower()
+    if any(w in low for w in _SECRET_WORDS):
+        for m in SECRET.finditer(text):
+            yield *m.span(m.lastindex), "secret", m[m.lastindex]
+
+
+def _emails(text: str) -> Iterator[Found]:
+    at = text.find("@")
+    while at >= 0:
+        begin = at
+        while begin and EMAIL_USER.match(text, begin - 1):
+            begin -= 1
+        m = EMAIL_HOST.match(text, at) if begin < at else None
+        if m:
+            yield begin, m.end(), "email", text[begin : m.end()].lower()
+        at = text.find("@", m.end() if m else at + 1)
+
+
+def _numbers(text: str) -> Iterator[Found]:
+    for region in DIGITS.finditer(text):
+        # What begins before the digits: "+" of a country, "(" of an area.
+        at, end = max(0, region.start() - 2), min(len(text), region.end() + 2)
+        while m := NUMBERS.search(text, at, end):
+            yield *m.span(), m.lastgroup, normal(m.lastgroup, m[0])
+            at = m.end()
+    for m in IBAN.finditer(text):
+        if _iban_is_right(m[0].replace(" ", "")):
+            yield *m.span(), "iban", normal("iban", m[0])
+    if text.count(":") > 1:
+        for m in IP6.finditer(text):
+            try:
+                value = int(ipaddress.IPv6Address(m[0]))
+            except ValueError:
                 continue
-            out.append((*m.span(group), kind, normal(kind, m[group])))
-    if any(t in text for t in _TITLE_OF):
-        for m in PEOPLE.finditer(text):
-            kind = "given" if all(w.lower() in _LIST_OF for w in m["person"].split(" ")) else "person"
-            out.append((*m.span("person"), kind, normal(kind, m["person"], m["title"])))
-        out.sort()
+            if value > 1 and any(c in "0123456789" for c in m[0]) and len(m[0]) > 6:  # not "a::", nor this machine
+                yield *m.span(), "ip6", normal("ip6", m[0])
+
+
+def _words(text: str, begin: int, end: int) -> Iterator[Found]:
+    for m in CAPITALISED.finditer(text, begin, end):
+        low = m[0].lower()
+        yield *m.span(), "given" if low in _LIST_OF else "name", low
+
+
+def _people(text: str) -> Iterator[Found]:
+    known: dict[str, str] = {}
+    titled = []
+    for title in _TITLE_OF:
+        at = text.find(title)
+        while at >= 0:
+            end = at + len(title)
+            if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")) and (m := PERSON.match(text, end)):
+                titled += _words(text, *m.span(1))
+            at = text.find(title, end)
+    if not titled:
+        return
+    yield from titled
+    known = {f[3]: f[2] for f in titled}
+    common = {w for w in SMALL.findall(text) if w in known}
+    for m in CAPITALISED.finditer(text):
+        low = m[0].lower()
+        if low in known and low not in common:
+            yield *m.span(), known[low], low
+
+
+def find(text: str) -> list[Found]:
+    """Start, end, type and normal form of each entity, in order, without overlaps."""
+    out = [*_secrets(text), *_emails(text), *_people(text)]
+    if DIGITS.search(text) or text.count(":") > 1:
+        out += _numbers(text)
+    if len(out) > 1:
+        out.sort(key=lambda f: (f[0], TYPES[f[2]], -f[1]))
     end, kept = -1, []
     for e in out:
         if e[0] >= end:
@@ -337,20 +454,20 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     return "".join([*out, text[at:]]), [f[2] for f in found]
 
 
-def entities(df: DataFrame, column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep columns, type and entity: one row for each mention."""
-    kinds = [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
+def entities(df: DataFrame, column: str = "text", prints: bool = False) -> DataFrame:
+    """type and entity of each mention, with the md5 of its text if asked for."""
+    extra = ["print"] * prints
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_worker("surrogates")
         for b in batches:
             rows = [(i, f[2], f[3]) for i, t in enumerate(b.column(0).to_pylist()) if t for f in find(t)]
             at = pa.array([r[0] for r in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[1:]), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[*(f"k{i}" for i in range(len(keep))), "type", "entity"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), *(c.take(at) for c in b.columns[1:])], names=["type", "entity", *extra])
 
     small_batches(df.sparkSession)
-    out = df.select(df[column].cast("string").alias("t"), *(df[c].alias(f"k{i}") for i, c in enumerate(keep)))
-    return out.mapInArrow(run, ", ".join([*kinds, "type string", "entity string"])).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    text = df[column].cast("string")
+    return df.select(text.alias("t"), *([F.md5(text).alias("print")] * prints)).mapInArrow(run, "type string, entity string" + ", print string" * prints)
 
 
 def assigned(rows: DataFrame, key: bytes) -> DataFrame:
@@ -374,9 +491,9 @@ def collisions(mentions: DataFrame, key: bytes, compute: Callable[[DataFrame, by
     every = written(mentions.groupBy("type", "entity").agg(F.lit(0).alias("attempt")), "entities")
     current = written(compute(every, key), "surrogates")
     changed = False
-    for _ in range(ATTEMPTS):
+    for _ in itertools.count():  # formats grow with each attempt, so it ends
         real = every.select("type", F.col("entity").alias("surrogate"))
-        # A given name alone stays within its short list, all of whose names may be real.
+        # A given name stays within its short list, all of whose names may be real.
         is_real = current.filter("type != 'given'").join(real, ["type", "surrogate"], "left_semi").select("type", "entity")
         keeper = current.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = current.join(keeper, ["type", "surrogate"]).filter(F.col("entity") != F.col("first.entity")).select("type", "entity")
@@ -386,42 +503,54 @@ def collisions(mentions: DataFrame, key: bytes, compute: Callable[[DataFrame, by
         changed = True
         again = current.join(taken, ["type", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         current = written(current.join(taken, ["type", "entity"], "left_anti").unionByName(compute(again, key)), "surrogates")
-    raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts, though every format has grown")
 
 
-def _replace(df: DataFrame, column: str, key: bytes, shared, listed: str | None) -> DataFrame:
-    """All columns with the text replaced, plus _types; ``listed`` names a column of a row's own attempts."""
-    names = df.columns
-    place = names.index(column)
+def _replace(df: DataFrame, key: bytes, shared, listed: bool) -> DataFrame:
+    """Columns c0 (the text, replaced) and on, then ``types``; ``listed``: the last column has a row's own attempts."""
+    fields = [f for f in df.schema.fields if not (listed and f.name == "attempts")]
+    kept = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_worker("surrogates")
         common = shared.value if shared else {}
         for b in batches:
-            own = b.column(names.index(listed)).to_pylist() if listed else [None] * b.num_rows
+            own = b.column(b.num_columns - 1).to_pylist() if listed else [None] * b.num_rows
             texts, types = [], []
-            for t, rows in zip(b.column(place).to_pylist(), own, strict=True):
+            for t, rows in zip(b.column(0).to_pylist(), own, strict=True):
                 attempts = {(r["type"], r["entity"]): r["attempt"] for r in rows} if rows else common
                 new, found = (None, []) if t is None else replaced(t, key, attempts)
                 texts.append(new)
                 types.append(found)
-            columns = list(b.columns)
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(types, pa.list_(pa.string()))], names=[*names, "_types"])
+            columns = b.columns[1 : b.num_columns - 1] if listed else b.columns[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *columns, pa.array(types, pa.list_(pa.string()))], names=[*kept, "types"])
 
     small_batches(df.sparkSession)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_types", T.ArrayType(T.StringType()))]))
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField("types", T.ArrayType(T.StringType()))]))
+
+
+def surrogates(df: DataFrame, key: bytes = KEY, column: str = "text", broadcast: int = BROADCAST, types_as: str = "_types") -> DataFrame:
+    """All columns of the input, the text replaced, plus ``types_as``: the types of its entities in order.
+
+    If the input has a column of that name, the types' one has an underscore more in front.
+    """
+    names = df.columns
+    while types_as.lower() in {n.lower() for n in names}:
+        types_as = f"_{types_as}"
+    at = names.index(column)
+    places = [at, *(i for i in range(len(names)) if i != at)]
+    numbered = df.toDF(*(f"c{places.index(i)}" for i in range(len(names))))
+    plain = numbered.select(F.col("c0").cast("string").alias("c0"), *(f"c{i}" for i in range(1, len(names))))
 
+    def named(out: DataFrame) -> DataFrame:
+        return out.select(*(f"c{places.index(i)}" for i in range(len(names))), "types").toDF(*names, types_as)
 
-def surrogates(df: DataFrame, key: bytes = KEY, column: str = "text", id_column: str = "doc_id", broadcast: int = BROADCAST) -> DataFrame:
-    """All columns of the input, the text replaced, plus ``_types``: the types of its entities in order."""
-    clashes = collisions(entities(df, column), key)
+    clashes = collisions(entities(plain, "c0"), key)
     if clashes is None:
-        return _replace(df, column, key, None, None)
+        return named(_replace(plain, key, None, False))
     few = clashes.limit(broadcast + 1).collect()
     if len(few) <= broadcast:
         shared = df.sparkSession.sparkContext.broadcast({(r.type, r.entity): r.attempt for r in few})
-        return _replace(df, column, key, shared, None)
-    mine = entities(df, column, (id_column,)).join(clashes, ["type", "entity"]).groupBy(F.col(id_column).alias("_surrogate_id")).agg(F.collect_set(F.struct("type", "entity", "attempt")).alias("_attempts"))
-    joined = df.join(mine, df[id_column].eqNullSafe(mine["_surrogate_id"]), "left").drop("_surrogate_id")
-    return _replace(joined, column, key, None, "_attempts").drop("_attempts")
+        return named(_replace(plain, key, shared, False))
+    mine = entities(plain, "c0", prints=True).join(clashes, ["type", "entity"]).groupBy("print").agg(F.collect_set(F.struct("type", "entity", "attempt")).alias("attempts"))
+    joined = plain.withColumn("print", F.md5("c0")).join(mine, "print", "left").select(*plain.columns, "attempts")
+    return named(_replace(joined, key, None, True))

@@ -13,6 +13,8 @@ MESSY = [
     (6, "日本語 ▁ 😀 ﬁ x y\x1cz", "xx", "", 12, "q"),
     (7, "one two", "en", "s3", 7, "q"),
 ]
+#: Names that operators use inside, or give to what they add.
+INSIDE = "chunk bucket id _types _attempts _mix_time _mix_key _stay _stays _row k t n_words size times types print key bytes h i label score predicted c0 c1 _t _w _place _s time_1 copies".split()
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -20,15 +22,14 @@ SCHEMA = T.StructType(
         T.StructField("lang", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
-        # Names that operators use inside.
-        T.StructField("chunk", T.StringType()),
+        *(T.StructField(n, T.StringType()) for n in INSIDE),
     ]
 )
 
 
 @pytest.fixture(scope="session")
 def messy(spark):
-    return spark.createDataFrame(MESSY, SCHEMA).repartition(3)
+    return spark.createDataFrame([(*row, *[None] * (len(INSIDE) - 1)) for row in MESSY], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -58,3 +58,9 @@ def test_table_is_compiled(spark):
     rule = (rules.Rule("few", "n_symbols", "<=", (1, 2), "n_words"),)
     assert [r[0] for r in df.orderBy("doc_id").select(rules.compiled(rule)).collect()] == [True, False]
     assert [r[0] for r in df.select(rules.compiled(())).collect()] == [True, True]
+
+
+def test_kept_columns_may_have_any_names(messy):
+    out = rules.quality_rules(messy, messy.columns)
+    assert {"input_n_words", "k", "t", "n_words", "_t", "kept"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    assert out.count() == 9
