@@ -143,13 +143,13 @@ def casts(spark: SparkSession, d: str) -> DataFrame:
 @registry.query(
     "fn_arrays",
     """
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, list_sort(list_distinct(w[1:5])) AS head, list_contains(w, 'the') AS has, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS letters,
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, list_sort(list_distinct(w[1:5])) AS head, list_contains(w, 'the') AS has, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS letters,
   CAST(len(list_filter(w, lambda x: length(x) > 8)) AS BIGINT) AS long_words, CAST(list_position(w, 'the') AS BIGINT) AS place
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en') AS t WHERE len(w) > 5
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) AS t
 """,
 )
 def arrays(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w")).filter(F.size("w") > 5)
+    df = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w"))
     letters = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     place = F.array_position("w", "the")
     return df.select(

@@ -71,3 +71,29 @@ def map_batches(spark: SparkSession, d: str) -> DataFrame:
 
     df = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     return df.mapInArrow(run, "vec_id long, label int, total double").withColumn("total", F.round("total", 4))
+
+
+@F.arrow_udtf(returnType="word string, size int")
+class Sized:
+    """Words of the texts of a table's only column and their lengths, a batch at a time."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        words = pc.list_flatten(pc.utf8_split_whitespace(rows.column(0)))
+        yield pa.table({"word": words, "size": pc.cast(pc.utf8_length(words), pa.int32())})
+
+
+@registry.query("udf_arrow_table", "SELECT r_name AS word, CAST(length(r_name) AS INTEGER) AS size FROM (SELECT unnest(string_split(r_name, ' ')) AS r_name FROM region) AS t")
+def arrow_table(spark: SparkSession, d: str) -> DataFrame:
+    return Sized(table(spark, d, "region").select("r_name").asTable())
+
+
+@registry.query("udf_pandas_batches", "SELECT o_orderkey, o_totalprice / 2 AS half FROM orders WHERE o_totalprice > 100000")
+def pandas_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pandas batches, of which any number of rows may come back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            dear = b[b["o_totalprice"] > 100_000]
+            yield pd.DataFrame({"o_orderkey": dear["o_orderkey"], "half": dear["o_totalprice"] / 2})
+
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").mapInPandas(run, "o_orderkey long, half double")

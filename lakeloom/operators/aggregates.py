@@ -134,6 +134,77 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@registry.query(
+    "agg_shape",
+    """
+SELECT l_returnflag, round(avg(d * d * d) / power(avg(d * d), 1.5), 6) AS skew, round(avg(d * d * d * d) / (avg(d * d) * avg(d * d)) - 3, 6) AS excess FROM (
+  SELECT l_returnflag, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS d FROM lineitem) AS t GROUP BY 1
+""",
+)
+def shape(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.skewness("l_extendedprice"), 6).alias("skew"), F.round(F.kurtosis("l_extendedprice"), 6).alias("excess"))
+
+
+@registry.query("agg_lists", "SELECT n_regionkey, list_sort(list(n_name)) AS names, string_agg(n_name, '; ' ORDER BY n_name DESC) AS listed FROM nation GROUP BY 1")
+def lists(spark: SparkSession, d: str) -> DataFrame:
+    """A dimension of a fixed size, so its lists are bounded."""
+    listed = F.expr("listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name DESC)")
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.array_agg("n_name")).alias("names"), listed.alias("listed"))
+
+
+@registry.query("agg_numeric_histogram", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, TRUE AS rising, TRUE AS inside FROM lineitem GROUP BY 1")
+def numeric_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """A histogram of twenty bins that are placed as rows come: its heights add up, its places rise within the values' range."""
+    df = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.histogram_numeric("l_quantity", F.lit(20)).alias("h"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    x = F.transform("h", lambda b: b["x"])
+    total = F.aggregate("h", F.lit(0.0), lambda a, b: a + b["y"]).cast("long")
+    return df.select("l_returnflag", total.alias("n"), (F.array_sort(x) == x).alias("rising"), ((F.array_min(x) >= F.col("low")) & (F.array_max(x) <= F.col("high"))).alias("inside"))
+
+
+#: Error and confidence of counts by sketch, and the bytes that a sketch of these takes whatever it has seen.
+COUNT_ERROR, COUNT_CONFIDENCE, COUNT_BYTES = 0.01, 0.95, 8060
+
+
+@registry.query("agg_count_min", f"SELECT event_type, CAST({COUNT_BYTES} AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS seen FROM events GROUP BY 1")
+def count_min(spark: SparkSession, d: str) -> DataFrame:
+    """A count-min sketch of each type's users: of a fixed size, with the number of rows it has seen in its header."""
+    df = table(spark, d, "events").groupBy("event_type").agg(F.count_min_sketch("user_id", F.lit(COUNT_ERROR), F.lit(COUNT_CONFIDENCE), F.lit(7)).alias("s"))
+    seen = F.conv(F.hex(F.substring("s", 5, 8)), 16, 10).cast("long")
+    return df.select("event_type", F.octet_length("s").cast("long").alias("bytes"), seen.alias("seen"))
+
+
+def count_estimate(sketch: bytes, value: int) -> int:
+    """How often a count-min sketch has seen a whole number, never too few; the sketch as ``count_min_sketch`` gives it."""
+    depth, width = int.from_bytes(sketch[12:16], "big"), int.from_bytes(sketch[16:20], "big")
+    at = 20 + 8 * depth
+    least = None
+    for row in range(depth):
+        a = int.from_bytes(sketch[20 + 8 * row : 28 + 8 * row], "big")
+        h = a * value & 0xFFFFFFFFFFFFFFFF
+        h -= h >> 63 << 64  # as a signed number
+        h = (h + (h >> 32)) & 0x7FFFFFFF
+        cell = at + 8 * (row * width + h % width)
+        n = int.from_bytes(sketch[cell : cell + 8], "big")
+        least = n if least is None else min(least, n)
+    return least or 0
+
+
+@registry.query("agg_approximate", "SELECT event_type, CAST(count(DISTINCT event_id) AS BIGINT) AS exact, TRUE AS hll_near, TRUE AS sketch_near, TRUE AS theta_near, TRUE AS median_near FROM events GROUP BY 1")
+def approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate distinct counts and medians within their stated errors of the exact ones: 5 and 10 per cent."""
+    df = table(spark, d, "events").groupBy("event_type").agg(
+        F.countDistinct("event_id").alias("exact"),
+        F.approx_count_distinct("event_id", 0.01).alias("a"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("event_id", 14)).alias("b"),
+        F.theta_sketch_estimate(F.theta_sketch_agg("event_id", 14)).alias("c"),
+        F.percentile_approx("value", 0.5, 10_000).alias("m"),
+        F.percentile("value", 0.45).alias("low"),
+        F.percentile("value", 0.55).alias("high"),
+    )
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.05 * F.col("exact")
+    return df.select("event_type", "exact", near("a").alias("hll_near"), near("b").alias("sketch_near"), near("c").alias("theta_near"), F.col("m").between(F.col("low"), F.col("high")).alias("median_near"))
+
+
 @registry.query("agg_sketches")
 def sketches(spark: SparkSession, d: str) -> DataFrame:
     """Approximate distinct counts and quantiles by mergeable sketches; exact values beside them. Sketches differ between engines, so tests hold the error."""

@@ -70,6 +70,23 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", n.alias("n_lines"), distinct.alias("n_distinct"), (distinct * 2 < n).alias("mostly_repeated"))
 
 
+@registry.query(
+    "d5_length_filter",
+    r"""
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, round(CAST(chars AS DOUBLE) / n, 6) AS mean_word FROM (
+  SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM documents) AS t
+WHERE n BETWEEN 50 AND 100000 AND chars BETWEEN 3 * n AND 10 * n
+""",
+)
+def length_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a usual number and length of words; both are counted where the text is read."""
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    chars = F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
+    df = table(spark, d, "documents").select("doc_id", n.cast("long").alias("n_words"), chars.alias("chars"))
+    df = df.filter(F.col("n_words").between(50, 100_000) & F.col("chars").between(3 * F.col("n_words"), 10 * F.col("n_words")))
+    return df.select("doc_id", "n_words", F.round(F.col("chars").cast("double") / F.col("n_words"), 6).alias("mean_word"))
+
+
 @registry.query(
     "d6_union_with_lineage",
     """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.star import money
 from lakeloom.plans.registry import Registry
 from lakeloom.sources.tables import table
 
@@ -59,19 +58,49 @@ _JOINS = {
 }
 
 
+_PENDING = "SELECT o_custkey AS a_key, CAST(count(*) AS BIGINT) AS pending FROM orders WHERE o_orderstatus = 'P' GROUP BY 1"
+_URGENT = "SELECT o_custkey AS b_key, CAST(count(*) AS BIGINT) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1"
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers' pending and urgent orders; some customers have none of one kind."""
+    orders = table(spark, d, "orders")
+    a = orders.filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("a_key")).agg(F.count(F.lit(1)).alias("pending"))
+    b = orders.filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("b_key")).agg(F.count(F.lit(1)).alias("urgent"))
+    return a, b
+
+
 def _register(how: str, sql: str) -> None:
-    @registry.query(
-        f"join_{how}",
-        f"""
-WITH a AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey % 2 = 0)
-SELECT c_custkey, s_suppkey FROM a {sql} b ON c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10
-""",
-    )
+    @registry.query(f"join_{how}", f"SELECT a_key, pending, b_key, urgent FROM ({_PENDING}) AS a {sql} ({_URGENT}) AS b ON a_key = b_key")
     def join(spark: SparkSession, d: str) -> DataFrame:
-        a = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_nationkey")
-        b = table(spark, d, "supplier").filter("s_nationkey % 2 = 0").select("s_suppkey", "s_nationkey")
-        on = (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10)
-        return a.join(b, on, how).select("c_custkey", "s_suppkey")
+        a, b = _sides(spark, d)
+        return a.join(b, F.col("a_key") == F.col("b_key"), how)
+
+
+#: Physical strategies that a hint asks for; without one Catalyst chooses by measured sizes.
+HINTS = {"broadcast_hash": "broadcast", "sort_merge": "merge", "shuffled_hash": "shuffle_hash"}
+
+
+def _register_hint(name: str, hint: str) -> None:
+    @registry.query(f"join_{name}", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+    def join(spark: SparkSession, d: str) -> DataFrame:
+        nation = table(spark, d, "nation").select("n_nationkey", "n_name").hint(hint)  # a table of a fixed size
+        return table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+
+
+for _name, _hint in HINTS.items():
+    _register_hint(_name, _hint)
+
+
+@registry.query(
+    "join_theta",
+    "SELECT r_regionkey, CAST(count(*) AS BIGINT) AS n FROM customer JOIN region ON c_acctbal >= r_regionkey * 2000 - 1000 AND c_nationkey <> r_regionkey GROUP BY 1",
+)
+def theta(spark: SparkSession, d: str) -> DataFrame:
+    """An inequality alone: a nested loop against a dimension of a fixed size, counted before it is shuffled."""
+    region = F.broadcast(table(spark, d, "region").select("r_regionkey"))  # five rows
+    on = (F.col("c_acctbal") >= F.col("r_regionkey") * 2000 - 1000) & (F.col("c_nationkey") != F.col("r_regionkey"))
+    return table(spark, d, "customer").select("c_acctbal", "c_nationkey").join(region, on).groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 for _how, _sql in _JOINS.items():
@@ -132,10 +161,10 @@ SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orde
 )
 def lateral(spark: SparkSession, d: str) -> DataFrame:
     """The two largest orders of each customer, as a correlated subquery."""
-    table(spark, d, "customer").createOrReplaceTempView("lateral_customer")
-    table(spark, d, "orders").createOrReplaceTempView("lateral_orders")
     return spark.sql(
-        "SELECT c_custkey, o_orderkey FROM lateral_customer, LATERAL (SELECT o_orderkey FROM lateral_orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)"
+        "SELECT c_custkey, o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)",
+        customer=table(spark, d, "customer"),
+        orders=table(spark, d, "orders"),
     )
 
 
@@ -152,17 +181,21 @@ def salted(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query(
     "join_null_safe",
-    "SELECT a.k AS k, CAST(count(*) AS BIGINT) AS n FROM (SELECT nullif(user_id % 5, 0) AS k FROM events WHERE event_id < 200) AS a JOIN (SELECT nullif(r_regionkey, 0) AS k FROM region) AS b ON a.k IS NOT DISTINCT FROM b.k GROUP BY 1",
+    "SELECT a.k AS k, CAST(count(*) AS BIGINT) AS n FROM (SELECT nullif(user_id % 5, 0) AS k FROM events) AS a JOIN (SELECT nullif(r_regionkey, 0) AS k FROM region) AS b ON a.k IS NOT DISTINCT FROM b.k GROUP BY 1",
 )
 def null_safe(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "events").filter("event_id < 200").select(F.nullif(F.col("user_id") % 5, F.lit(0)).alias("k"))
+    a = table(spark, d, "events").select(F.nullif(F.col("user_id") % 5, F.lit(0)).alias("k"))
     b = table(spark, d, "region").select(F.nullif(F.col("r_regionkey"), F.lit(0)).alias("kb"))
     return a.join(b, F.col("k").eqNullSafe(F.col("kb"))).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registry.query("join_self", "SELECT a.s_suppkey AS first, b.s_suppkey AS second FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE CAST(a.s_acctbal AS DECIMAL(12,2)) > CAST(b.s_acctbal AS DECIMAL(12,2)) * 2")
+@registry.query(
+    "join_self",
+    "SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey",
+)
 def self_join(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "supplier")
-    a = df.select(F.col("s_suppkey").alias("first"), "s_nationkey", money("s_acctbal").alias("x"))
-    b = df.select(F.col("s_suppkey").alias("second"), "s_nationkey", money("s_acctbal").alias("y"))
-    return a.join(b, "s_nationkey").filter("first < second AND x > y * 2").select("first", "second")
+    """A customer's orders of one day; both keys are equalities, so pairs stay few."""
+    df = table(spark, d, "orders")
+    a = df.select(F.col("o_orderkey").alias("first"), "o_custkey", "o_orderdate")
+    b = df.select(F.col("o_orderkey").alias("second"), "o_custkey", "o_orderdate")
+    return a.join(b, ["o_custkey", "o_orderdate"]).filter("first < second").select("first", "second")

@@ -12,12 +12,12 @@ registry = Registry()
 
 
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select((F.col("o_custkey") % 50).alias("k"))
-    b = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select((F.col("o_custkey") % 70).alias("k"))
-    return a, b
+    """Customers of pending orders and of urgent ones, once for each order."""
+    orders = table(spark, d, "orders")
+    return orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
 
 
-_A, _B = "SELECT o_custkey % 50 AS k FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_custkey % 70 AS k FROM orders WHERE o_orderkey % 3 = 0"
+_A, _B = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'", "SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 
 @registry.query("set_union_distinct", f"{_A} UNION {_B}")
@@ -88,9 +88,11 @@ def scalar_subquery(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query("sub_in", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 50)")
 def in_subquery(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "supplier").createOrReplaceTempView("sub_supplier")
-    table(spark, d, "lineitem").createOrReplaceTempView("sub_lineitem")
-    return spark.sql("SELECT s_suppkey FROM sub_supplier WHERE s_suppkey IN (SELECT l_suppkey FROM sub_lineitem WHERE l_discount >= 0.1 AND l_quantity >= 50)")
+    return spark.sql(
+        "SELECT s_suppkey FROM {supplier} WHERE s_suppkey IN (SELECT l_suppkey FROM {lineitem} WHERE l_discount >= 0.1 AND l_quantity >= 50)",
+        supplier=table(spark, d, "supplier"),
+        lineitem=table(spark, d, "lineitem"),
+    )
 
 
 @registry.query(
@@ -102,12 +104,12 @@ SELECT day, CAST(count(event_id) AS BIGINT) AS events FROM r LEFT JOIN events ON
 )
 def recursive(spark: SparkSession, d: str) -> DataFrame:
     """A calendar by recursion, so days without events have a row."""
-    table(spark, d, "events").createOrReplaceTempView("cte_events")
     return spark.sql(
         """
         WITH RECURSIVE r(day, n) AS (SELECT DATE '2024-01-01', 1 UNION ALL SELECT date_add(day, 1), n + 1 FROM r WHERE n < 30)
-        SELECT day, count(event_id) AS events FROM r LEFT JOIN (SELECT event_id, to_date(ts) AS on_day FROM cte_events) ON on_day = day GROUP BY day
-        """
+        SELECT day, count(event_id) AS events FROM r LEFT JOIN (SELECT event_id, to_date(ts) AS on_day FROM {events}) ON on_day = day GROUP BY day
+        """,
+        events=table(spark, d, "events"),
     )
 
 
@@ -121,3 +123,14 @@ def sample(spark: SparkSession, d: str) -> DataFrame:
 def sample_by(spark: SparkSession, d: str) -> DataFrame:
     """Other fractions for each status."""
     return table(spark, d, "orders").sampleBy("o_orderstatus", {"F": 0.5, "P": 0.1}, seed=7).select("o_orderkey", "o_orderstatus")
+
+
+@registry.query("sample_split", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders, TRUE AS near_shares FROM orders")
+def random_split(spark: SparkSession, d: str) -> DataFrame:
+    """Three parts of a half, three and two tenths: together every order once, each within a tenth of its share."""
+    shares = [0.5, 0.3, 0.2]
+    parts = table(spark, d, "orders").select("o_orderkey").randomSplit(shares, seed=7)
+    every = parts[0].withColumn("part", F.lit(0)).union(parts[1].withColumn("part", F.lit(1))).union(parts[2].withColumn("part", F.lit(2)))
+    sizes = [F.count_if(F.col("part") == i) for i in range(3)]
+    near = [(sizes[i] > 0.9 * shares[i] * F.count(F.lit(1))) & (sizes[i] < 1.1 * shares[i] * F.count(F.lit(1))) for i in range(3)]
+    return every.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("orders"), (near[0] & near[1] & near[2]).alias("near_shares"))

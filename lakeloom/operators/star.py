@@ -138,14 +138,14 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
 @registry.query(
     "b5_moving_average",
     """
-SELECT day, n, CAST(sum(n) OVER (ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_three FROM (
+SELECT day, n, round(avg(n) OVER (ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS last_three FROM (
   SELECT CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1) AS t
 """,
 )
-def moving_sum(spark: SparkSession, d: str) -> DataFrame:
+def moving_average(spark: SparkSession, d: str) -> DataFrame:
     """A frame over daily totals; only one row for each day reaches the single window partition."""
     daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return daily.withColumn("last_three", F.sum("n").over(Window.orderBy("day").rowsBetween(-2, 0)))
+    return daily.withColumn("last_three", F.round(F.avg("n").over(Window.orderBy("day").rowsBetween(-2, 0)), 6))
 
 
 @registry.query(

@@ -63,9 +63,11 @@ def read_sources(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared folder, or in a temporary one where none is named."""
+    """A new folder in the session's shared folder; in a temporary one where none is named, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = f"file://{tempfile.gettempdir()}/lakeloom-scratch"
@@ -79,20 +81,57 @@ def round_trip(df: DataFrame, kind: str, write: dict | None = None, read: dict |
     return spark.read.format(kind).schema(df.schema).options(**(read or {})).load(path)
 
 
-_NATIONS = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+def typed(spark: SparkSession, d: str, nested: bool) -> DataFrame:
+    """Orders with a date, a time, an exact decimal, a flag, nulls and, where a format has them, a list and a record."""
+    price = F.col("o_totalprice").cast("decimal(12,2)")
+    nests = {"tags": F.array("note", F.lit("x")), "customer": F.struct(F.col("o_custkey").alias("id"), F.col("status").alias("of"))}
+    df = table(spark, d, "orders").select(
+        "o_orderkey",
+        "o_custkey",
+        F.nullif("o_orderstatus", F.lit("P")).alias("status"),
+        F.to_date("o_orderdate").alias("day"),
+        "o_orderdate",
+        F.when(F.col("o_orderkey") % 7 != 0, price).alias("price"),
+        (F.col("o_totalprice") > 200_000).alias("dear"),
+        F.concat(F.lit('a "quoted", text; '), "o_orderpriority").alias("note"),
+    )
+    return (df.withColumns(nests) if nested else df).drop("o_custkey")
+
+
+_TYPED = """
+SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status, CAST(o_orderdate AS DATE) AS day, o_orderdate, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalprice AS DECIMAL(12,2)) END AS price,
+  o_totalprice > 200000 AS dear, 'a "quoted", text; ' || o_orderpriority AS note{nested} FROM orders
+"""
+_NESTED = ", 'a \"quoted\", text; ' || o_orderpriority AS tag_1, o_custkey AS customer_id, nullif(o_orderstatus, 'P') AS customer_of"
 
 
-def _register(kind: str, write: dict | None = None, read: dict | None = None) -> None:
-    @registry.query(f"io_{kind}", _NATIONS)
+def _register(kind: str, write: dict | None = None, read: dict | None = None, nested: bool = True) -> None:
+    @registry.query(f"io_{kind}", _TYPED.format(nested=_NESTED if nested else ""))
     def trip(spark: SparkSession, d: str) -> DataFrame:
-        return round_trip(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), kind, write, read)
+        out = round_trip(typed(spark, d, nested), kind, write, read)
+        return out.withColumns({"tag_1": F.col("tags")[0], "customer_id": F.col("customer.id"), "customer_of": F.col("customer.of")}).drop("tags", "customer") if nested else out
 
 
 _register("parquet")
 _register("orc")
 _register("json")
-_register("csv", {"header": "true"}, {"header": "true"})
-_register("xml", {"rowTag": "nation"}, {"rowTag": "nation"})
+_register("csv", {"header": "true", "escape": '"'}, {"header": "true", "escape": '"'}, nested=False)
+_register("xml", {"rowTag": "order"}, {"rowTag": "order"})
+
+
+#: The embedded database that Spark brings along; a cluster names its own by these options.
+JDBC = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "url": "jdbc:derby:memory:lakeloom;create=true"}
+
+
+@registry.query("io_jdbc", "SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(12,2)) AS balance FROM customer WHERE c_custkey >= 100")
+def database(spark: SparkSession, d: str) -> DataFrame:
+    """Written to a database table and read back in four parts by key, with the filter pushed down to it."""
+    name = f"customers_{uuid.uuid4().hex}"
+    df = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
+    keys = df.agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")).first()
+    df.write.format("jdbc").options(**JDBC, dbtable=name).save()
+    parts = {"partitionColumn": "c_custkey", "lowerBound": keys.low or 0, "upperBound": (keys.high or 0) + 1, "numPartitions": 4}
+    return spark.read.format("jdbc").options(**JDBC, dbtable=name, **parts).load().filter("c_custkey >= 100")
 
 
 @registry.query("io_text", "SELECT n_name AS value FROM nation")
@@ -110,13 +149,35 @@ def partitioned(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("o_orderkey long, o_orderstatus string").parquet(path).filter("o_orderstatus = 'P'")
 
 
-@registry.query("io_binary_files", "SELECT CAST(1 AS BIGINT) AS files, sum(bytes) > 0 AS has_bytes FROM (SELECT length(n_name) AS bytes FROM nation) AS t")
+@registry.query("io_binary_files", "SELECT CAST(25 AS BIGINT) AS files, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, max(length(n_name)) + 1 AS largest FROM nation")
 def binary_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files as rows of bytes, as for captured documents."""
+    """Files as rows of bytes, as for captured documents: a file for each nation, of its name and a line's end."""
     path = scratch(spark, "files")
-    table(spark, d, "nation").select("n_name").coalesce(1).write.text(path)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return found.agg(F.count(F.lit(1)).alias("files"), (F.sum(F.length("content")) > 0).alias("has_bytes"))
+    table(spark, d, "nation").select("n_name", "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+    return found.agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("bytes"), F.max(F.length("content")).cast("long").alias("largest"))
+
+
+@registry.query("src_html_files", "SELECT CAST(page_id AS BIGINT) AS page_id, CAST(length(html) AS BIGINT) AS chars, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
+def html_files(spark: SparkSession, d: str) -> DataFrame:
+    """Captured pages as files of a folder, each read whole, with its key from the path."""
+    path = scratch(spark, "pages")
+    table(spark, d, "pages").select("html", "page_id").repartition("page_id").write.option("lineSep", "\x00").partitionBy("page_id").text(path)
+    pages = spark.read.schema("value string, page_id long").text(path, wholetext=True)
+    html = F.regexp_replace("value", "\\x00$", "")
+    return pages.select("page_id", F.length(html).cast("long").alias("chars"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"))
+
+
+@registry.query("src_json_pages", "SELECT event_id, event_type, CAST(event_id // 500 AS BIGINT) AS page FROM events")
+def json_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of an interface as captured JSON documents: each has its items and the number of the next page."""
+    path = scratch(spark, "json-pages")
+    page = F.floor(F.col("event_id") / 500).alias("page")
+    items = F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("items")  # at most 500 of a page
+    pages = table(spark, d, "events").groupBy(page).agg(items).withColumn("next", F.col("page") + 1)
+    pages.write.json(path)
+    found = spark.read.schema("page long, next long, items array<struct<event_id long, event_type string>>").json(path)
+    return found.select("page", F.explode("items").alias("i")).select("i.event_id", "i.event_type", "page")
 
 
 @registry.query(

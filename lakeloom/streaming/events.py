@@ -1,7 +1,8 @@
 """Event-time processing, each as a transform that takes a batch or a stream alike.
 
-``run`` drains a stream of the events table into a named in-memory table, file by file or all files together, and is
-what the registered queries use, so results come from the streaming engine.
+``run`` drains a stream of the events table, file by file in order of time, into Parquet folders of its
+batches, and is what the registered queries use, so results come from the streaming engine and
+never pass the driver.
 """
 
 from __future__ import annotations
@@ -24,44 +25,53 @@ registry = Registry()
 LATENESS = "2 hours"
 
 
-def stream(spark: SparkSession, d: str, columns: list[str], parts: int = 1, together: bool = False) -> DataFrame:
+#: Files, and so micro-batches, that the registered queries read the events in.
+PARTS = 2
+
+
+def stream(spark: SparkSession, d: str, columns: list[str], parts: int = PARTS, cuts: list | None = None, latest_first: bool = False) -> DataFrame:
     """The events as a stream; ``ts`` becomes a zoned timestamp, as watermarks need one.
 
-    A file reader takes a folder, so a table of one file is written to one. With ``parts`` > 1 the
-    events are written as so many files, one after the other in order of time, each a micro-batch. ``together`` makes
-    all files one micro-batch: where late rows are dropped, no order of files may make rows late.
+    The events are written as so many files, one after the other in order of time, each a
+    micro-batch: where late rows are dropped, no order of files may make rows late. ``cuts`` are
+    the times between files, by default even shares; ``latest_first`` turns their order around.
     """
-    path = f"{d}/events.parquet"
+    path = scratch(spark, "event-files")
     source = table(spark, d, "events")
-    if parts > 1:
-        path = scratch(spark, "event-files")
-        at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    if cuts is None:
         cuts = source.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
-        number = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
-        for k in range(parts):
-            source.filter(number == k).coalesce(1).write.mode("append").parquet(path)
-    elif _is_file(spark, path):
-        path = scratch(spark, "event-files")
-        source.write.parquet(path)
-    reader = spark.readStream.schema(source.schema)
-    df = (reader if together else reader.option("maxFilesPerTrigger", 1)).parquet(path)
+    number = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    order = range(len(cuts), -1, -1) if latest_first else range(len(cuts) + 1)
+    for k in order:
+        source.filter(number == k).coalesce(1).write.mode("append").parquet(path)
+    df = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return df.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
 
 
-def _is_file(spark: SparkSession, path: str) -> bool:
-    """Asked of the file system that Spark's readers use."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+def drained(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None]) -> list[int]:
+    """The numbers of the batches that a stream gives until its input is used up; each is written as it comes."""
+    done: list[int] = []
 
+    def each(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        done.append(number)
 
-def run(df: DataFrame, mode: str) -> DataFrame:
-    """Everything that the stream gives until its input is used up, in a table of the session's memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(df.sparkSession, "stream")).trigger(availableNow=True).start()
+    q = df.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", scratch(df.sparkSession, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return df.sparkSession.table(name)
+    return sorted(set(done))
+
+
+def run(df: DataFrame, mode: str) -> DataFrame:
+    """Everything that the stream gives; in complete mode its last batch holds it all."""
+    path = scratch(df.sparkSession, "batches")
+    numbers = drained(df, mode, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/v={n}"))
+    if mode == "complete":
+        numbers = numbers[-1:]
+    folders = [f"{path}/v={n}" for n in numbers]
+    return df.sparkSession.read.schema(df.schema).parquet(*folders) if folders else df.sparkSession.createDataFrame([], df.schema)
 
 
 def tumbling(df: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -125,7 +135,7 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
 @registry.query("e4_distinct", "SELECT event_id, user_id, ts FROM events")
 def distinct_stream(spark: SparkSession, d: str) -> DataFrame:
     """Every event sent twice comes out once."""
-    df = stream(spark, d, ["ts", "user_id", "event_id"], together=True)
+    df = stream(spark, d, ["ts", "user_id", "event_id"])
     twice = df.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withWatermark("ts", LATENESS)
     return run(distinct(twice), "append").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
@@ -139,9 +149,9 @@ WHERE c.event_type = 'click' AND p.event_type = 'purchase'
 )
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
     """E5: purchases within an hour of a click; watermarks on both sides bound what is kept."""
-    clicks = stream(spark, d, ["ts", "user_id", "event_id", "event_type"], together=True).filter("event_type = 'click'")
+    clicks = stream(spark, d, ["ts", "user_id", "event_id", "event_type"]).filter("event_type = 'click'")
     clicks = clicks.select(F.col("event_id").alias("click"), F.col("user_id").alias("u1"), F.col("ts").alias("t1")).withWatermark("t1", LATENESS)
-    bought = stream(spark, d, ["ts", "user_id", "event_id", "event_type"], together=True).filter("event_type = 'purchase'")
+    bought = stream(spark, d, ["ts", "user_id", "event_id", "event_type"]).filter("event_type = 'purchase'")
     bought = bought.select(F.col("event_id").alias("purchase"), F.col("user_id").alias("u2"), F.col("ts").alias("t2")).withWatermark("t2", LATENESS)
     on = F.expr("u1 = u2 AND t2 > t1 AND t2 <= t1 + INTERVAL 1 HOUR")
     return run(clicks.join(bought, on).select("click", "purchase"), "append")
@@ -187,7 +197,7 @@ def streaks(spark: SparkSession, d: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        df = stream(spark, d, ["ts", "user_id", "event_id", "event_type"], parts=3)
+        df = stream(spark, d, ["ts", "user_id", "event_id", "event_type"])
         out = run(df.groupBy("user_id").transformWithStateInPandas(Streaks(), "user_id long, longest long", "Update", "none"), "update")
     finally:
         spark.conf.set(key, before)
@@ -211,10 +221,18 @@ def upsert_batches(df: DataFrame, path: str, keys: list[str]) -> Callable:
     "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) AS t WHERE r = 1",
 )
 def upsert_sink(spark: SparkSession, d: str) -> DataFrame:
-    """The last event of each user after three batches; a batch that is run again writes the same version again."""
+    """The last event of each user after all batches; a batch that is run again writes the same version again."""
     path = scratch(spark, "last-events")
-    df = stream(spark, d, ["user_id", "ts", "event_id", "event_type"], parts=3)
-    q = df.writeStream.foreachBatch(upsert_batches(df, path, ["user_id"])).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    return spark.read.schema(df.schema).parquet(f"{path}/v={last}").select("user_id", "event_id", "event_type")
+    df = stream(spark, d, ["user_id", "ts", "event_id", "event_type"])
+    numbers = drained(df, "append", upsert_batches(df, path, ["user_id"]))
+    out = spark.read.schema(df.schema).parquet(f"{path}/v={numbers[-1]}") if numbers else spark.createDataFrame([], df.schema)
+    return out.select("user_id", "event_id", "event_type")
+
+
+@registry.query("e9_late_events", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10'")
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """The last days come first and move the watermark, which counts a batch later: the days of the
+    second batch still pass, those of the third come too late and are dropped."""
+    cuts = [1_704_844_800_000_000.0, 1_705_276_800_000_000.0]  # 2024-01-10 and 2024-01-15 in microseconds
+    df = stream(spark, d, ["ts", "event_id"], cuts=cuts, latest_first=True).withWatermark("ts", LATENESS)
+    return run(distinct(df), "append").select("event_id")

@@ -155,3 +155,18 @@ def test_duplicate_query_names_are_refused():
     r.query("x")(lambda s, d: None)
     with pytest.raises(ValueError):
         r.query("x")(lambda s, d: None)
+
+
+def test_count_min_sketch_never_counts_too_few(spark, small):
+    from lakeloom.operators import aggregates
+
+    users = [r.user_id for r in spark.read.parquet(f"{small}/events.parquet").select("user_id").collect()]
+    sketch = spark.createDataFrame([(u,) for u in users], "user_id long").agg(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(7)).alias("s")).first().s
+    for u in set(users) | {10**9}:
+        assert users.count(u) <= aggregates.count_estimate(bytes(sketch), u) <= users.count(u) + 0.05 * len(users)
+
+
+def test_an_empty_stream_gives_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "event_id long, user_id long, ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    for query in (events.tumbling_stream, events.upsert_sink, events.distinct_stream):
+        assert query(spark, str(tmp_path)).count() == 0
