@@ -1,7 +1,7 @@
-"""Full-text and vector retrieval over postings.
+"""Full-text and vector retrieval over a stored index of postings (``index``).
 
-A term is a maximal run of letters and digits, lower-case. Postings are (term, doc_id, tf); queries
-filter postings by their terms before anything is joined, so only lists that are asked for move.
+Queries read the postings of their terms and, where they ask for them, documents' lengths and
+columns; texts are read when the index is built. Lists of one document are compared in place.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.index import Index, of_folder, tokens
 from lakeloom.plans.registry import Registry
 from lakeloom.sources.tables import table
 
@@ -19,33 +20,16 @@ QUERY = ["the", "thnt", "eron"]
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf), counted before the shuffle."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def matches(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings of some terms only: other words are dropped where they are made."""
-    words = F.filter(tokens(F.col("text")), lambda t: t.isin(*terms))
-    return docs.select("doc_id", F.explode(words).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
+def bm25(index: Index, terms: list[str], k: int) -> DataFrame:
     """S3: the k best documents (Robertson and Zaragoza 2009); ties by id.
 
-    Lengths ride along with the matches, so documents aren't joined again; document frequencies
-    are at most one row for each query term.
+    Document frequencies are at most one row for each query term; only documents with a hit meet their lengths.
     """
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    sized = sized.select("doc_id", F.size("w").alias("length"), F.filter("w", lambda t: t.isin(*terms)).alias("hits"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
-    hits = sized.select("doc_id", "length", F.explode("hits").alias("term")).groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    hits = index.postings(terms).select("term", "doc_id", "tf")
     frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(totals))  # one row for each term, and one row
+    found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("of"))  # as many as query terms
+    sized = index.docs().select("doc_id", "length").join(found, "doc_id").select("doc_id", "length", F.inline("of"))
+    scored = sized.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(index.totals()))  # one row for each term, and one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return scored.groupBy("doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
@@ -58,7 +42,9 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query("s2_postings", f"SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) AS t GROUP BY 1, 2")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return postings(table(spark, d, "documents"))
+    """(term, doc_id, tf) of the texts as they are, counted before the shuffle."""
+    words = table(spark, d, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 _TERMS = ", ".join(f"'{t}'" for t in QUERY)
@@ -76,7 +62,7 @@ FROM p JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN t GROUP BY doc_id OR
 """,
 )
 def best(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(table(spark, d, "documents"), QUERY, 20)
+    return bm25(of_folder(spark, d), QUERY, 20)
 
 
 @registry.query(
@@ -87,10 +73,10 @@ SELECT doc_id FROM p WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM p WHER
 """,
 )
 def boolean(spark: SparkSession, d: str) -> DataFrame:
-    """The AND (thnt OR eron) NOT that, from one set of terms for each document."""
-    df = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
-    asked = F.array_contains("w", "the") & (F.array_contains("w", "thnt") | F.array_contains("w", "eron")) & ~F.array_contains("w", "that")
-    return df.filter(asked).select("doc_id")
+    """The AND (thnt OR eron) NOT that, from one row for each document that has any of the terms."""
+    has = lambda t: F.bool_or(F.col("term") == t)
+    found = of_folder(spark, d).occurrences(["the", "thnt", "eron", "that"]).groupBy("doc_id").agg((has("the") & (has("thnt") | has("eron")) & ~has("that")).alias("asked"))
+    return found.filter("asked").select("doc_id")
 
 
 @registry.query(
@@ -101,17 +87,17 @@ WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY 1
 """,
 )
 def phrase(spark: SparkSession, d: str) -> DataFrame:
-    """A phrase stays within a document, so its places are compared without a join."""
-    df = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
-    pairs = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: (F.get("w", i) == "of") & (F.get("w", i + 1) == "the"))
-    return df.select("doc_id", F.size(pairs).cast("long").alias("n")).filter("n > 0")
+    """Places of the first word that the second follows; both sides meet by document and place."""
+    words = of_folder(spark, d).occurrences(["of", "the"])
+    one = words.filter("term = 'of'").select("doc_id", (F.col("place") + 1).alias("place"))
+    two = words.filter("term = 'the'").select("doc_id", "place")
+    return one.join(two, ["doc_id", "place"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registry.query("s6_prefix", f"SELECT DISTINCT term FROM (SELECT unnest({TOKENS_SQL}) AS term FROM documents) AS t WHERE starts_with(term, 'thr')")
 def prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Terms that begin so."""
-    df = table(spark, d, "documents").select(F.explode(F.filter(tokens(F.col("text")), lambda t: t.startswith("thr"))).alias("term"))
-    return df.distinct()
+    """Terms that begin so, from the stored terms alone."""
+    return of_folder(spark, d).occurrences().filter(F.col("term").startswith("thr")).select("term").distinct()
 
 
 @registry.query(
@@ -120,7 +106,7 @@ def prefix(spark: SparkSession, d: str) -> DataFrame:
 )
 def fuzzy(spark: SparkSession, d: str, word: str = "therent", within: int = 2) -> DataFrame:
     """Terms at an edit distance; lengths are compared first, and each term once."""
-    df = table(spark, d, "documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    df = of_folder(spark, d).occurrences().select("term")
     df = df.filter(F.length("term").between(len(word) - within, len(word) + within)).distinct()
     return df.filter(F.levenshtein("term", F.lit(word)) <= within)
 
@@ -134,7 +120,8 @@ WHERE list_contains({TOKENS_SQL}, 'thnt') GROUP BY 1, 2
 )
 def facets(spark: SparkSession, d: str) -> DataFrame:
     """Counts over the hits of a term."""
-    df = table(spark, d, "documents").filter(F.array_contains(tokens(F.col("text")), "thnt"))
+    index = of_folder(spark, d)
+    df = index.docs().join(index.occurrences(["thnt"]).select("doc_id"), "doc_id", "left_semi")
     return df.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,7 +156,6 @@ FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) AS t GROUP BY
 )
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The fifty terms of most documents; the rank is taken over fifty rows."""
-    words = F.array_distinct(tokens(F.col("text")))
-    df = table(spark, d, "documents").select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = of_folder(spark, d).postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df = df.orderBy(F.desc("df"), "term").limit(50)
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "term")).cast("long"))

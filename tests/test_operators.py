@@ -1,10 +1,12 @@
 """Operators on small frames: nulls, ties, empties, and properties."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.operators.index import Index
 from lakeloom.operators import joins, keyed, payloads, search, star, web, windows
 from lakeloom.sources import formats
 from lakeloom.streaming import events
@@ -67,11 +69,14 @@ def test_quarantine_tells_bad_payloads(spark):
     assert [r.is_valid for r in payloads.quarantined(df, "p").collect()] == [True, False, False, True]
 
 
-def test_bm25_orders_by_frequency_and_ties_by_id(spark):
+def test_bm25_orders_by_frequency_and_ties_by_id(spark, tmp_path):
+    def built(docs):
+        return Index.build(docs.withColumns({"lang": F.lit("en"), "source": F.lit("s")}), f"{tmp_path}/{len(list(tmp_path.iterdir()))}")
+
     df = spark.createDataFrame([(3, "cat dog"), (1, "cat cat dog"), (2, "cat dog"), (4, "bird"), (5, "")], "doc_id long, text string")
-    assert [r.doc_id for r in search.bm25(df, ["cat"], 10).collect()] == [1, 2, 3]
-    assert search.bm25(df.repartition(7), ["cat"], 10).collect() == search.bm25(df.coalesce(1), ["cat"], 10).collect()
-    assert search.bm25(df, ["none"], 5).count() == 0
+    assert [r.doc_id for r in search.bm25(built(df), ["cat"], 10).collect()] == [1, 2, 3]
+    assert search.bm25(built(df.repartition(7)), ["cat"], 10).collect() == search.bm25(built(df.coalesce(1)), ["cat"], 10).collect()
+    assert search.bm25(built(df), ["none"], 5).count() == 0
 
 
 def test_groups_frame(spark):
@@ -170,3 +175,9 @@ def test_an_empty_stream_gives_no_rows(spark, tmp_path):
     spark.createDataFrame([], "event_id long, user_id long, ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     for query in (events.tumbling_stream, events.upsert_sink, events.distinct_stream):
         assert query(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["s3_bm25", "s4_boolean", "s5_phrase", "s7_facets"])
+def test_searches_read_the_buckets_of_their_terms_only(spark, small, name):
+    plan = search.registry.queries[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
