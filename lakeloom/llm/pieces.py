@@ -2,15 +2,18 @@
 
 Three transducers are compiled from a model file:
 
-* N, the normaliser: one arc for each character, a space becomes U+2581, and a first arc emits the
-  dummy prefix;
+* N, the normaliser: a trie over the characters of the model's rules (its charsmap) whose leaf arcs
+  emit the replacement, the longest match being taken, and an arc from each other character to
+  itself; a space becomes U+2581, a first arc emits the dummy prefix, and where the model asks for
+  it states after a space drop further ones. User-defined symbols (of merge models) pass as they are;
 * L, the lexicon: a trie over the pieces' characters whose leaf arcs emit an id, with byte
   fallback arcs for a character that no piece covers;
 * B, a bigram acceptor over ids (merge models only): the arc from piece a to piece b has weight 0
   if merging the characters of ab ends in exactly a, b, and infinite weight otherwise.
 
 An input is composed with N o L (o B) lazily, and the result is the tropical-semiring shortest
-path. In a unigram model the weights are negated scores and B is absent, so the path is the most
+path. N is deterministic, so an input has one path through it, and composing that path's output
+with L is composing the input with N o L. In a unigram model the weights are negated scores and B is absent, so the path is the most
 likely segmentation. In a merge (BPE) model the path through B is the merge result itself: the
 order in which a piece's own characters merge does not depend on its neighbours as long as no
 merge crosses its ends, and whether one crosses depends on the two adjacent pieces only. So the
@@ -22,7 +25,7 @@ occur in no longer piece), the shortest path of the whole is the concatenation o
 the parts; paths of parts are kept in a bounded table in each worker.
 
 Defined results: a null text gives null ids, an empty one none; decoding gives the normalised
-text, that is the text with U+2581 as a space; ids out of range are an error; repeated rows give
+text, under the identity normaliser the text with U+2581 as a space; ids out of range are an error; repeated rows give
 equal ids.
 """
 
@@ -92,12 +95,78 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Normaliser:
+    """N, compiled from a model's charsmap: a double-array trie of keys, and their replacements."""
+
+    def __init__(self, charsmap: bytes = b"", prefix: bool = True, collapse: bool = False):
+        self.prefix, self.collapse = prefix, collapse
+        self.arcs: dict[str, list] = {}  # by character: what is emitted if the match ends here, and the next state
+        for source, target in self._rules(charsmap):
+            state = self.arcs
+            for c in source:
+                leaf = state.setdefault(c, [None, {}])
+                state = leaf[1]
+            leaf[0] = target
+        self.starts = re.compile("[" + "".join(map(re.escape, self.arcs)) + "]").search if self.arcs else None
+
+    @staticmethod
+    def _rules(charsmap: bytes) -> Iterator[tuple[str, str]]:
+        """Keys and replacements, level by level of the double array."""
+        if not charsmap:
+            return
+        size = struct.unpack_from("<I", charsmap)[0]
+        units, targets = np.frombuffer(charsmap, dtype="<u4", count=size // 4, offset=4).astype(np.int64), charsmap[4 + size :]
+
+        def offset(u: np.ndarray) -> np.ndarray:
+            return (u >> 10) << ((u & 512) >> 6)
+
+        labels = np.arange(1, 256)
+        state, keys = offset(units[:1]), [b""]
+        while len(keys):
+            at = state[:, None] ^ labels
+            found = (at < len(units)) & ((units[np.minimum(at, len(units) - 1)] & 0x800000FF) == labels)
+            row, label = np.nonzero(found)
+            u = units[at[row, label]]
+            state = at[row, label] ^ offset(u)
+            keys = [keys[r] + bytes([c + 1]) for r, c in zip(row.tolist(), label.tolist(), strict=True)]
+            for k in np.flatnonzero(u >> 8 & 1).tolist():
+                begin = int(units[state[k]] & 0x7FFFFFFF)
+                yield keys[k].decode(), targets[begin : targets.index(b"\0", begin)].decode()
+
+    def __call__(self, text: str) -> str:
+        """The output of the text's path, with spaces not yet marked and without the dummy prefix."""
+        if self.starts and (m := self.starts(text)):
+            out, at = [], 0
+            while m:
+                i = m.start()
+                out.append(text[at:i])
+                state, j, emitted, at = self.arcs, i, text[i], i + 1
+                while j < len(text) and (leaf := state.get(text[j])):
+                    j += 1
+                    if leaf[0] is not None:
+                        emitted, at = leaf[0], j
+                    state = leaf[1]
+                out.append(emitted)
+                m = self.starts(text, at)
+            text = "".join([*out, text[at:]])
+        return text
+
+    def spaced(self, text: str) -> str:
+        """Spaces as the model wants them, with the dummy prefix; U+2581 as a space."""
+        if self.collapse:
+            text = re.sub(" +", " ", text.lstrip(" "))
+        if not text:
+            return ""
+        text = f" {text}" if self.prefix else text
+        return (text.rstrip(f" {SPACE}") if self.collapse else text).replace(SPACE, " ")
+
+
 class Transducer:
     """The compiled composition of one model; made once in each worker."""
 
     def __init__(self, model: bytes):
         self.pieces: list[tuple[str, float, int]] = []
-        self.kind, self.fallback, self.prefix, collapse, charsmap = UNIGRAM, False, True, True, b""
+        self.kind, self.fallback, self.prefix, collapse, charsmap, marked = UNIGRAM, False, True, True, b"", True
         for number, value in _fields(model):
             if number == 1:
                 f = dict(_fields(value))
@@ -107,9 +176,14 @@ class Transducer:
                 self.kind, self.fallback = f.get(3, UNIGRAM), bool(f.get(35, 0))
             elif number == 3:
                 f = dict(_fields(value))
-                charsmap, self.prefix, collapse = f.get(2, b""), bool(f.get(3, 1)), bool(f.get(4, 1))
-        if charsmap or collapse or self.kind not in (UNIGRAM, BPE) or any(p[2] == USER for p in self.pieces):
-            raise ValueError("only unigram and merge models with the identity normaliser and without user-defined symbols are supported")
+                charsmap, self.prefix, collapse, marked = f.get(2, b""), bool(f.get(3, 1)), bool(f.get(4, 1)), bool(f.get(5, 1))
+        symbols = {p[0]: i for i, p in enumerate(self.pieces) if p[2] == USER}
+        if not marked or self.kind not in (UNIGRAM, BPE) or (symbols and self.kind == UNIGRAM):
+            raise ValueError("only unigram models without user-defined symbols and merge models, with spaces marked, are supported")
+        self.normaliser = Normaliser(charsmap, self.prefix, collapse)
+        self.symbols = {x.replace(SPACE, " "): struct.pack("<i", i) for x, i in symbols.items()}
+        some = "|".join(map(re.escape, sorted(self.symbols, key=len, reverse=True)))
+        self.at_symbols = re.compile(f"({some})").split if some else None
         self.unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         self.bytes_at = {int(p[0][3:5], 16): i for i, p in enumerate(self.pieces) if p[2] == BYTE}
         self.fallback &= len(self.bytes_at) == 256
@@ -186,9 +260,9 @@ class Transducer:
         return [self.bytes_at[x] for x in c.encode()] if self.fallback else [self.unknown]
 
     def _bpe_path(self, s: str) -> list[int]:
-        n, size, allowed, trie = len(s), len(self.pieces), self.allowed, self.trie
-        last, back = [-2] * (n + 1), [0] * (n + 1)
-        last[0] = -1
+        n, size, allowed, trie, never = len(s), len(self.pieces), self.allowed, self.trie, float("inf")
+        cost, last, back = [never] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
         for i in range(n):
             a = last[i]  # some piece, or -1 after an uncovered character: each prefix has a path
             node, j = trie, i
@@ -199,7 +273,7 @@ class Transducer:
                     break
                 j += 1
                 b, node = leaf
-                if b is None or last[j] != -2:
+                if b is None or cost[j] == 0.0:  # no path weighs less than 0
                     continue
                 if a >= 0:
                     ok = allowed.get(first + b)
@@ -207,11 +281,11 @@ class Transducer:
                         if len(allowed) > 1_500_000:
                             allowed.clear()
                         ok = allowed[first + b] = self._bigram(a, b)
-                    if not ok:
+                    if not ok:  # the arc's weight is infinite
                         continue
-                last[j], back[j] = b, i
-            if last[i + 1] == -2 and s[i] not in trie:  # byte fallback: nothing merges with it
-                last[i + 1], back[i + 1] = -1, i
+                cost[j], last[j], back[j] = cost[i], b, i
+            if cost[i + 1] and s[i] not in trie:  # byte fallback: nothing merges with it
+                cost[i + 1], last[i + 1], back[i + 1] = cost[i], -1, i
         out: list[int] = []
         at = n
         while at:
@@ -255,12 +329,17 @@ class Transducer:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        text = text.replace(SPACE, " ")
-        if self.prefix:
-            text = " " + text
-        return b"".join(map(self.paths.__getitem__, self.parts(text)))
+        if self.at_symbols is None:
+            text = self.normaliser.spaced(self.normaliser(text))
+            return b"".join(map(self.paths.__getitem__, self.parts(text)))
+        # Symbols pass the normaliser and nothing merges with them; what is between them has paths of its own.
+        text = self.normaliser.spaced("".join([x if k % 2 else self.normaliser(x) for k, x in enumerate(self.at_symbols(text))]))
+        return b"".join([self.symbols[x] if k % 2 else b"".join(map(self.paths.__getitem__, self.parts(x))) for k, x in enumerate(self.at_symbols(text))])
+
+    def normal(self, text: str) -> str:
+        """What decoding gives back if no character is unknown."""
+        out = self.normaliser.spaced("".join([x if k % 2 else self.normaliser(x) for k, x in enumerate(self.at_symbols(text) if self.at_symbols else [text])]))
+        return out[1:] if self.prefix else out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<i4").tolist()
@@ -269,8 +348,15 @@ class Transducer:
         """The inverse: the surface of each id, without the dummy prefix; bytes that are no UTF-8 become U+FFFD."""
         if ids and (min(ids) < 0 or max(ids) >= len(self.surface)):
             raise ValueError("an id out of range")
-        out = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", errors="replace")
-        return out[1:] if self.prefix and out.startswith(" ") else out
+        surface = list(map(self.surface.__getitem__, ids))
+        if self.prefix or self.normaliser.collapse:
+            for k in range(len(surface)):  # a space before the text; where spaces collapse, of each piece before it
+                unmarked = self.pieces[ids[k]][2] in (CONTROL, UNKNOWN)
+                space = not unmarked and surface[k].startswith(b" ")
+                surface[k] = surface[k][space:]
+                if surface[k] or (space and not self.normaliser.collapse):
+                    break
+        return b"".join(surface).decode("utf-8", errors="replace")
 
 
 _compiled: dict[str, Transducer] = {}
@@ -323,7 +409,7 @@ def decode(df: DataFrame, column: str = "ids", keep: tuple[str, ...] = ("doc_id"
 
 
 def digests(df: DataFrame, key: str = "doc_id", column: str = "text", model: str = MODEL) -> DataFrame:
-    """Each text encoded and decoded again: key, n_pieces, n_fallback (bytes), ids_sha256, round_trip."""
+    """Each text encoded and decoded again: key, n_pieces, n_fallback (bytes), ids_sha256, round_trip (decoding gives the normalised text)."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +424,7 @@ def digests(df: DataFrame, key: str = "doc_id", column: str = "text", model: str
                 sizes.append(len(ids))
                 bytes_used.append(int(is_byte[ids].sum()))
                 hashes.append(hashlib.sha256(coded).hexdigest())
-                same.append(t.decode(ids.tolist()) == text.replace(SPACE, " "))
+                same.append(t.decode(ids.tolist()) == t.normal(text))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bytes_used, pa.int64()), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], names=["k", "n_pieces", "n_fallback", "ids_sha256", "round_trip"])
 
     small_batches(df.sparkSession)

@@ -82,9 +82,42 @@ def test_unigram_runs_of_unknown_characters_are_one_piece():
     assert [t.pieces[i][0] for i in t.encode("axya")] == ["▁", "a", "<unk>", "a"]
 
 
-def test_other_normalisers_are_refused():
+def test_unsupported_models_are_refused():
     with pytest.raises(ValueError):
-        pieces.Transducer(unigram({"a": -1.0}, message(4, 1)))
+        pieces.Transducer(unigram({"a": -1.0}, message(3, 1) + message(5, 0)))
+    with pytest.raises(ValueError):
+        pieces.Transducer(unigram({"a": -1.0}) + message(1, message(1, b"<x>") + message(3, 4)))
+
+
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("collapse", [0, 1])
+def test_models_with_a_compiled_normaliser_equal_the_library(rule, collapse):
+    spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+    charsmap = dict(pieces._fields(spec)).get(2, b"")
+    r = random.Random(6)
+    letters = "abfi1AB ▁é日本ｶﾞﬁ①Å"
+    vocabulary = {c: -3.0 - 0.01 * k for k, c in enumerate("▁abfi1é")} | {"fi": -4.5, "▁a": -4.0, "ab▁": -6.25, "ガ": -5.0, "fia": -8.125}
+    model = unigram(vocabulary, message(1, rule.encode()) + message(2, charsmap) + message(3, 1) + message(4, collapse))
+    ours, theirs = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    normal = sentencepiece.SentencePieceNormalizer(model_proto=model)
+    odd = letters + "\u3000\t\n\u200b\u0301\xa0ªﬀＡ가ﾊﾟ㌀\u0345½ẞǅ"
+    for _ in range(1500):
+        s = "".join(r.choice(odd if r.random() < 0.5 else letters) for _ in range(r.randrange(25)))
+        assert ours.normaliser.spaced(ours.normaliser(s)).replace(" ", "▁") == normal.normalize(s), s
+        assert ours.encode(s) == theirs.encode(s), s
+        assert ours.decode(ours.encode(s)) == theirs.decode(theirs.encode(s))
+
+
+def test_user_defined_symbols_of_a_merge_model_equal_the_library():
+    rows = [("<unk>", 0.0, 2), ("<x>", 0.0, 4), ("ab", 0.0, 4), *((p, -float(k), 1) for k, p in enumerate(["aa", "▁a", "ca", "▁", "a", "b", "c", "x", "<", ">"]))]
+    model = b"".join(message(1, message(1, p.encode()) + message(2, float(s)) + message(3, k)) for p, s, k in rows)
+    model += message(2, message(3, 2)) + message(3, message(3, 1) + message(4, 0))
+    ours, theirs = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    r = random.Random(7)
+    for _ in range(500):
+        s = "".join(r.choice(["a", "b", "c", " ", "<x>", "ab", "<", "x"]) for _ in range(r.randrange(12)))
+        assert ours.encode(s) == theirs.encode(s), s
+        assert ours.decode(ours.encode(s)) == s
 
 
 def test_messy_round_trip(messy, empty):
