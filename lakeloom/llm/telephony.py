@@ -1,30 +1,35 @@
 """Telephony audio columns: companded and ADPCM samples, expanded to 16-bit PCM and resampled.
 
 ``transcode`` turns a column of telephony bytes (mu-law, A-law or IMA ADPCM, raw or in a WAV
-container) into a column of PCM16 bytes at a target rate. ``store_payload`` and ``read_stored``
-keep arbitrary bytes losslessly as mu-law WAV samples; ``payload_features`` is the query's form.
-
-Defined results: null bytes give null PCM; empty bytes give empty PCM; an unknown codec or a
-broken container gives null PCM and a reason in ``problem``; repeated rows give repeated
-results. Output names never clash with input columns, as only ``keep`` columns are carried on.
+container) into a column of PCM16 bytes at a target rate. ``stored`` keeps texts' bytes losslessly
+as mu-law WAV samples, reads them back, and stores their resampled PCM beside them; ``payload_features``
+is the query's form, which takes its digests from these columns.
+
+Defined results: null bytes give null PCM; empty bytes give empty PCM; an unknown codec, a
+broken container, or a header that can't be (a rate outside ``RATES``, no channel, an ADPCM block
+without samples, or with several channels) gives null PCM and a reason in ``problem``; two channels
+or more become one, their mean; repeated rows give repeated results. Only the key is carried on;
+if it has an added column's name, ``input_`` goes in front.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lakeloom.llm.common import in_worker, small_batches, utf8
+from lakeloom.llm.common import apart, chunks, in_worker, small_batches, utf8
 
 RATE = 8000
+#: Rates that a header may have. A sample gives to / rate samples, so these also bound what comes out.
+RATES = (1000, 192_000)
 BLOCK = 64  # bytes of an ADPCM block: a 4-byte header and two samples in each other byte
 UNIT = 64
+PART = 2_000_000  # bytes of texts whose audio goes back to Spark at a time
 
 # Step sizes and index moves of IMA ADPCM.
 STEPS = np.array([
@@ -92,6 +97,8 @@ _TAPS = _half_sample_taps()
 
 def resample(pcm: np.ndarray, rate: int = RATE, to: int = 2 * RATE) -> np.ndarray:
     """PCM16 at another rate: a half-band filter when it doubles, else linear interpolation."""
+    if not (RATES[0] <= rate <= RATES[1] and RATES[0] <= to <= RATES[1]):
+        raise ValueError(f"a rate of {rate} or {to}")
     if rate == to or not len(pcm):
         return pcm.astype(np.int16)
     x = pcm.astype(np.float32)
@@ -114,20 +121,26 @@ def wav(data: bytes, tag: int = MULAW, rate: int = RATE, align: int = 1, bits: i
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_stored(stored: bytes) -> tuple[int, int, int, bytes]:
-    """Format tag, rate, block size and data of a WAV container."""
+def container(stored: bytes) -> tuple[int, int, int, int, bytes]:
+    """Format tag, channels, rate, block size and data of a WAV container."""
     if stored[:4] != b"RIFF" or stored[8:12] != b"WAVE":
         raise ValueError("not a WAV container")
-    at, tag, rate, align, data = 12, 0, 0, 1, None
+    at, tag, channels, rate, align, data = 12, 0, 0, 0, 1, None
     while at + 8 <= len(stored):
         name, size = stored[at : at + 4], struct.unpack_from("<I", stored, at + 4)[0]
         if name == b"fmt ":
-            tag, _, rate, _, align = struct.unpack_from("<HHIIH", stored, at + 8)
+            tag, channels, rate, _, align = struct.unpack_from("<HHIIH", stored, at + 8)
         elif name == b"data":
             data = stored[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     if data is None or not tag:
         raise ValueError("no samples")
+    return tag, channels, rate, align, data
+
+
+def read_stored(stored: bytes) -> tuple[int, int, int, bytes]:
+    """Format tag, rate, block size and data of a WAV container."""
+    tag, _, rate, align, data = container(stored)
     return tag, rate, align, data
 
 
@@ -145,16 +158,29 @@ def expand(data: bytes, codec: str, block: int = BLOCK) -> np.ndarray:
     if codec == "alaw":
         return ALAW_PCM[raw]
     if codec == "adpcm":
+        if block < 5:
+            raise ValueError(f"an ADPCM block of {block} bytes")
         return decode_adpcm(raw[: len(raw) // block * block].reshape(-1, block)).ravel()
     raise ValueError(f"unknown codec {codec}")
 
 
+def expanded(stored: bytes) -> tuple[np.ndarray, int]:
+    """PCM16 of one channel, and its rate, of a WAV container's samples."""
+    tag, channels, rate, align, data = container(stored)
+    codec = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}.get(tag, str(tag))
+    if not channels or (codec == "adpcm" and channels > 1):
+        raise ValueError(f"{channels} channels")
+    pcm = expand(data, codec, align)
+    if channels > 1:
+        pcm = pcm[: len(pcm) // channels * channels].reshape(-1, channels).mean(axis=1).astype(np.int16)
+    return pcm, rate
+
+
 def transcode(df: DataFrame, key: str, column: str, codec: str | None = None, to: int = 2 * RATE) -> DataFrame:
     """key, pcm binary (PCM16, little-endian), rate int, n_samples long, problem string.
 
     codec: mulaw, alaw or adpcm for raw bytes at 8 kHz; None for WAV containers.
     """
-    names = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +194,7 @@ def transcode(df: DataFrame, key: str, column: str, codec: str | None = None, to
                         if codec:
                             out = resample(expand(data, codec), RATE, to)
                         else:
-                            tag, rate, align, raw = read_stored(data)
-                            out = resample(expand(raw, names.get(tag, str(tag)), max(align, 5)), rate, to)
+                            out = resample(*expanded(data), to)
                     except (ValueError, struct.error) as e:
                         problem = str(e)
                 pcm.append(None if out is None else out.astype("<i2").tobytes())
@@ -187,8 +212,10 @@ def _rms(x: np.ndarray) -> float:
     return float(np.sqrt(np.dot(x, x) / max(1, len(x))))
 
 
-def features(payloads: list[bytes]) -> list[str]:
-    """Features of payloads read back, each a positive multiple of 64 bytes, by all three codecs."""
+def features(payloads: list[bytes], wide: list[np.ndarray] | None = None) -> list[str]:
+    """Features of payloads read back, each a positive multiple of 64 bytes, by all three codecs, and of their resampled PCM."""
+    if wide is None:
+        wide = [resample(MULAW_PCM[np.frombuffer(p, dtype=np.uint8)]) for p in payloads]
     sizes = np.array([len(p) // BLOCK for p in payloads])
     blocks = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, BLOCK)
     energy = np.empty(len(blocks))
@@ -197,45 +224,61 @@ def features(payloads: list[bytes]) -> list[str]:
         energy[at : at + 16384] = np.einsum("ij,ij->i", pcm, pcm, dtype=np.float64)
     by_text = np.add.reduceat(energy, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(payloads) else energy
     out = []
-    for p, n, e in zip(payloads, sizes, by_text, strict=True):
+    for p, n, e, w in zip(payloads, sizes, by_text, wide, strict=True):
         raw = np.frombuffer(p, dtype=np.uint8)
         mu = MULAW_PCM[raw]
-        wide = resample(mu)
         negative = mu < 0
         crossings = int(np.count_nonzero(negative[1:] != negative[:-1]))
         out.append(
             f"mulaw_rms={_rms(mu):.3f};alaw_rms={_rms(ALAW_PCM[raw]):.3f};adpcm_rms={np.sqrt(e / (n * (2 * BLOCK - 7))):.3f};"
-            f"crossings={crossings};peak={int(np.abs(mu.astype(np.int32)).max())};wide_samples={len(wide)};wide_rms={_rms(wide):.3f}"
+            f"crossings={crossings};peak={int(np.abs(mu.astype(np.int32)).max())};wide_samples={len(w)};wide_rms={_rms(w):.3f}"
         )
     return out
 
 
-def payload_features(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """Each text stored as mu-law audio, read back and described; a null text is an empty one."""
+def stored(df: DataFrame, key: str = "doc_id", column: str = "text", to: int = 2 * RATE) -> DataFrame:
+    """Each text kept as audio: key, n_bytes, media (the WAV container), payload (its bytes read back), pcm
+    (PCM16 of the samples, resampled) and feature. A null text is an empty one."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_worker("telephony")
         for b in batches:
-            if not b.num_rows:
-                continue
-            texts = utf8(b.column(1))
-            stored = [store_payload(t) for t in texts]
-            back = [read_stored(s)[3] for s in stored]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([len(p) for p in back], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in back]),
-                    pa.array([zlib.crc32(p[-UNIT:]) for p in back], pa.int64()),
-                    pa.array([len(s) for s in stored], pa.int64()),
-                    pa.array([hashlib.sha256(s).hexdigest() for s in stored]),
-                    pa.array(features(back)),
-                ],
-                names=["k", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+            every = utf8(b.column(1))
+            for i, j in chunks(every, PART):
+                texts = every[i:j]
+                media = [store_payload(t) for t in texts]
+                back = [read_stored(m)[3] for m in media]
+                wide = [resample(*expanded(m), to) for m in media]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(i, j - i),
+                        pa.array([len(t) for t in texts], pa.int64()),
+                        pa.array(media, pa.binary()),
+                        pa.array(back, pa.binary()),
+                        pa.array([w.astype("<i2").tobytes() for w in wide], pa.binary()),
+                        pa.array(features(back, wide)),
+                    ],
+                    names=["k", "n_bytes", "media", "payload", "pcm", "feature"],
+                )
 
     small_batches(df.sparkSession, 512)
-    out = df.select(df[key].alias("k"), df[column].cast("string").alias("t")).mapInArrow(run, f"k {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return out.withColumnRenamed("k", key)
+    out = df.select(df[key].alias("k"), df[column].cast("string").alias("t")).mapInArrow(run, f"k {kind}, n_bytes long, media binary, payload binary, pcm binary, feature string")
+    return out.withColumnRenamed("k", apart([key], out.columns[1:])[0])
+
+
+def payload_features(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """Digests of what ``stored`` gives: of the payload read back, the container, and the resampled PCM."""
+    out = stored(df, key, column)
+    return out.select(
+        out.columns[0],
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
+    )

@@ -98,3 +98,62 @@ def test_features_do_not_depend_on_neighbours(messy, empty):
 def test_unknown_codec_is_refused():
     with pytest.raises(ValueError):
         t.expand(b"", "opus")
+
+
+def scalar_mulaw(byte):
+    """The companding rule by the segment's start and step."""
+    code = 255 - byte
+    segment, place = code // 16 % 8, code % 16
+    size = (33 + 2 * place) * 2**segment - 33
+    return -4 * size if code > 127 else 4 * size
+
+
+def scalar_alaw(byte):
+    code = byte ^ 85
+    segment, place = code // 16 % 8, code % 16
+    size = (2 * place + 1) * 8 if segment == 0 else (2 * place + 33) * 4 * 2**segment
+    return size if code > 127 else -size
+
+
+def scalar_wide(pcm):
+    """Every sample, and between each two the windowed sinc over four neighbours on either side."""
+    taps = [np.sinc(k - 3.5) * (0.5 - 0.5 * np.cos(2 * np.pi * (k + 1) / 9)) for k in range(8)]
+    out = []
+    for i, x in enumerate(pcm):
+        between = sum(tap / sum(taps) * (pcm[i + 4 - k] if 0 <= i + 4 - k < len(pcm) else 0) for k, tap in enumerate(taps))
+        out += [x, max(-32768, min(32767, round(between)))]
+    return out
+
+
+def test_features_and_pcm_equal_scalar_ones(spark, small):
+    assert [scalar_mulaw(b) for b in range(256)] == t.MULAW_PCM.tolist() and [scalar_alaw(b) for b in range(256)] == t.ALAW_PCM.tolist()
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("n_chars < 600")
+    rms = lambda x: (sum(v * v for v in x) / len(x)) ** 0.5
+    rows = t.stored(docs).collect()
+    assert len(rows) > 20
+    for r in rows:
+        payload = bytes(r.payload)
+        mu, wide = [scalar_mulaw(b) for b in payload], np.frombuffer(bytes(r.pcm), "<i2").tolist()
+        want = scalar_wide(mu)
+        assert len(wide) == len(want) and max(abs(a - b) for a, b in zip(wide, want)) <= 1  # the order of sums may round otherwise
+        got = dict(x.split("=") for x in r.feature.split(";"))
+        adpcm = [v for k in range(0, len(payload), 64) for v in scalar_adpcm(payload[k : k + 64])]
+        assert abs(float(got["mulaw_rms"]) - rms(mu)) < 0.01 and abs(float(got["alaw_rms"]) - rms([scalar_alaw(b) for b in payload])) < 0.01
+        assert abs(float(got["adpcm_rms"]) - rms(adpcm)) < 0.05 and abs(float(got["wide_rms"]) - rms(want)) < 0.5
+        assert int(got["crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:])) and int(got["peak"]) == max(map(abs, mu))
+        assert int(got["wide_samples"]) == 2 * len(mu)
+
+
+def test_headers_that_cannot_be_have_a_reason(spark):
+    def header(tag=7, channels=1, rate=8000, align=1, data=bytes(64)):
+        whole = bytearray(t.wav(data, tag, 8000))
+        whole[22:24], whole[24:28], whole[32:34] = channels.to_bytes(2, "little"), rate.to_bytes(4, "little"), align.to_bytes(2, "little")
+        return bytes(whole)
+
+    bad = [header(rate=0), header(rate=1), header(rate=2**32 - 1), header(channels=0), header(tag=17, align=0), header(tag=17, align=4), header(tag=17, align=64, channels=2), b"RIFF", header()[:30]]
+    good = [header(), header(channels=2), header(rate=11025), header(tag=17, align=32)]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "id int, audio binary")
+    got = {r.key: r for r in t.transcode(df, "id", "audio").collect()}
+    assert all(got[i].pcm is None and got[i].problem for i in range(len(bad)))
+    assert [got[len(bad) + i].n_samples for i in range(len(good))] == [128, 64, round(64 * 16000 / 11025), 2 * 2 * 57]
+    assert all(got[len(bad) + i].problem is None for i in range(len(good)))
