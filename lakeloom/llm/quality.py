@@ -5,8 +5,8 @@ A document is a sparse row: its distinct lower-case words hashed to 2^15 places
 score is w0 + sum w x + sum over pairs <v_i, v_j> x_i x_j, where the pair sum is taken in linear
 time as half of (sum v x)^2 - sum (v x)^2 for each of the factors.
 
-``fit`` learns from at most ``limit`` labelled rows, chosen by a hash of the key; ``score`` runs
-over every row of a table. Neither looks at the key, language or source of a document.
+``fit`` learns from at most ``limit`` labelled rows of at most ``places`` features together, chosen
+by a hash of the key; ``score`` runs over every row of a table. Neither looks at the key, language or source of a document.
 
 Defined results: null and empty texts are scored by their structure alone; repeated rows get
 equal scores; without labels of both kinds every score is the smoothed share of label 1; null
@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import in_worker, small_batches, utf8
+from lakeloom.llm.common import in_worker, small_batches, utf8, written
 
 WORDS = 1 << 15
 BINS = 16
@@ -151,8 +151,9 @@ def sample_of(labels: DataFrame, key: str, label: str, learn, limit: int) -> Dat
     return rows.groupBy("k").agg(F.max("y").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column: str = "text", label: str = "quality", metadata: tuple[str, ...] = (), limit: int = 10_000) -> Machine:
-    """A machine from at most ``limit`` labelled documents; only their feature places reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column: str = "text", label: str = "quality", metadata: tuple[str, ...] = (), limit: int = 10_000, places: int = 20_000_000) -> Machine:
+    """A machine from at most ``limit`` labelled documents of at most ``places`` features together, so that
+    what reaches the driver is bounded however long texts are (12 bytes for each place)."""
     chosen = sample_of(labels, key, label, learn, limit)
     small_batches(docs.sparkSession)
     inner = docs.select(docs[key].alias("k"), docs[column].cast("string").alias("t"), *(docs[c].alias(f"m{i}") for i, c in enumerate(metadata)))
@@ -167,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column:
             places = [features(t, m).tobytes() for t, m in zip(utf8(b.column(2)), extra, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.binary())], names=["k", "y", "x"])
 
-    rows = inner.mapInArrow(run, f"k {kind}, y int, x binary").collect()
+    found = written(inner.mapInArrow(run, f"k {kind}, y int, x binary"), "quality-sample")
+    order = Window.orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0)  # at most ``limit`` rows of two numbers
+    sizes = found.groupBy("k").agg(F.sum(F.octet_length("x") / 4).alias("n")).select("k", F.sum("n").over(order).alias("upto"))
+    rows = found.join(F.broadcast(sizes.filter(F.col("upto") <= places).select("k")), "k", "left_semi").collect()
     rows.sort(key=lambda r: (str(r.k), bytes(r.x)))
     return train([np.frombuffer(bytes(r.x), dtype=np.int32) for r in rows], np.array([float(r.y) for r in rows]), len(metadata))
 

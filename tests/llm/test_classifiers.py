@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -109,3 +111,60 @@ def test_sentences_and_marks():
     assert toxicity.words("STUPID$$$ éa!! x_y") == [b"stupid", "éa".encode(), b"x", b"y"]
     assert [len(s) for s in toxicity.sentences("One two. Three\nfour five six!")] == [2, 1, 3, 0]
     assert b"<low" in toxicity.marks(b"loweis") and b"eis>" in toxicity.marks(b"loweis") and toxicity.marks(b"ab") == [b"ab"]
+
+
+def test_a_bound_on_places_leaves_out_whole_rows(spark):
+    docs = spark.createDataFrame([(i, "good fine " * 3 if i % 2 else "bad !! || ## " + " ".join(f"w{k}" for k in range(100))) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    whole, cut, none = (quality.fit(docs, labels, F.lit(True), places=n) for n in (10**6, 1500, 0))
+    assert (whole.w != cut.w).any() and cut.w.any() and not none.w.any()
+
+
+def plain_fm_score(machine, text, n_chars):
+    """The query's score by loops: features as the docstring says, and every pair of them."""
+    low = text.encode().lower()
+    words = [w for w in re.split(rb"[ \t-\r]+", low) if w]
+    size, n, lines = len(low), len(words), low.split(b"\n")
+    kinds = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b"!", b"|", b".,;:?\"'()-", b"\n", b"{}[]=_/\\@~^+`", bytes(range(128, 256))]
+    shares = [sum(c in kind for c in text.encode()) / max(1, size) for kind in kinds]
+    shares += [len(set(words)) / max(1, n), sum(a == b for a, b in zip(words, words[1:])) / max(1, n), 1 - len(set(lines)) / len(lines), (size - n) / max(1, n) / 20]
+    bins = [sum(s > x for x in quality.SHARES) for s in shares] + [min(15, n.bit_length()), min(15, len(lines).bit_length())]
+    bins.append(0 if n_chars is None else 1 + min(14, n_chars.bit_length()))
+    hashed = sorted({zlib.crc32(w) & 32767 for w in set(words)})
+    x = [(p, 1 / math.sqrt(max(1, len(hashed)))) for p in hashed] + [(32768 + 16 * i + b, 0.5) for i, b in enumerate(bins)]
+    y = machine.w0 + sum(float(machine.w[p]) * v for p, v in x)
+    for i in range(len(x)):
+        for j in range(i):
+            y += float(np.dot(machine.v[x[i][0]].astype(float), machine.v[x[j][0]].astype(float))) * x[i][1] * x[j][1]
+    return 1 / (1 + math.exp(-y))
+
+
+def test_quality_query_against_every_pair_of_features(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    machine = quality.fit(docs, labels, remainder(4) != 2, metadata=("n_chars",))
+    got = {r.doc_id: r.score for r in QUERIES["op1_quality_machine"](spark, small).collect()}
+    some = [r for r in docs.collect() if len(r.text) < 900]
+    assert len(some) > 30
+    for r in some:
+        assert abs(got[r.doc_id] - plain_fm_score(machine, r.text, r.n_chars)) < 1e-4
+
+
+def plain_toxic_score(model, text):
+    """The query's score by loops over sentences, their words and their marks."""
+    best = 0.0
+    for sentence in re.split(r"[.!?\n]", text.lower()):
+        found = set()
+        for w in re.findall(r"(?:[a-z]|[^\x00-\x7f])+", sentence):
+            w = w.encode()
+            found |= {w} | {b"<" + w[:k] for k in (3, 4, 5, 6) if k < len(w)} | {w[-k:] + b">" for k in (3, 4, 5) if k < len(w)}
+        best = max(best, sum(model.weights.get(m, 0.0) for m in found))
+    return 1 / (1 + math.exp(-(model.bias + best)))
+
+
+def test_toxicity_query_against_loops(spark, medium):
+    docs, labels = (spark.read.parquet(f"{medium}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, remainder(3) != 1)
+    got = {r.doc_id: r.score for r in QUERIES["op2_counterfactual_toxicity"](spark, medium).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id] - plain_toxic_score(model, r.text)) < 1e-9
+    assert max(got.values()) > 0.7
