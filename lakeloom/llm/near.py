@@ -32,6 +32,7 @@ is greater than every other and is a null component only among nulls; an empty t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import packed as px
-from lakeloom.llm.common import chunks, joined, mix, spans, text_column, window_hashes, word_hashes, written
+from lakeloom.llm.common import chunks, joined, mix, small_batches, spans, text_column, window_hashes, word_hashes, written
 from lakeloom.llm.components import components
 
 PART = 1_500_000
@@ -290,6 +291,37 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
+def _linked_in_turn(dealt: DataFrame, by: list[str], number: Column, parts: int, percent: int) -> DataFrame:
+    """Links of the rows of each ``by``, one after the other in a task; ``number`` says which of ``parts`` tasks.
+
+    Numbers that follow each other go to different tasks, where a hash would put several into one.
+    """
+    columns = [*by, *(c for c in ("node", "side", "label", "shingles") if c in dealt.columns)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in by), strict=True))
+            begin = 0
+            for i, key in enumerate(keys):
+                if key != last:
+                    if begin < i:
+                        held.append(pa.Table.from_batches([b.slice(begin, i - begin)]))
+                    if held:
+                        yield from _linked(pa.concat_tables(held), percent).to_batches()
+                    held, begin, last = [], i, key
+            if begin < len(keys):
+                held.append(pa.Table.from_batches([b.slice(begin)]))
+        if held:
+            yield from _linked(pa.concat_tables(held), percent).to_batches()
+
+    small_batches(dealt.sparkSession)
+    most = 8 * int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(parts, most))
+    return dealt.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).select(*columns).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+
 def linked_in_large(members: DataFrame, percent: int, block: int, sets: int) -> DataFrame:
     """Links that connect what is connected in groups too large for a task.
 
@@ -297,6 +329,8 @@ def linked_in_large(members: DataFrame, percent: int, block: int, sets: int) ->
     """
     parts = F.ceil(F.greatest(F.col("load") / block, F.col("many") / sets)).cast("int")
     members = members.withColumn("parts", parts)
+    total = int(members.groupBy("group").agg(F.first("parts").alias("parts")).agg(F.sum("parts")).first()[0])
+    at = F.xxhash64("group")
     state = members.select("group", "node", "n_shingles", "load", "parts", F.col("node").alias("label"), F.lit(True).alias("open"))
     links, pivots = None, None
     for r in range(ROUNDS):
@@ -307,7 +341,7 @@ def linked_in_large(members: DataFrame, percent: int, block: int, sets: int) ->
         some = members.join(chosen, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
         others = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("side", F.lit(0))
         both = others.unionByName(some).select("group", "part", "node", "side", "shingles")
-        found = written(both.groupBy("group", "part").applyInArrow(lambda t: _linked(t, percent), "a long, b long"), "stars")
+        found = written(_linked_in_turn(both, ["group", "part"], at + F.col("part"), total, percent), "stars")
         links = found if links is None else links.union(found)
         state = state.drop("label", "open").join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
         largest = state.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "label")).alias("top"))
@@ -321,8 +355,10 @@ def linked_in_large(members: DataFrame, percent: int, block: int, sets: int) ->
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     every = placed.select("group", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), own.alias("j"), "node", "label", F.lit(0).alias("side"), "shingles")
     rest = placed.filter("open").select("group", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), "node", "label", F.lit(1).alias("side"), "shingles")
-    found = every.unionByName(rest).groupBy("group", "i", "j").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
-    return links.union(found)
+    pairs = int(placed.groupBy("group").agg((F.first("rows") * F.first("parts")).alias("pairs")).agg(F.sum("pairs")).first()[0])
+    both = every.unionByName(rest).join(placed.groupBy("group").agg(F.first("parts").alias("parts")), "group")
+    found = _linked_in_turn(both, ["group", "i", "j"], at + F.col("i") * F.col("parts") + F.col("j"), pairs, percent)
+    return links.union(written(found, "links"))
 
 
 def linked_sets(base: DataFrame, rep: Column, percent: int, block: int, sets: int = SETS) -> DataFrame:
@@ -338,15 +374,17 @@ def linked_sets(base: DataFrame, rep: Column, percent: int, block: int, sets: in
     least = lists.groupBy("shingle").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     near = lists.join(least, "shingle").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a != b").distinct()
     groups = components(near).withColumnRenamed("root", "group")
-    placed = reps.select("node", "n_shingles", "shingles").join(groups, "node")
+    # Sizes are joined before sets are, so no set of a large group is dealt by its group.
+    placed = groups.join(reps.select("node", "n_shingles"), "node")
     loads = placed.groupBy("group").agg(F.sum("n_shingles").alias("load"), F.count(F.lit(1)).alias("many"))
-    placed = placed.join(loads, "group")
+    placed = written(placed.join(loads, "group"), "groups")
     is_large = (F.col("load") > block) | (F.col("many") > sets)
-    small = placed.filter(~is_large).select("group", "node", "shingles")
+    shingles = reps.select("node", "shingles")
+    small = placed.filter(~is_large).select("group", "node").join(shingles, "node")
     links = small.groupBy("group").applyInArrow(lambda t: _linked(t, percent), "a long, b long")
-    large = written(placed.filter(is_large), "large")
+    large = placed.filter(is_large)
     if not large.isEmpty():
-        links = links.union(linked_in_large(large, percent, block, sets))
+        links = links.union(linked_in_large(written(large.join(shingles, "node"), "large"), percent, block, sets))
     linked = components(links)
     return reps.select(*PRINTS, "node", "rep").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
