@@ -105,15 +105,15 @@ def measure(df: DataFrame, keep: list[str], column: str = "text") -> DataFrame:
     counts = docs.select(
         *kept,
         _long(n).alias("n_words"),
-        _long(F.length(F.translate("_t", BLANKS, ""))).alias("word_chars"),
-        _long(F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
+        _long(F.length(F.array_join("_w", ""))).alias("word_chars"),
+        _long(F.regexp_count("_t", F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"),
         _long(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         _long(F.size(F.filter("_w", lambda w: F.lower(w).isin(*stop)))).alias("n_stop_words"),
         _long(F.size("_l")).alias("n_lines"),
         _long(F.size(F.filter("_l", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]")))).alias("n_bullet_lines"),
         _long(F.size(F.filter("_l", lambda x: x.endswith("...") | x.endswith("…")))).alias("n_ellipsis_lines"),
-        _long(F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
+        _long(F.regexp_count("_t", F.lit("[A-Z]"))).alias("n_upper"),
         F.lit(1).cast("long").alias("one"),
     )
     added = [c for c in counts.columns if c not in kept] + ["base_failed", "kept"]
