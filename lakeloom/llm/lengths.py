@@ -116,6 +116,34 @@ def quantile(answers: DataFrame, q: float) -> DataFrame:
     return answers.filter(F.col("share_within") >= q).agg(F.min("n_tokens").alias("n_tokens"))
 
 
+def at_limits(answers: DataFrame, context: list[int]) -> DataFrame:
+    """The answers for any context limits, whether or not they occur as lengths: n_tokens (the limit),
+    docs_longer, tokens_longer, tokens_cut and share_within.
+
+    A limit has the suffix sums of the greatest length that doesn't exceed it, or, below all lengths, those of all
+    documents. One aggregation finds them for all limits; without documents there is no row.
+    """
+    totals = F.max(F.struct("docs_total", "tokens_total"))
+    found = [F.max(F.when(F.col("n_tokens") <= c, F.struct("n_tokens", "docs_longer", "tokens_longer"))) for c in context]
+    every = answers.agg(totals.alias("all"), *(f.alias(f"at{i}") for i, f in enumerate(found))).filter(F.col("all").isNotNull())
+    each = [
+        F.struct(
+            F.lit(c).cast("long").alias("n_tokens"),
+            F.coalesce(f"at{i}.docs_longer", "all.docs_total").alias("docs_longer"),
+            F.coalesce(f"at{i}.tokens_longer", "all.tokens_total").alias("tokens_longer"),
+        )
+        for i, c in enumerate(context)
+    ]
+    rows = every.select("all", F.explode(F.array(*each)).alias("r")).select("all", "r.*")
+    return rows.select(
+        "n_tokens",
+        "docs_longer",
+        "tokens_longer",
+        (F.col("all.tokens_total") - F.col("tokens_longer") + F.col("docs_longer") * F.col("n_tokens")).alias("tokens_cut"),
+        ((F.col("all.docs_total") - F.col("docs_longer")) / F.col("all.docs_total")).alias("share_within"),
+    )
+
+
 def at_limit(hist: DataFrame, limit: int) -> DataFrame:
-    """The truncated total at any limit, whether or not it occurs as a length."""
+    """The truncated total at one limit, straight from the histogram; ``at_limits`` answers from the suffix sums."""
     return hist.agg(F.coalesce(F.sum(F.least(F.col("n_tokens"), F.lit(limit)) * F.col("n_docs")), F.lit(0)).cast("long").alias("tokens_cut"))

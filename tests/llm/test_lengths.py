@@ -46,3 +46,15 @@ def test_messy_and_empty(messy, empty):
     assert len(got) == 9 and sum(r.n_tokens == 0 for r in got) == 2
     assert lengths.limits(lengths.histogram(lengths.token_lengths(empty))).count() == 0
     assert lengths.at_limit(lengths.histogram(lengths.token_lengths(empty)), 5).collect()[0].tokens_cut == 0
+
+
+def test_any_limits_are_answered_by_the_suffix_sums(spark, empty):
+    values = [5, 7, 7, 20, 100]
+    hist = lengths.histogram(spark.createDataFrame([(v,) for v in values], "n_tokens long"))
+    context = [0, 4, 5, 6, 19, 20, 99, 10**6]
+    got = {r.n_tokens: (r.docs_longer, r.tokens_longer, r.tokens_cut, r.share_within) for r in lengths.at_limits(lengths.limits(hist), context).collect()}
+    for c in context:
+        longer = [v for v in values if v > c]
+        assert got[c] == (len(longer), sum(longer), sum(min(v, c) for v in values), (5 - len(longer)) / 5)
+        assert lengths.at_limit(hist, c).first().tokens_cut == got[c][2]
+    assert lengths.at_limits(lengths.limits(lengths.histogram(lengths.token_lengths(empty))), [5]).count() == 0
