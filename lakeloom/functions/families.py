@@ -59,7 +59,7 @@ def dates(spark: SparkSession, d: str) -> DataFrame:
         F.months_between(F.trunc(day, "month"), F.lit("1995-01-01").cast("date")).alias("months"),
         F.next_day(day, "Mon").alias("monday"),
         F.try_to_timestamp("o_orderpriority", F.lit("yyyy-MM-dd")).isNull().alias("no_time"),
-        (F.unix_micros(F.to_utc_timestamp(F.col("o_orderdate").cast("timestamp"), F.current_timezone())) / 1_000_000).cast("long").alias("seconds"),
+        (F.unix_date(day).cast("long") * 86_400 + F.hour("o_orderdate") * 3600 + F.minute("o_orderdate") * 60 + F.second("o_orderdate")).alias("seconds"),
         F.make_date(F.year(day), F.lit(12), F.lit(31)).alias("year_end"),
     )
 

@@ -41,7 +41,7 @@ class Index:
     def build(cls, docs: DataFrame, path: str) -> Index:
         """docs: doc_id (unique), text, lang and source."""
         words = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("place", "term")).withColumn("bucket", bucket(F.col("term")))
-        words = words.repartition(BUCKETS * FILES, "bucket", F.pmod("doc_id", F.lit(FILES))).sortWithinPartitions("bucket", "term", "doc_id", "place")
+        words = words.repartition("bucket", F.pmod("doc_id", F.lit(FILES))).sortWithinPartitions("bucket", "term", "doc_id", "place")
         words.write.partitionBy("bucket").parquet(f"{path}/occurrences")
         length = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))
         docs.select("doc_id", length.cast("long").alias("length"), "lang", "source").write.parquet(f"{path}/docs")

@@ -233,6 +233,6 @@ def upsert_sink(spark: SparkSession, d: str) -> DataFrame:
 def late_events(spark: SparkSession, d: str) -> DataFrame:
     """The last days come first and move the watermark, which counts a batch later: the days of the
     second batch still pass, those of the third come too late and are dropped."""
-    cuts = [1_704_844_800_000_000.0, 1_705_276_800_000_000.0]  # 2024-01-10 and 2024-01-15 in microseconds
+    cuts = [F.unix_micros(F.lit(day).cast("timestamp")) for day in ("2024-01-10", "2024-01-15")]
     df = stream(spark, d, ["ts", "event_id"], cuts=cuts, latest_first=True).withWatermark("ts", LATENESS)
     return run(distinct(df), "append").select("event_id")
