@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lakeloom.llm import lengths, mixing, near, pieces, quality, repeats, rules, surrogates, telephony, toxicity
+from lakeloom.llm import clusters, codes, lengths, mixing, near, packing, pieces, quality, repeats, rules, surrogates, telephony, toxicity
 from lakeloom.llm.common import documents
 
 
@@ -70,6 +70,26 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("_types").cast("long").alias("n_entities"), F.array_join(F.array_sort("_types"), ",").alias("types"), "text")
 
 
+def op11_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.pack(documents(spark, sf_dir))
+    return pieces_.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op12_delta_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codes.compressed(embeddings(spark, sf_dir))
+    code = F.array_join(F.transform("indexes", lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "")
+    return codes.with_label_errors(out).select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
+
+
+def op13_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = clusters.clustered(embeddings(spark, sf_dir))
+    return clusters.with_inertia(out, model).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +103,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_adaptive_prefix_join,
         op9_mixing_curriculum,
         op10_pii_surrogates,
+        op11_tier_packing,
+        op12_delta_codes,
+        op13_drake_clusters,
     )
 }
-ORACLES: dict[str, str] = {"op6_super_kmer_repeats": repeats.ORACLE, "op7_quality_rules": rules.oracle(), "op8_adaptive_prefix_join": near.ORACLE, "op9_mixing_curriculum": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op6_super_kmer_repeats": repeats.ORACLE,
+    "op7_quality_rules": rules.oracle(),
+    "op8_adaptive_prefix_join": near.ORACLE,
+    "op9_mixing_curriculum": mixing.oracle(),
+    "op12_delta_codes": codes.oracle(),
+    "op13_drake_clusters": clusters.oracle(),
+}

@@ -11,5 +11,5 @@ def test_query_equals_sql(spark, small, name):
     assert names == other_names and rows == other and rows
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
