@@ -7,6 +7,7 @@ stores are paths of the same readers (``s3a://...``) where the cluster has their
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -74,6 +75,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_stored: dict[int, str] = {}  # folders of the tables that stored gave
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, reread from a table in the shared folder: cuts lineage and survives lost executors.
+
+    The table goes by ``removed``, or when the application ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = path
+    weakref.finalize(out, _stored.pop, id(out), None)
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Removes a table that ``stored`` gave and that nothing reads any more."""
+    if path := _stored.pop(id(df), None):
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def round_trip(df: DataFrame, kind: str, write: dict | None = None, read: dict | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, kind)
