@@ -1,23 +1,37 @@
-"""A stored inverted index: occurrences by bucket of their term, documents without texts, and totals.
-
-Searches read the buckets of their terms only, never the texts. Building tokenises texts where they
-are read and sorts occurrences by term and document, so that columns are stored in runs;
-a term's occurrences are dealt to ``FILES`` files of its bucket, so no task writes all of a frequent
-term's. A query of the registry builds the index of its folder once for the session.
+"""A stored inverted index: postings in blocks with the greatest weight of each, a dictionary of terms, documents without texts.
+
+A block has one term's postings of the documents of one block number, a hash of the document's id. So a
+frequent term has as many blocks as there are block numbers, which grow with the number of documents, and
+a block stays about ``BLOCK`` postings long whatever the term. Buckets (folders, by a hash of the term) and
+slices of block numbers grow with the bytes of text; a task builds one slice of one bucket, so the number of tasks
+grows with the input, and no task has all postings of a term. Texts are read twice and their terms
+travel once.
+
+A search reads the buckets of its terms. Which blocks it reads there is decided from the blocks' weights
+(``search.bm25``); words that begin alike are found in the sorted dictionary, and words at an edit distance
+in ``deletions``, which has each term under what is left of its beginning when up to two letters are taken out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.sources.formats import scratch
+from lakeloom.sources.formats import scratch, version
 from lakeloom.sources.tables import table
 
-BUCKETS, FILES = 32, 4
-OCCURRENCES = "term string, doc_id long, place int, bucket int"
+#: Documents of a block number; bytes of text for each bucket, and for each slice of a bucket.
+BLOCK, BUCKET_BYTES, SLICE_BYTES = 1024, 32 << 20, 1 << 30
+K1, B = 1.2, 0.75
+#: Of a term's beginning of so many letters, up to so many are taken out.
+BEGINNING, TAKEN = 7, 2
+POSTINGS = "term string, block int, n int, most double, doc_ids array<long>, tfs array<int>, lengths array<int>, places array<array<int>>, bucket int"
+TERMS = "term string, df long, cf long, most double"
 DOCS = "doc_id long, length long, lang string, source string"
 
 
@@ -26,8 +40,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def weight(tf: Column, length: Column, mean: float) -> Column:
+    """What a term's frequency in a document counts for, without its rarity (Robertson and Zaragoza 2009)."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
+
+
+def left_over(word: str) -> set[str]:
+    """The word's beginning with up to ``TAKEN`` letters taken out. Words at an edit distance of at most that have one in
+    common: an alignment leaves as many letters of one beginning unmatched as of the other, each of them an edit."""
+    begin = word[:BEGINNING]
+    return {"".join(c for i, c in enumerate(begin) if i not in out) for k in range(TAKEN + 1) for out in combinations(range(len(begin)), k)}
+
+
+def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        terms = b.column(0).to_pylist()
+        pairs = [(t, x) for t in terms for x in sorted(left_over(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string())], names=["term", "rest"])
 
 
 @dataclass(frozen=True)
@@ -38,45 +67,85 @@ class Index:
     path: str
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str) -> Index:
+    def build(cls, docs: DataFrame, path: str, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES, slice_bytes: int = SLICE_BYTES) -> Index:
         """docs: doc_id (unique), text, lang and source."""
-        words = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("place", "term")).withColumn("bucket", bucket(F.col("term")))
-        words = words.repartition("bucket", F.pmod("doc_id", F.lit(FILES))).sortWithinPartitions("bucket", "term", "doc_id", "place")
-        words.write.partitionBy("bucket").parquet(f"{path}/occurrences")
+        spark = docs.sparkSession
         length = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))
-        docs.select("doc_id", length.cast("long").alias("length"), "lang", "source").write.parquet(f"{path}/docs")
-        out = cls(docs.sparkSession, path)
-        out.docs().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean")).write.parquet(f"{path}/totals")
+        sized = docs.select("doc_id", length.cast("long").alias("length"), "lang", "source", F.octet_length("text").alias("bytes"))
+        sized.write.parquet(f"{path}/docs")
+        total = spark.read.schema(f"{DOCS}, bytes int").parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"), F.sum(F.col("bytes").cast("long")).alias("bytes")).first()
+        size = total.bytes or 0
+        shape = {"blocks": max(1, -(-total.n_docs // block)), "buckets": min(4096, max(8, size // bucket_bytes)), "slices": min(1024, max(4, size // slice_bytes))}
+        spark.range(1).select(F.lit(total.n_docs).cast("long").alias("n_docs"), F.lit(total.mean).cast("double").alias("mean"), *(F.lit(v).cast("int").alias(k) for k, v in shape.items())).write.parquet(f"{path}/totals")
+        out = cls(spark, path)
+        out._write_postings(docs, total.mean or 1.0, **shape)
+        found = out._read("postings", POSTINGS).select("term", "n", "most", F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf"))
+        terms = found.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("most").alias("most"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        rest = out.terms().select("term").mapInArrow(_left_over, "term string, rest string").withColumn("bucket", F.pmod(F.xxhash64("rest"), F.lit(shape["buckets"])).cast("int"))
+        rest.repartition(shape["buckets"], "bucket").sortWithinPartitions("bucket", "rest").write.partitionBy("bucket").parquet(f"{path}/deletions")
         return out
 
-    def occurrences(self, terms: list[str] | None = None) -> DataFrame:
-        """term, doc_id and place; of some terms, from their buckets' folders."""
-        found = self.spark.read.schema(OCCURRENCES).parquet(f"{self.path}/occurrences")
-        if terms is not None:
-            held = self.spark.range(1).select(F.array(*[bucket(F.lit(t)) for t in terms]).alias("b")).first().b
-            found = found.filter(F.col("bucket").isin(*sorted(set(held))) & F.col("term").isin(*terms))
-        return found.drop("bucket")
+    def _write_postings(self, docs: DataFrame, mean: float, blocks: int, buckets: int, slices: int) -> None:
+        number = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+        words = docs.select("doc_id", number.alias("block"), tokens(F.col("text")).alias("_w")).select("doc_id", "block", F.size("_w").alias("length"), F.posexplode("_w").alias("place", "term"))
+        keys = ["bucket", "slice", "term", "block"]
+        words = words.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "slice": F.pmod("block", F.lit(slices))})
+        # One exchange serves both groupings and the folders.
+        words = words.repartition(buckets * slices, "bucket", "slice")
+        of_doc = words.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("place")).alias("places"))
+        entry = F.struct("doc_id", "tf", "length", "places")
+        lists = of_doc.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max(weight(F.col("tf"), F.col("length"), mean)).alias("most"))
+        rows = lists.select("term", "block", F.size("e").alias("n"), "most", F.col("e.doc_id").alias("doc_ids"), F.col("e.tf").alias("tfs"), F.col("e.length").alias("lengths"), F.col("e.places").alias("places"), "bucket")
+        rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def _buckets(self, words: list[str]) -> list[int]:
+        held = self._read("totals", "buckets int").select(F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.col("buckets")).cast("int") for w in words]).alias("b")).first()
+        return sorted(set(held.b))
+
+    def blocks(self, terms: list[str]) -> DataFrame:
+        """Blocks of some terms, from their buckets' folders."""
+        return self._read("postings", POSTINGS).filter(F.col("bucket").isin(*self._buckets(terms)) & F.col("term").isin(*terms)).drop("bucket")
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """term, doc_id and tf, counted before they are shuffled."""
-        return self.occurrences(terms).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+        """term, doc_id and tf."""
+        found = self._read("postings", POSTINGS) if terms is None else self.blocks(terms)
+        return found.select("term", F.inline(F.arrays_zip("doc_ids", "tfs"))).toDF("term", "doc_id", "tf")
+
+    def occurrences(self, terms: list[str]) -> DataFrame:
+        """term, doc_id and place."""
+        found = self.blocks(terms).select("term", F.inline(F.arrays_zip("doc_ids", "places"))).toDF("term", "doc_id", "places")
+        return found.select("term", "doc_id", F.explode("places").alias("place"))
+
+    def terms(self) -> DataFrame:
+        """The dictionary, sorted: term, df (documents), cf (occurrences) and most (the greatest weight)."""
+        return self._read("terms", TERMS)
+
+    def like(self, word: str, within: int) -> DataFrame:
+        """Terms at an edit distance of at most ``within``, which is at most ``TAKEN``."""
+        if not 0 <= within <= TAKEN:
+            raise ValueError(f"an edit distance of 0 to {TAKEN} is indexed")
+        rest = sorted(left_over(word))
+        found = self._read("deletions", "term string, rest string, bucket int").filter(F.col("bucket").isin(*self._buckets(rest)) & F.col("rest").isin(*rest))
+        return found.select("term").distinct().filter(F.levenshtein("term", F.lit(word)) <= within)
 
     def docs(self) -> DataFrame:
-        return self.spark.read.schema(DOCS).parquet(f"{self.path}/docs")
+        return self._read("docs", DOCS)
 
     def totals(self) -> DataFrame:
-        """One row: the number of documents and their mean length."""
-        return self.spark.read.schema("n_docs long, mean double").parquet(f"{self.path}/totals")
+        """One row: the number of documents, their mean length, and the numbers of blocks, buckets and slices."""
+        return self._read("totals", "n_docs long, mean double, blocks int, buckets int, slices int")
 
 
 _built: dict[tuple, Index] = {}
 
 
 def of_folder(spark: SparkSession, d: str) -> Index:
-    """The index of a folder's documents, built when it is first asked for, or when the table has changed."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
-    changed = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
-    key = (spark.sparkContext.applicationId, d, changed)
+    """The index of a folder's documents, built when it is first asked for, or when a file of the table has changed."""
+    key = (spark.sparkContext.applicationId, d, version(spark, f"{d}/documents.parquet"))
     if key not in _built:
         _built[key] = Index.build(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), scratch(spark, "index"))
     return _built[key]

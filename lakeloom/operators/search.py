@@ -1,38 +1,70 @@
 """Full-text and vector retrieval over a stored index of postings (``index``).
 
-Queries read the postings of their terms and, where they ask for them, documents' lengths and
-columns; texts are read when the index is built. Lists of one document are compared in place.
+Queries read the postings of their terms, the dictionary, and documents' columns where they ask for them; texts
+are read when the index is built.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.index import Index, of_folder, tokens
+from lakeloom.operators.index import B, K1, Index, of_folder, tokens, weight
 from lakeloom.plans.registry import Registry
 from lakeloom.sources.tables import table
 
 registry = Registry()
 
-K1, B = 1.2, 0.75
 QUERY = ["the", "thnt", "eron"]
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+#: Block numbers up to which a filter names them; more are joined.
+NAMED = 2_000
+
+
+def rarities(index: Index, terms: list[str], n_docs: int) -> dict[str, float]:
+    """By how much each term's weight counts, from the dictionary; absent terms are left out."""
+    found = index.terms().filter(F.col("term").isin(*terms)).select("term", "df").collect()  # one row for each query term at most
+    return {r.term: math.log(1 + (n_docs - r.df + 0.5) / (r.df + 0.5)) for r in found}
+
+
+def _scored(blocks: DataFrame, rarity: Column, mean: float) -> DataFrame:
+    """doc_id and unrounded score, from whole blocks of all terms."""
+    each = blocks.select("term", F.inline(F.arrays_zip("doc_ids", "tfs", "lengths"))).toDF("term", "doc_id", "tf", "length")
+    return each.groupBy("doc_id").agg(F.sum(rarity * weight(F.col("tf"), F.col("length"), mean)).alias("score"))
 
 
-def bm25(index: Index, terms: list[str], k: int) -> DataFrame:
-    """S3: the k best documents (Robertson and Zaragoza 2009); ties by id.
+def bm25(index: Index, terms: list[str], k: int, told: dict | None = None) -> DataFrame:
+    """S3: the k best documents (Robertson and Zaragoza 2009); ties of rounded scores by id.
 
-    Document frequencies are at most one row for each query term; only documents with a hit meet their lengths.
+    Blocks are pruned by their greatest weights (Ding and Suel, "Faster top-k document retrieval using block-max
+    indexes", 2011): a block number's bound is the sum over the terms. The numbers of the greatest bounds are scored
+    first; the k-th best score there is one that the result has at least, so numbers whose bound is below it
+    are never read. ``told`` gets how many blocks there were and how many were read.
     """
-    hits = index.postings(terms).select("term", "doc_id", "tf")
-    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("of"))  # as many as query terms
-    sized = index.docs().select("doc_id", "length").join(found, "doc_id").select("doc_id", "length", F.inline("of"))
-    scored = sized.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(index.totals()))  # one row for each term, and one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return scored.groupBy("doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    totals = index.totals().first()
+    none = index.spark.createDataFrame([], "doc_id long, score double")
+    if not k or not totals.n_docs or not (of := rarities(index, terms, totals.n_docs)):
+        return none
+    names = list(of)
+    rarity = F.create_map(*(F.lit(x) for pair in of.items() for x in pair))[F.col("term")]
+    blocks = index.blocks(names)
+    bounds = blocks.select("term", "block", "n", "most").groupBy("block").agg(F.sum(rarity * F.col("most")).alias("bound"), F.count(F.lit(1)).alias("lists"), F.max("n").alias("n"))
+    first = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(-(-k // 16) + 3).collect()]
+    best = F.round("score", 6)
+    scored = _scored(blocks.filter(F.col("block").isin(*first)), rarity, totals.mean).select("doc_id", best.alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    begun = scored.collect()  # at most k
+    least = begun[-1].score if len(begun) == k else float("-inf")
+    more = bounds.filter((F.col("bound") >= least - 1e-5) & ~F.col("block").isin(*first))  # scores are rounded
+    if told is not None:
+        told |= {"blocks": blocks.count(), "read": blocks.filter(F.col("block").isin(*first)).count() + (more.agg(F.sum("lists").alias("n")).first().n or 0)}
+    some = [r.block for r in more.select("block").limit(NAMED + 1).collect()]
+    rest = blocks.filter(F.col("block").isin(*some)) if len(some) <= NAMED else blocks.join(more.select("block"), "block", "left_semi")
+    known = index.spark.createDataFrame([(r.doc_id, r.score) for r in begun], "doc_id long, score double")
+    if some:
+        known = known.unionByName(_scored(rest, rarity, totals.mean).select("doc_id", best.alias("score")))
+    return known.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 @registry.query("s1_tokens", f"SELECT doc_id, CAST(len({TOKENS_SQL}) AS BIGINT) AS n_tokens FROM documents")
@@ -75,7 +107,7 @@ SELECT doc_id FROM p WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM p WHER
 def boolean(spark: SparkSession, d: str) -> DataFrame:
     """The AND (thnt OR eron) NOT that, from one row for each document that has any of the terms."""
     has = lambda t: F.bool_or(F.col("term") == t)
-    found = of_folder(spark, d).occurrences(["the", "thnt", "eron", "that"]).groupBy("doc_id").agg((has("the") & (has("thnt") | has("eron")) & ~has("that")).alias("asked"))
+    found = of_folder(spark, d).postings(["the", "thnt", "eron", "that"]).groupBy("doc_id").agg((has("the") & (has("thnt") | has("eron")) & ~has("that")).alias("asked"))
     return found.filter("asked").select("doc_id")
 
 
@@ -96,8 +128,8 @@ def phrase(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.query("s6_prefix", f"SELECT DISTINCT term FROM (SELECT unnest({TOKENS_SQL}) AS term FROM documents) AS t WHERE starts_with(term, 'thr')")
 def prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Terms that begin so, from the stored terms alone."""
-    return of_folder(spark, d).occurrences().filter(F.col("term").startswith("thr")).select("term").distinct()
+    """Terms that begin so, from the sorted dictionary, whose files tell what they can't have."""
+    return of_folder(spark, d).terms().filter(F.col("term").startswith("thr")).select("term")
 
 
 @registry.query(
@@ -105,10 +137,8 @@ def prefix(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT DISTINCT term FROM (SELECT unnest({TOKENS_SQL}) AS term FROM documents) AS t WHERE length(term) BETWEEN 5 AND 9 AND levenshtein(term, 'therent') <= 2",
 )
 def fuzzy(spark: SparkSession, d: str, word: str = "therent", within: int = 2) -> DataFrame:
-    """Terms at an edit distance; lengths are compared first, and each term once."""
-    df = of_folder(spark, d).occurrences().select("term")
-    df = df.filter(F.length("term").between(len(word) - within, len(word) + within)).distinct()
-    return df.filter(F.levenshtein("term", F.lit(word)) <= within)
+    """Terms at an edit distance, from those that share a remainder with the word."""
+    return of_folder(spark, d).like(word, within)
 
 
 @registry.query(
@@ -121,7 +151,7 @@ WHERE list_contains({TOKENS_SQL}, 'thnt') GROUP BY 1, 2
 def facets(spark: SparkSession, d: str) -> DataFrame:
     """Counts over the hits of a term."""
     index = of_folder(spark, d)
-    df = index.docs().join(index.occurrences(["thnt"]).select("doc_id"), "doc_id", "left_semi")
+    df = index.docs().join(index.postings(["thnt"]).select("doc_id"), "doc_id", "left_semi")
     return df.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -155,7 +185,6 @@ FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) AS t GROUP BY
 """,
 )
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The fifty terms of most documents; the rank is taken over fifty rows."""
-    df = of_folder(spark, d).postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.orderBy(F.desc("df"), "term").limit(50)
+    """The fifty terms of most documents, from the dictionary; the rank is taken over fifty rows."""
+    df = of_folder(spark, d).terms().select("term", "df").orderBy(F.desc("df"), "term").limit(50)
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "term")).cast("long"))

@@ -6,6 +6,7 @@ stores are paths of the same readers (``s3a://...``) where the cluster has their
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -75,6 +76,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def version(spark: SparkSession, path: str) -> str:
+    """A digest of the files below a path: their names, lengths and times of change."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(out)).encode()).hexdigest()
+
+
 _stored: dict[int, str] = {}  # folders of the tables that stored gave
 
 

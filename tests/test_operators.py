@@ -177,7 +177,7 @@ def test_an_empty_stream_gives_no_rows(spark, tmp_path):
         assert query(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["s3_bm25", "s4_boolean", "s5_phrase", "s7_facets"])
+@pytest.mark.parametrize("name", ["s4_boolean", "s5_phrase", "s7_facets"])
 def test_searches_read_the_buckets_of_their_terms_only(spark, small, name):
     plan = search.registry.queries[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
