@@ -9,16 +9,20 @@ travel once.
 
 A search reads the buckets of its terms. Which blocks it reads there is decided from the blocks' weights
 (``search.bm25``); words that begin alike are found in the sorted dictionary, and words at an edit distance
-in ``deletions``, which has each term under what is left of its beginning when up to two letters are taken out.
+in ``deletions``, which has each term under what is left of its beginning when up to two letters are taken out
+(hashes of it; the distance itself is checked in the end).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ from lakeloom.sources.tables import table
 BLOCK, BUCKET_BYTES, SLICE_BYTES = 1024, 32 << 20, 1 << 30
 K1, B = 1.2, 0.75
 #: Of a term's beginning of so many letters, up to so many are taken out.
-BEGINNING, TAKEN = 7, 2
+BEGINNING, TAKEN = 6, 2
 POSTINGS = "term string, block int, n int, most double, doc_ids array<long>, tfs array<int>, lengths array<int>, places array<array<int>>, bucket int"
 TERMS = "term string, df long, cf long, most double"
 DOCS = "doc_id long, length long, lang string, source string"
@@ -59,6 +63,72 @@ def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string())], names=["term", "rest"])
 
 
+_ROWS = "term string, block int, doc_id long, tf int, length int, places array<int>"
+
+
+def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From doc_id, block and words of documents: a row for each of a document's terms, with its places in order."""
+    for b in batches:
+        lists = b.column(2)
+        lengths = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        codes = np.asarray(coded.indices).astype(np.int64)
+        key = of * len(coded.dictionary) + codes
+        order = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.diff(key[order], prepend=-1))
+        first = order[begin]
+        rows = pa.array(of[first])
+        ends = np.append(begin, len(order))
+        yield pa.RecordBatch.from_arrays(
+            [
+                coded.dictionary.take(pa.array(codes[first])),
+                b.column(1).take(rows),
+                b.column(0).take(rows),
+                pa.array(np.diff(ends).astype(np.int32)),
+                pa.array(lengths[of[first]].astype(np.int32)),
+                pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(place[order].astype(np.int32))),
+            ],
+            names=["term", "block", "doc_id", "tf", "length", "places"],
+        )
+
+
+def _in_blocks(mean: float):
+    """Rows in the order of term, block and document become a row for each block; a block that a batch may not end waits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for b in itertools.chain(batches, [None]):
+            if b is None:
+                rows, ended = waiting, True
+            else:
+                rows, ended = pa.Table.from_batches([b]), False
+                if waiting is not None:
+                    rows = pa.concat_tables([waiting, rows])
+            if rows is None or not rows.num_rows:
+                continue
+            term, block = rows.column("term").combine_chunks(), np.asarray(rows.column("block"))
+            new = np.asarray(pc.not_equal(term[1:], term[:-1])) | (block[1:] != block[:-1])
+            begin = np.concatenate([[0], np.flatnonzero(new) + 1])
+            if not ended:
+                waiting, begin, stop = rows.slice(begin[-1]), begin[:-1], int(begin[-1])
+                rows = rows.slice(0, stop)
+            if not len(begin):
+                continue
+            tf, length = np.asarray(rows.column("tf")), np.asarray(rows.column("length"))
+            ends = pa.array(np.append(begin, rows.num_rows).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(rows.column(c).chunks)) for c in ("doc_id", "tf", "length", "places")]
+            at = pa.array(begin)
+            most = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)), begin)
+            n = np.diff(np.append(begin, rows.num_rows)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([term.take(at), pa.array(block[begin]), pa.array(n), pa.array(most), *lists, rows.column("bucket").combine_chunks().take(at)], names=["term", "block", "n", "most", "doc_ids", "tfs", "lengths", "places", "bucket"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Index:
     """An index in a folder of Parquet tables."""
@@ -70,7 +140,7 @@ class Index:
     def build(cls, docs: DataFrame, path: str, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES, slice_bytes: int = SLICE_BYTES) -> Index:
         """docs: doc_id (unique), text, lang and source."""
         spark = docs.sparkSession
-        length = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))
+        length = F.coalesce(F.size(tokens(F.col("text"))), F.lit(0))
         sized = docs.select("doc_id", length.cast("long").alias("length"), "lang", "source", F.octet_length("text").alias("bytes"))
         sized.write.parquet(f"{path}/docs")
         total = spark.read.schema(f"{DOCS}, bytes int").parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"), F.sum(F.col("bytes").cast("long")).alias("bytes")).first()
@@ -82,22 +152,14 @@ class Index:
         found = out._read("postings", POSTINGS).select("term", "n", "most", F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf"))
         terms = found.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("most").alias("most"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-        rest = out.terms().select("term").mapInArrow(_left_over, "term string, rest string").withColumn("bucket", F.pmod(F.xxhash64("rest"), F.lit(shape["buckets"])).cast("int"))
-        rest.repartition(shape["buckets"], "bucket").sortWithinPartitions("bucket", "rest").write.partitionBy("bucket").parquet(f"{path}/deletions")
         return out
 
     def _write_postings(self, docs: DataFrame, mean: float, blocks: int, buckets: int, slices: int) -> None:
         number = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-        words = docs.select("doc_id", number.alias("block"), tokens(F.col("text")).alias("_w")).select("doc_id", "block", F.size("_w").alias("length"), F.posexplode("_w").alias("place", "term"))
-        keys = ["bucket", "slice", "term", "block"]
+        words = docs.select("doc_id", number.alias("block"), tokens(F.col("text")).alias("words")).mapInArrow(_of_documents, _ROWS)
         words = words.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "slice": F.pmod("block", F.lit(slices))})
-        # One exchange serves both groupings and the folders.
-        words = words.repartition(buckets * slices, "bucket", "slice")
-        of_doc = words.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("place")).alias("places"))
-        entry = F.struct("doc_id", "tf", "length", "places")
-        lists = of_doc.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max(weight(F.col("tf"), F.col("length"), mean)).alias("most"))
-        rows = lists.select("term", "block", F.size("e").alias("n"), "most", F.col("e.doc_id").alias("doc_ids"), F.col("e.tf").alias("tfs"), F.col("e.length").alias("lengths"), F.col("e.places").alias("places"), "bucket")
-        rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        words = words.repartition(buckets * slices, "bucket", "slice").sortWithinPartitions("term", "block", "doc_id")
+        words.drop("slice").mapInArrow(_in_blocks(mean), POSTINGS).write.partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -124,12 +186,23 @@ class Index:
         """The dictionary, sorted: term, df (documents), cf (occurrences) and most (the greatest weight)."""
         return self._read("terms", TERMS)
 
+    def deletions(self) -> DataFrame:
+        """term, and rest, the hash of a remainder, by bucket; built when it is first asked for."""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/deletions/_SUCCESS")
+        if not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            buckets = self.totals().first().buckets
+            rest = self.terms().select("term").mapInArrow(_left_over, "term string, rest string").select("term", F.xxhash64("rest").alias("rest"))
+            rest = rest.withColumn("bucket", F.pmod("rest", F.lit(buckets)).cast("int"))
+            rest.repartition(buckets, "bucket").sortWithinPartitions("rest").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/deletions")
+        return self._read("deletions", "term string, rest long, bucket int")
+
     def like(self, word: str, within: int) -> DataFrame:
         """Terms at an edit distance of at most ``within``, which is at most ``TAKEN``."""
         if not 0 <= within <= TAKEN:
             raise ValueError(f"an edit distance of 0 to {TAKEN} is indexed")
         rest = sorted(left_over(word))
-        found = self._read("deletions", "term string, rest string, bucket int").filter(F.col("bucket").isin(*self._buckets(rest)) & F.col("rest").isin(*rest))
+        hashes = self.spark.range(1).select(F.array(*[F.xxhash64(F.lit(x)) for x in rest]).alias("h")).first().h
+        found = self.deletions().filter(F.col("bucket").isin(*self._buckets(rest)) & F.col("rest").isin(*hashes))
         return found.select("term").distinct().filter(F.levenshtein("term", F.lit(word)) <= within)
 
     def docs(self) -> DataFrame:
