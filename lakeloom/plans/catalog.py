@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from lakeloom.functions import families, scalar, tables as table_functions
-from lakeloom.operators import aggregates, corpus, joins, keyed, lake, neardup, payloads, search, sets, star, web, windows
+from lakeloom.operators import aggregates, corpus, joins, keyed, lake, neardup, payloads, search, sets, star, vector_index, web, windows
 from lakeloom.plans.registry import Query
 from lakeloom.sources import formats
 from lakeloom.streaming import events
 
-MODULES = (star, web, payloads, corpus, neardup, keyed, lake, search, joins, aggregates, windows, sets, scalar, families, table_functions, formats, events)
+MODULES = (star, web, payloads, corpus, neardup, keyed, lake, search, vector_index, joins, aggregates, windows, sets, scalar, families, table_functions, formats, events)
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
