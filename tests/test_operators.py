@@ -183,24 +183,6 @@ def test_searches_read_the_buckets_of_their_terms_only(spark, small, name):
     assert "documents.parquet" not in plan and re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
 
 
-def test_lake_table_commits_are_seen_by_their_manifests_only(spark, tmp_path):
-    from lakeloom.operators.lake import LakeTable
-
-    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string, t long")
-    lake = LakeTable(spark, f"file://{tmp_path}/lake", rows((0, "", 0)).schema, ("k",), "t")
-    now = lambda: sorted(tuple(r) for r in lake.read().collect())
-    assert now() == [] and lake.changes(0).count() == 0
-    assert lake.upsert(rows((1, "a", 1), (2, "b", 1))) == 1
-    rows((9, "lost", 9)).write.parquet(f"{lake.path}/rows/of-a-writer-that-failed")
-    assert lake.upsert(rows((1, "c", 2), (3, None, 1))) == 2 and lake.delete(rows((2, None, 2))) == 3
-    assert lake.upsert(rows((1, "old", 1), (3, "tie", 1))) == 4
-    assert now() == [(1, "c", 2), (3, "tie", 1)]
-    assert sorted(r.k for r in lake.read(as_of=1).collect()) == [1, 2]
-    assert lake.compact() == 5 and now() == [(1, "c", 2), (3, "tie", 1)] and lake.upsert(rows((2, "back", 3))) == 6
-    assert [r[0] for r in now()] == [1, 2, 3]
-    assert sorted((r.k, r._deleted) for r in lake.changes(2).collect()) == [(1, False), (2, False), (3, False)]
-
-
 def test_steps_run_in_order_and_again(spark):
     from lakeloom.plans.steps import run_steps
 
