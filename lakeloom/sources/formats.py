@@ -1,4 +1,4 @@
-"""Sources and sinks: file formats, partitioned folders, binary files, a registry of readers, a Python data source.
+"""Sources and sinks: file formats, partitioned folders, binary files, a registry of readers (``captured`` has the Python data source).
 
 Round trips write to the shared folder of the session and read back with a declared schema. Object
 stores are paths of the same readers (``s3a://...``) where the cluster has their file system.
@@ -9,13 +9,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from lakeloom.plans.registry import Registry
 from lakeloom.sources.tables import table
@@ -229,47 +226,3 @@ SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(payload)) AS BIGIN
 def all_sources(spark: SparkSession, d: str) -> DataFrame:
     df = read_sources(spark, d, ["web", "api", "docs"])
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).cast("long").alias("chars"))
-
-
-class _Range(InputPartition):
-    def __init__(self, begin: int, end: int):
-        super().__init__((begin, end))
-        self.begin, self.end = begin, end
-
-
-class _PagedReader(DataSourceReader):
-    """Pages of an interface, dealt out by number; a live connector would fetch them here."""
-
-    def __init__(self, options: dict[str, str]):
-        self.rows, self.size = int(options.get("rows", 100)), int(options.get("page", 25))
-        if self.rows < 0 or self.size < 1:
-            raise ValueError("rows must not be negative and page must be positive")
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Range(b, min(b + self.size, self.rows)) for b in range(0, max(1, self.rows), self.size)]  # one at least
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        keys = list(range(partition.begin, partition.end))
-        payloads = [f'{{"id": {k}, "even": {str(k % 2 == 0).lower()}}}' for k in keys]
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "payload": pa.array(payloads, pa.string())})
-
-
-class PagedSource(DataSource):
-    """A paged interface as a Spark source: ``spark.read.format("paged").option("rows", n).load()``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def schema(self) -> str:
-        return "key long, payload string"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _PagedReader(self.options)
-
-
-@registry.query("src_paged", "SELECT i AS key, i % 2 = 0 AS even FROM (SELECT CAST(unnest(range(0, 90)) AS BIGINT) AS i) AS t")
-def paged(spark: SparkSession, d: str) -> DataFrame:
-    spark.dataSource.register(PagedSource)
-    df = spark.read.format("paged").option("rows", 90).option("page", 20).load()
-    return df.select("key", F.from_json("payload", "even BOOLEAN").getField("even").alias("even"))

@@ -144,15 +144,6 @@ def test_partition_filter_prunes_folders(spark, small):
     assert "PartitionFilters: [isnotnull(o_orderstatus" in plan
 
 
-def test_paged_source_partitions_and_refuses_bad_options(spark):
-    spark.dataSource.register(formats.PagedSource)
-    df = spark.read.format("paged").option("rows", 45).option("page", 20).load()
-    assert df.rdd.getNumPartitions() == 3 and df.count() == 45
-    assert spark.read.format("paged").option("rows", 0).load().count() == 0
-    with pytest.raises(Exception, match="page must be positive"):
-        spark.read.format("paged").option("page", 0).load().count()
-
-
 def test_duplicate_query_names_are_refused():
     from lakeloom.plans.registry import Registry
 
