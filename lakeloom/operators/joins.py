@@ -1,8 +1,8 @@
-"""Joins: every kind, as-of, range, interval overlap, lateral, and a salted join for hot keys."""
+"""Joins: every kind, points in ranges, lateral, and a salted join for hot keys (``intervals`` has overlaps and as-of joins)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.plans.registry import Registry
@@ -11,21 +11,6 @@ from lakeloom.sources.tables import table
 registry = Registry()
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the last right row of its key that isn't later.
-
-    One union, one shuffle by key and one sort: no pairs are made, and a key's rows stream through
-    the window. Right rows of one instant must be unique; at equal times the right row counts.
-    """
-    keep = left.columns
-    a = left.select(*keep, F.lit(1).alias("_side"), F.col(at).alias("_at"), *(F.lit(None).cast(right.schema[v].dataType).alias(f"_v_{v}") for v in values))
-    b = right.select(*(F.col(c) if c in by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in keep), F.lit(0).alias("_side"), F.col(right_at).alias("_at"), *(F.col(v).alias(f"_v_{v}") for v in values))
-    w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b)
-    packed = F.last(F.when(F.col("_side") == 0, F.struct(*(f"_v_{v}" for v in values))), ignorenulls=True).over(w)
-    return both.withColumn("_m", packed).filter("_side = 1").select(*keep, *(F.col(f"_m._v_{v}").alias(v) for v in values))
-
-
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Points with the half-open ranges [low, high) that hold them, by an equality on buckets of ``width``.
 
@@ -125,21 +110,6 @@ def cross(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select("r_name").crossJoin(table(spark, d, "nation").select("n_name"))
 
 
-@registry.query(
-    "join_as_of",
-    """
-SELECT e.event_id, s.value AS last_signup FROM events e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'signup') s
-ON e.user_id = s.user_id AND e.ts >= s.ts WHERE e.event_type = 'purchase'
-""",
-)
-def last_signup(spark: SparkSession, d: str) -> DataFrame:
-    """Each purchase with the value of the user's last signup."""
-    df = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    left = df.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    right = df.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("last_signup"))
-    return as_of(left, right, ["user_id"], "ts", "at", ["last_signup"]).select("event_id", "last_signup")
-
-
 @registry.query(
     "join_range",
     """

@@ -12,19 +12,6 @@ from lakeloom.sources import formats
 from lakeloom.streaming import events
 
 
-def test_as_of_join_takes_the_last_right_row(spark):
-    left = spark.createDataFrame([(1, 10), (1, 20), (2, 5), (None, 7)], "k int, t int")
-    right = spark.createDataFrame([(1, 5, "a"), (1, 20, "b"), (2, 6, "c"), (1, 12, None)], "k int, at int, v string")
-    got = {(r.k, r.t): r.v for r in joins.as_of(left, right, ["k"], "t", "at", ["v"]).collect()}
-    assert got == {(1, 10): "a", (1, 20): "b", (2, 5): None, (None, 7): None}
-
-
-def test_as_of_join_keeps_a_null_value_of_the_last_row(spark):
-    left = spark.createDataFrame([(1, 15)], "k int, t int")
-    right = spark.createDataFrame([(1, 5, "a"), (1, 12, None)], "k int, at int, v string")
-    assert joins.as_of(left, right, ["k"], "t", "at", ["v"]).collect()[0].v is None
-
-
 def test_range_join_equals_the_inequality(spark):
     points = spark.range(200).select((F.col("id") * 1.5 - 50).alias("x"))
     ranges = spark.createDataFrame([(1, -20.0, 30.5), (2, 10.0, 10.0), (3, 100.0, 101.5), (4, 50.0, 40.0)], "r int, low double, high double")
