@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,32 +165,45 @@ def numeric_histogram(spark: SparkSession, d: str) -> DataFrame:
     return df.select("l_returnflag", total.alias("n"), (F.array_sort(x) == x).alias("rising"), ((F.array_min(x) >= F.col("low")) & (F.array_max(x) <= F.col("high"))).alias("inside"))
 
 
-#: Error and confidence of counts by sketch, and the bytes that a sketch of these takes whatever it has seen.
-COUNT_ERROR, COUNT_CONFIDENCE, COUNT_BYTES = 0.01, 0.95, 8060
-
-
-@registry.query("agg_count_min", f"SELECT event_type, CAST({COUNT_BYTES} AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS seen FROM events GROUP BY 1")
-def count_min(spark: SparkSession, d: str) -> DataFrame:
-    """A count-min sketch of each type's users: of a fixed size, with the number of rows it has seen in its header."""
-    df = table(spark, d, "events").groupBy("event_type").agg(F.count_min_sketch("user_id", F.lit(COUNT_ERROR), F.lit(COUNT_CONFIDENCE), F.lit(7)).alias("s"))
-    seen = F.conv(F.hex(F.substring("s", 5, 8)), 16, 10).cast("long")
-    return df.select("event_type", F.octet_length("s").cast("long").alias("bytes"), seen.alias("seen"))
+#: Error (a share of the rows seen) and confidence of counts by sketch.
+COUNT_ERROR, COUNT_CONFIDENCE = 0.0001, 0.95
 
 
-def count_estimate(sketch: bytes, value: int) -> int:
-    """How often a count-min sketch has seen a whole number, never too few; the sketch as ``count_min_sketch`` gives it."""
+def count_estimates(sketch: bytes, values: np.ndarray) -> np.ndarray:
+    """How often a count-min sketch has seen whole numbers, never too few; the sketch as ``count_min_sketch`` gives it."""
     depth, width = int.from_bytes(sketch[12:16], "big"), int.from_bytes(sketch[16:20], "big")
-    at = 20 + 8 * depth
-    least = None
+    seeds = np.frombuffer(sketch, ">i8", depth, 20).astype(np.int64)
+    cells = np.frombuffer(sketch, ">i8", depth * width, 20 + 8 * depth).reshape(depth, width)
+    least = np.full(len(values), np.iinfo(np.int64).max)
     for row in range(depth):
-        a = int.from_bytes(sketch[20 + 8 * row : 28 + 8 * row], "big")
-        h = a * value & 0xFFFFFFFFFFFFFFFF
-        h -= h >> 63 << 64  # as a signed number
+        h = values.astype(np.int64) * seeds[row]
         h = (h + (h >> 32)) & 0x7FFFFFFF
-        cell = at + 8 * (row * width + h % width)
-        n = int.from_bytes(sketch[cell : cell + 8], "big")
-        least = n if least is None else min(least, n)
-    return least or 0
+        least = np.minimum(least, cells[row][h % width])
+    return least
+
+
+def with_counts(keys: DataFrame, sketches: DataFrame, group: str, value: str) -> DataFrame:
+    """The keys (group, value) with n, estimated from each group's sketch; sketches are few, and of a fixed size."""
+    held = {r[0]: bytes(r[1]) for r in sketches.collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups, values = np.asarray(b.column(0).to_pylist(), dtype=object), np.asarray(b.column(1))
+            n = np.zeros(len(values), dtype=np.int64)
+            for g, sketch in held.items():
+                at = np.flatnonzero(groups == g)
+                n[at] = count_estimates(sketch, values[at])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=[group, value, "n"])
+
+    return keys.select(group, F.col(value).cast("long")).mapInArrow(run, f"{group} string, {value} long, n long")
+
+
+@registry.query("agg_count_min", "SELECT event_type, user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def count_min(spark: SparkSession, d: str) -> DataFrame:
+    """How often each user has events of each type, asked of one sketch for each type; exact as long as users are few against its width."""
+    df = table(spark, d, "events").select("event_type", "user_id")
+    sketches = df.groupBy("event_type").agg(F.count_min_sketch("user_id", F.lit(COUNT_ERROR), F.lit(COUNT_CONFIDENCE), F.lit(7)).alias("s"))
+    return with_counts(df.distinct(), sketches, "event_type", "user_id")
 
 
 @registry.query("agg_approximate", "SELECT event_type, CAST(count(DISTINCT event_id) AS BIGINT) AS exact, TRUE AS hll_near, TRUE AS sketch_near, TRUE AS theta_near, TRUE AS median_near FROM events GROUP BY 1")

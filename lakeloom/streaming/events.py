@@ -1,6 +1,6 @@
 """Event-time processing, each as a transform that takes a batch or a stream alike.
 
-``run`` drains a stream of the events table, file by file in order of time, into Parquet folders of its
+``run`` drains a stream of the events table, part by part in order of time, into Parquet folders of its
 batches, and is what the registered queries use, so results come from the streaming engine and
 never pass the driver.
 """
@@ -10,14 +10,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lakeloom.operators.keyed import latest
+from lakeloom.operators.lake import LakeTable
 from lakeloom.plans.registry import Registry
-from lakeloom.sources.formats import scratch
+from lakeloom.sources.formats import scratch, version
 from lakeloom.sources.tables import table
 
 registry = Registry()
@@ -25,30 +26,46 @@ registry = Registry()
 LATENESS = "2 hours"
 
 
-#: Files, and so micro-batches, that the registered queries read the events in.
-PARTS = 2
+#: Parts, and so micro-batches, that the registered queries read the events in; rows of one of a part's files.
+PARTS, FILE_ROWS = 2, 1_000_000
+_written: dict[tuple, tuple[str, int]] = {}
 
 
-def stream(spark: SparkSession, d: str, columns: list[str], parts: int = PARTS, cuts: list | None = None, latest_first: bool = False) -> DataFrame:
+def stream(spark: SparkSession, d: str, columns: list[str], parts: int = PARTS, cuts: tuple[str, ...] = (), latest_first: bool = False, closing: str = "", file_rows: int = FILE_ROWS) -> DataFrame:
     """The events as a stream; ``ts`` becomes a zoned timestamp, as watermarks need one.
 
-    The events are written as so many files, one after the other in order of time, each a
-    micro-batch: where late rows are dropped, no order of files may make rows late. ``cuts`` are
-    the times between files, by default even shares; ``latest_first`` turns their order around.
+    The events are written as parts, one after the other in order of time, each a micro-batch: where late rows are dropped,
+    no order of files may make rows late. A part has several files, as many as every other part, written by as many tasks.
+    ``cuts`` are the days between parts, by default even shares; ``latest_first`` turns their order around; ``closing`` is how long after
+    the last event one of user -1 follows in a part of its own. The parts are kept for other queries of the session.
     """
-    path = scratch(spark, "event-files")
     source = table(spark, d, "events")
-    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    if cuts is None:
-        cuts = source.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
-    number = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    order = range(len(cuts), -1, -1) if latest_first else range(len(cuts) + 1)
-    for k in order:
-        source.filter(number == k).coalesce(1).write.mode("append").parquet(path)
-    df = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    key = (spark.sparkContext.applicationId, version(spark, f"{d}/events.parquet"), d, parts, cuts, latest_first, closing, file_rows)
+    if key not in _written:
+        _written[key] = _parts(source, parts, cuts, latest_first, closing, file_rows)
+    path, files = _written[key]
+    df = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(path)
     return df.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
 
 
+def _parts(source: DataFrame, parts: int, cuts: tuple[str, ...], latest_first: bool, closing: str, file_rows: int) -> tuple[str, int]:
+    """A folder of the parts' files, and how many files a part has."""
+    path = scratch(source.sparkSession, "event-files")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    between = [F.unix_micros(F.lit(c).cast("timestamp")) for c in cuts] or source.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
+    number = sum((F.when(at > c, 1).otherwise(0) for c in between), F.lit(0))
+    sizes = {r.k: r.n for r in source.groupBy(number.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each part
+    files = 1 if closing else max(1, min(sizes.values(), default=0) // file_rows)
+    for k in sorted(sizes, reverse=latest_first):
+        source.filter(number == k).repartition(files).write.mode("append").parquet(path)
+    if not sizes:
+        source.write.parquet(path)
+    elif closing:
+        last = source.agg((F.max("ts") + F.expr(f"INTERVAL {closing}")).alias("ts")).withColumn("user_id", F.lit(-1).cast("long"))  # one row
+        last.select(*(F.col(c) if c in ("ts", "user_id") else F.lit(None).cast(source.schema[c].dataType).alias(c) for c in source.columns)).write.mode("append").parquet(path)
+    return path, files
+
+
 def drained(df: DataFrame, mode: str, write: Callable[[DataFrame, int], None]) -> list[int]:
     """The numbers of the batches that a stream gives until its input is used up; each is written as it comes."""
     done: list[int] = []
@@ -204,35 +221,138 @@ def streaks(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.max("longest").alias("longest"))
 
 
-def upsert_batches(df: DataFrame, path: str, keys: list[str]) -> Callable:
-    """A foreachBatch sink that keeps the last row of each key in versioned folders ``path``/v=<batch>."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:  # an event that comes late does not replace a later one
-            rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={number - 1}"))
-        latest(rows, keys, [F.desc("ts"), F.desc("event_id")]).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return write
-
-
 @registry.query(
     "e8_upsert_sink",
     "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) AS t WHERE r = 1",
 )
 def upsert_sink(spark: SparkSession, d: str) -> DataFrame:
-    """The last event of each user after all batches; a batch that is run again writes the same version again."""
-    path = scratch(spark, "last-events")
-    df = stream(spark, d, ["user_id", "ts", "event_id", "event_type"])
-    numbers = drained(df, "append", upsert_batches(df, path, ["user_id"]))
-    out = spark.read.schema(df.schema).parquet(f"{path}/v={numbers[-1]}") if numbers else spark.createDataFrame([], df.schema)
-    return out.select("user_id", "event_id", "event_type")
+    """The last event of each user after all batches, in a keyed table of which a batch rewrites the files of its users.
+
+    The ordering value is an event's time and id, so an event that comes late changes nothing, nor does a batch that is run again.
+    """
+    df = stream(spark, d, ["user_id", "ts", "event_id", "event_type"]).withColumn("version", F.struct("ts", "event_id"))
+    lake = LakeTable(spark, scratch(spark, "last-events"), df.schema, ("user_id",), "version")
+    drained(df, "append", lambda batch, number: lake.upsert(batch))
+    return lake.read().select("user_id", "event_id", "event_type")
+
+
+DAYS = ("2024-01-10", "2024-01-15")
 
 
 @registry.query("e9_late_events", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10'")
 def late_events(spark: SparkSession, d: str) -> DataFrame:
     """The last days come first and move the watermark, which counts a batch later: the days of the
     second batch still pass, those of the third come too late and are dropped."""
-    cuts = [F.unix_micros(F.lit(day).cast("timestamp")) for day in ("2024-01-10", "2024-01-15")]
-    df = stream(spark, d, ["ts", "event_id"], cuts=cuts, latest_first=True).withWatermark("ts", LATENESS)
+    df = stream(spark, d, ["ts", "event_id"], cuts=DAYS, latest_first=True).withWatermark("ts", LATENESS)
     return run(distinct(df), "append").select("event_id")
+
+
+def split_late(path: str, width: str, lateness: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that counts rows by window and sets those apart that the watermark rejects, in folders of each batch.
+
+    The watermark is the greatest time of the batches before the last one, less the lateness, as the engine's own
+    filter of late rows has it; a row is late if its window had ended by then. A batch that is run again writes the same folders again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.agg(F.max("ts").alias("mark")).write.mode("overwrite").parquet(f"{path}/marks/v={number}")
+        before = [f"{path}/marks/v={k}" for k in range(number - 1)]
+        mark = spark.read.schema("mark timestamp").parquet(*before).agg(F.max("mark").alias("mark")).first().mark if before else None  # one row a batch
+        rows = batch.withColumn("_w", F.window("ts", width))
+        late = F.coalesce(F.col("_w.end") <= F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {lateness}"), F.lit(False))
+        rows.filter(~late).groupBy(F.col("_w.start").alias("begins")).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/windows/v={number}")
+        rows.filter(late).select(F.col("_w.start").alias("begins"), *batch.columns).write.mode("overwrite").parquet(f"{path}/late/v={number}")
+
+    return write
+
+
+def reconciled(spark: SparkSession, path: str) -> DataFrame:
+    """begins, on_time, late and n of every window: its counts with those of the rows set apart."""
+    windows = spark.read.schema("begins timestamp, n long").parquet(f"{path}/windows").select("begins", F.col("n").alias("on_time"), F.lit(0).cast("long").alias("late"))
+    late = spark.read.schema("begins timestamp").parquet(f"{path}/late").select("begins", F.lit(0).cast("long").alias("on_time"), F.lit(1).cast("long").alias("late"))
+    both = windows.unionByName(late).groupBy("begins").agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))
+    return both.withColumn("n", F.col("on_time") + F.col("late"))
+
+
+@registry.query(
+    "e10_late_reconciled",
+    f"""
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS begins, CAST(count(*) FILTER (ts > TIMESTAMP '{DAYS[0]}') AS BIGINT) AS on_time,
+  CAST(count(*) FILTER (ts <= TIMESTAMP '{DAYS[0]}') AS BIGINT) AS late, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1
+""",
+)
+def late_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Hours whose late events lie in a side table and are added to them in the end; as in ``e9``, the first days come last."""
+    path = scratch(spark, "late")
+    if not drained(stream(spark, d, ["ts", "event_id"], cuts=DAYS, latest_first=True), "append", split_late(path, "1 hour", LATENESS)):
+        return spark.createDataFrame([], "begins timestamp_ntz, on_time long, late long, n long")
+    return reconciled(spark, path).withColumn("begins", F.col("begins").cast("timestamp_ntz"))
+
+
+class Visits(StatefulProcessor):
+    """Per user, the open visits (a map of their begin to end and events) and a timer for each visit's end.
+
+    Visits are merged as events come, in any order: two belong together if they are less than ``gap`` apart. When the
+    watermark has passed a visit's end by the gap, nothing can join it, and its timer gives it out and forgets it.
+    """
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap  # microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.visits = handle.getMapState("visits", "begin long", "end long, n long")
+
+    def _due(self, end: int) -> int:
+        return -(-(end + self.gap) // 1000)  # timers have milliseconds
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:  # no more than a part of a key's rows is held
+            at = np.sort(part["at"].to_numpy(dtype=np.int64))
+            edges = np.flatnonzero(np.diff(at) >= self.gap) + 1
+            for some in np.split(at, edges):
+                self._merge(int(some[0]), int(some[-1]), len(some))
+        return iter(())
+
+    def _merge(self, begin: int, end: int, n: int) -> None:
+        for (b,), (e, m) in list(self.visits.iterator()):
+            if b < end + self.gap and begin < e + self.gap:
+                begin, end, n = min(b, begin), max(e, end), n + m
+                self.visits.removeKey((b,))
+        self.visits.updateValue((begin,), (end, n))
+        self.handle.registerTimer(self._due(end))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        over = [(b, e, m) for (b,), (e, m) in self.visits.iterator() if self._due(e) <= now]
+        for b, _, _ in over:
+            self.visits.removeKey((b,))
+        if over:
+            yield pd.DataFrame({"user_id": [key[0]] * len(over), "begin": [b for b, _, _ in over], "end": [e for _, e, _ in over], "n": [m for _, _, m in over]})
+
+    def close(self) -> None:
+        pass
+
+
+@registry.query(
+    "e11_visits_by_timers",
+    """
+SELECT user_id, min(ts) AS begins, max(ts) AS ends, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) AS a) AS b GROUP BY user_id, s
+""",
+)
+def visits(spark: SparkSession, d: str) -> DataFrame:
+    """Visits that event-time timers give out over four micro-batches; an event two days on closes the last ones."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        df = stream(spark, d, ["ts", "user_id"], parts=3, closing="2 DAYS").withColumn("at", F.unix_micros("ts")).withWatermark("ts", LATENESS)
+        grouped = df.groupBy("user_id").transformWithStateInPandas(Visits(6 * 3600 * 1_000_000), "user_id long, begin long, end long, n long", "Append", "eventTime")
+        out = run(grouped, "append")
+    finally:
+        spark.conf.set(key, before)
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return out.filter("user_id >= 0").select("user_id", time("begin").alias("begins"), time("end").alias("ends"), "n")
