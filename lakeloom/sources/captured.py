@@ -43,9 +43,9 @@ class Store:
         self.files, self.root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         self._writes: list[str] | None = None
 
-    def place(self, write: str, name: str) -> str:
+    def place(self, write: str, name: str, suffix: str = "json") -> str:
         """Files are dealt to at most 256 folders of a write."""
-        return f"{self.root}/pages/{write}/{hashlib.sha256(name.encode()).hexdigest()[:2]}/{name}.json"
+        return f"{self.root}/pages/{write}/{hashlib.sha256(name.encode()).hexdigest()[:2]}/{name}.{suffix}"
 
     def writes(self) -> list[str]:
         """Finished writes, the last first."""
@@ -164,14 +164,14 @@ class _Written(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
-        self.path, self.write_id = options["path"], uuid.uuid4().hex
+        self.path, self.suffix, self.write_id = options["path"], options.get("suffix", "json"), uuid.uuid4().hex
 
     def write(self, iterator) -> WriterCommitMessage:
         store, n = Store(self.path), 0
         for row in iterator:
             if not row["name"] or "/" in row["name"]:
                 raise ValueError(f"no name of a page: {row['name']!r}")
-            store.put(store.place(self.write_id, row["name"]), (row["content"] or "{}").encode())
+            store.put(store.place(self.write_id, row["name"], self.suffix), (row["content"] or "").encode())
             n += 1
         return _Written(n)
 
@@ -193,7 +193,7 @@ def _size(options: dict[str, str]) -> int:
 
 
 class CapturedSource(DataSource):
-    """Options: ``path``; for reading ``first``, the name of the first page, and ``pages``, how many a task reads."""
+    """Options: ``path``; for writing ``suffix``, of the files' names; for reading ``first``, the name of the first page, and ``pages``, how many a task reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -224,10 +224,10 @@ def event_pages(spark: SparkSession, d: str, size: int = 500) -> DataFrame:
     return numbers.join(lists, "number", "left").select(F.concat(F.lit("page-"), "number").alias("name"), F.to_json(F.struct(after.alias("next"), "items")).alias("content"))
 
 
-def capture(pages: DataFrame, path: str) -> None:
-    """Adds pages (name, content) to a folder."""
+def capture(pages: DataFrame, path: str, suffix: str = "json") -> None:
+    """Adds pages (name, content) to a folder, a file for each."""
     pages.sparkSession.dataSource.register(CapturedSource)
-    pages.write.format("captured").mode("append").option("path", path).save()
+    pages.write.format("captured").mode("append").option("path", path).option("suffix", suffix).save()
 
 
 def items(spark: SparkSession, path: str, first: str, stream: bool = False) -> DataFrame:
@@ -269,3 +269,26 @@ def paged_stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _half(spark: SparkSession, d: str) -> int:
     return (table(spark, d, "events").agg(F.max("event_id").alias("n")).first().n or 0) // 1000 + 1
+
+
+def html_folder(spark: SparkSession, d: str) -> str:
+    """Captured web pages as files, in a bounded number of folders."""
+    path = scratch(spark, "html")
+    capture(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("name"), F.col("html").alias("content")), path, "html")
+    return f"{path}/pages"
+
+
+@registry.query("src_html_files", "SELECT CAST(page_id AS BIGINT) AS page_id, CAST(length(html) AS BIGINT) AS chars, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
+def html_files(spark: SparkSession, d: str) -> DataFrame:
+    """Captured pages as files, each read whole, with its key from its name."""
+    pages = spark.read.schema("value string").option("recursiveFileLookup", "true").text(html_folder(spark, d), wholetext=True)
+    key = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.html$", 1).cast("long")
+    return pages.select(key.alias("page_id"), F.length("value").cast("long").alias("chars"), F.regexp_extract("value", '<html lang="([a-z]+)"', 1).alias("lang"))
+
+
+@registry.query("io_binary_files", "SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(html) AS BIGINT) AS bytes, md5(html) AS digest FROM pages")
+def binary_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files as rows of bytes, as for captured documents: their keys, lengths and digests."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(html_folder(spark, d))
+    key = F.regexp_extract("path", r"/(\d+)\.html$", 1).cast("long")
+    return found.select(key.alias("page_id"), F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))

@@ -155,13 +155,16 @@ _register("csv", {"header": "true", "escape": '"'}, {"header": "true", "escape":
 _register("xml", {"rowTag": "order"}, {"rowTag": "order"})
 
 
-#: The embedded database that Spark brings along; a cluster names its own by these options.
+#: The embedded database that Spark brings along, in memory of one process, so for local mode alone; a cluster sets these options to a
+#: database that all executors reach.
 JDBC = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "url": "jdbc:derby:memory:lakeloom;create=true"}
 
 
 @registry.query("io_jdbc", "SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(12,2)) AS balance FROM customer WHERE c_custkey >= 100")
 def database(spark: SparkSession, d: str) -> DataFrame:
     """Written to a database table and read back in four parts by key, with the filter pushed down to it."""
+    if ":memory:" in JDBC["url"] and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set lakeloom.sources.formats.JDBC to a database that all executors reach")
     name = f"customers_{uuid.uuid4().hex}"
     df = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
     keys = df.agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")).first()
@@ -170,10 +173,10 @@ def database(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.format("jdbc").options(**JDBC, dbtable=name, **parts).load().filter("c_custkey >= 100")
 
 
-@registry.query("io_text", "SELECT n_name AS value FROM nation")
+@registry.query("io_text", "SELECT c_name AS value FROM customer")
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "text")
-    table(spark, d, "nation").select("n_name").write.text(path)
+    table(spark, d, "customer").select("c_name").write.text(path)
     return spark.read.text(path)
 
 
@@ -185,25 +188,6 @@ def partitioned(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("o_orderkey long, o_orderstatus string").parquet(path).filter("o_orderstatus = 'P'")
 
 
-@registry.query("io_binary_files", "SELECT CAST(25 AS BIGINT) AS files, CAST(sum(length(n_name) + 1) AS BIGINT) AS bytes, max(length(n_name)) + 1 AS largest FROM nation")
-def binary_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files as rows of bytes, as for captured documents: a file for each nation, of its name and a line's end."""
-    path = scratch(spark, "files")
-    table(spark, d, "nation").select("n_name", "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
-    return found.agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("bytes"), F.max(F.length("content")).cast("long").alias("largest"))
-
-
-@registry.query("src_html_files", "SELECT CAST(page_id AS BIGINT) AS page_id, CAST(length(html) AS BIGINT) AS chars, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
-def html_files(spark: SparkSession, d: str) -> DataFrame:
-    """Captured pages as files of a folder, each read whole, with its key from the path."""
-    path = scratch(spark, "pages")
-    table(spark, d, "pages").select("html", "page_id").repartition("page_id").write.option("lineSep", "\x00").partitionBy("page_id").text(path)
-    pages = spark.read.schema("value string, page_id long").text(path, wholetext=True)
-    html = F.regexp_replace("value", "\\x00$", "")
-    return pages.select("page_id", F.length(html).cast("long").alias("chars"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"))
-
-
 @registry.query("src_json_pages", "SELECT event_id, event_type, CAST(event_id // 500 AS BIGINT) AS page FROM events")
 def json_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages of an interface as captured JSON documents: each has its items and the number of the next page."""
