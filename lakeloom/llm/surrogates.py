@@ -8,7 +8,7 @@ unless the document also has that word in small letters.
 A surrogate is a keyed permutation of the values that share an entity's type and format: digits
 stay digits, letters stay letters of their script and case, separators stay, octets stay octets,
 check digits stay right (or wrong), given names of the built-in lists stay within their language
-and gender, vowels stay vowels in other names. As it is a permutation, distinct entities of a
+and gender (a title's, where it has one and the name is in no list or in the other gender's), vowels stay vowels in other names. As it is a permutation, distinct entities of a
 format get distinct surrogates, and one entity gets one surrogate in every document, which
 preserves coreference. The way a phone number is set out doesn't matter, nor does letter case,
 except in secrets. Each word of a name is an entity of its own, so that a person's full and short
@@ -22,6 +22,8 @@ with each attempt, so that free values never run out. Values without a letter or
 may be real, so they are not checked against entities, but none stays itself. Moved entities are few; up to ``BROADCAST`` of them are sent to
 all executors, more are joined to their documents.
 
+Tables hold entities and surrogates sealed with the key only, and go when they are used.
+
 Texts go through detection twice, once for the corpus' entities and once to be replaced. It looks
 for rare characters and words first and runs its patterns at those places only, which costs less
 than keeping texts or spans between the passes would.
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import in_worker, keeps, small_batches, written
+from lakeloom.llm.common import dropped, in_worker, keeps, small_batches, written
 
 KEY = b"replace this key"  # production passes its own
 BROADCAST = 50_000
@@ -70,10 +72,18 @@ GIVEN = {
     "es m": "José Antonio Manuel Javier Carlos Miguel Alejandro Diego Pablo Luis Fernando Sergio".split(),
     "es f": "Carmen María Josefa Isabel Dolores Pilar Teresa Ana Lucía Elena Rosa Marta".split(),
 }
+# The languages of titles, and small words within names.
+TITLE_LANGUAGES = {
+    "en": "Mr Mister Mrs Ms Miss".split(),
+    "de": "Herr Frau".split(),
+    "fr": "Monsieur Madame Mme Mademoiselle Mlle".split(),
+    "es": "Señor Sr Don Señora Sra Señorita Doña".split(),
+}
+PARTICLES = "van von der den ter de del della di da du la le los las zu zur y bin ibn al el".split()
 _LIST_OF = {n.lower(): (k, i) for k, names in GIVEN.items() for i, n in enumerate(names)}
 
 #: Letters that may stand for each other: by script, vowels and consonants apart.
-_ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâáäæãå", "éèêë", "îïíì", "ôöóòœõ", "ùûüú", "çñß", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "ϊϋΐΰ", "ς", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "ёіїє", "йґў", "ъь"]
+_ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâáäæãå", "éèêë", "îïíì", "ôöóòœõ", "ùûüú", "çñ", "ß", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "ϊϋΐΰ", "ς", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "ёіїє", "йґў", "ъь"]
 _PLACE = {c: (letters, i) for letters in _ALPHABETS for i, c in enumerate(letters)}
 
 
@@ -267,6 +277,17 @@ def _given(e: str, key: bytes, tweak: str) -> str:
     return GIVEN[names][_after(names, key, tweak)[i]].lower()
 
 
+def _titled(e: str, key: bytes, tweak: str) -> str:
+    """A given name of the language and gender that a title asks for; with each attempt one name more, joined by hyphens."""
+    own, names = e.split("|")
+    count = int(tweak.rpartition("|")[2]) + 1
+    value, out = permuted(0, len(GIVEN[names]) ** count, key, f"{tweak}|{e}"), []
+    for _ in range(count):
+        value, i = divmod(value, len(GIVEN[names]))
+        out.append(GIVEN[names][i].lower())
+    return "-".join(out) if out != [own] else GIVEN[names][(i + 1) % len(GIVEN[names])].lower()
+
+
 def _name(e: str, key: bytes, tweak: str) -> str:
     """Names that are in no list keep their length, script and vowels."""
     new = _syllables(e, e, key, tweak, (len(e) + 1) // 2) if _fixed(e) else by_alphabet(e, key, tweak)
@@ -276,22 +297,30 @@ def _name(e: str, key: bytes, tweak: str) -> str:
 
 #: Each type's permutation of its normal form; where matches begin together the first type counts.
 SURROGATE: dict[str, Callable[[str, bytes, str], str]] = {
-    "secret": _secret, "email": _email, "iban": _iban, "ip6": _ip6, "ip": _ip, "ssn": _number, "card": _card, "phone": _phone, "given": _given, "name": _name,
+    "secret": _secret, "email": _email, "iban": _iban, "ip6": _ip6, "ip": _ip, "ssn": _number, "card": _card, "phone": _phone, "given": _given, "titled": _titled, "name": _name,
 }
 TYPES = {t: i for i, t in enumerate(SURROGATE)}
 
-_TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
+#: Gender and language of each title; "M." is one only with its full stop.
+_TITLE_OF = {t: (g, next((k for k, own in TITLE_LANGUAGES.items() if t in own), None)) for g, titles in TITLES.items() for t in titles} | {"M.": ("m", "fr")}
 _UPPER = "A-Z" + "".join(c for c in map(chr, range(0xC0, 0x590)) if c.isupper())
 _WORD = rf"[{_UPPER}][^\W\d_]+"
 _NAME = rf"(?:[{_UPPER}]['’])?{_WORD}(?:[-'’]{_WORD})*"
 _IPV4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-SECRET = re.compile(r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*)(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([A-Za-z0-9+/_=-]{12,}))")
+_JWT = r"eyJ[A-Za-z0-9_-]{6,}(?:\.[A-Za-z0-9_-]+){1,2}"
+SECRET = re.compile(rf"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*)(?:\"([^\"\s]{{6,}})\"|'([^'\s]{{6,}})'|({_JWT}|[A-Za-z0-9+/_=-]{{12,}}))")
+#: Short passwords without quotes have a digit.
+PASSWORD = re.compile(r"(?i:\b(?:password|passwd|pwd)\b\s*[:=]\s*)(?=[^\s\"',;]*[0-9])([^\s\"',;<>&]{6,}?)(?=[.!?]?(?:[\s,;<>&]|$))")
+#: Secrets that need no word before them: signed tokens, access keys, passwords in addresses.
+SIGNED = re.compile(rf"\b{_JWT}\b")
+ACCESS = re.compile(r"\bAKIA[0-9A-Z]{16}\b")
+LOGIN = re.compile(r"://[^\s/:@]+:([^\s/@]+)@")
 _SECRET_WORDS = ("key", "secret", "token", "passw", "pwd")
 EMAIL_USER = re.compile(r"[\w.+-]")
 EMAIL_HOST = re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")
 IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
-FRENCH = r"\+33[ .-]?[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9]|[ -][0-9])|0[1-9](?:[ .-][0-9]{2}){4}(?![0-9]|[ -][0-9])"
+FRENCH = r"0[1-9][0-9]{8}(?![0-9])|\+33[ .-]?[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9]|[ -][0-9])|0[1-9](?:[ .-][0-9]{2}){4}(?![0-9]|[ -][0-9])"
 #: What may hold numbers: four digits or more, with at most two separators between each.
 DIGITS = re.compile(r"[0-9](?:[ .()-]{0,2}[0-9]){3,}")
 NUMBERS = re.compile(
@@ -300,9 +329,12 @@ NUMBERS = re.compile(
     r"|(?P<card>(?<![0-9.])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}(?![0-9])|(?<![0-9.])[0-9]{13,19}(?![0-9]))"
     rf"|(?P<phone>(?<![\w+])(?:{FRENCH})"
     r"|(?<![0-9\w])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9]|[ -][0-9])"
-    r"|(?<!\w)\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9]))"
+    r"|(?<!\w)0[1-9][0-9]{1,3}[ /-][0-9]{6,8}(?![0-9]|[ -][0-9])"
+    r"|(?<!\w)\+[0-9]{1,3}(?:[ .-]?[0-9]{2,8}){2,5}(?![0-9]))"
 )
-PERSON = re.compile(rf"\.?[ ]({_NAME}(?:[ ]{_NAME}){{0,2}})")
+_BETWEEN = r"(?:[ ]{1,3}|[ ]?\n[ ]?)"
+PERSON = re.compile(rf"\.?{_BETWEEN}({_NAME}(?:{_BETWEEN}(?:(?:{'|'.join(PARTICLES)})[ ]){{0,2}}{_NAME}){{0,2}})")
+INITIAL = re.compile(rf"{_WORD}[ ]$")
 CAPITALISED = re.compile(rf"(?<!\w){_WORD}")
 SMALL = re.compile(r"[^\W\d_]+")
 
@@ -315,6 +347,8 @@ def normal(kind: str, text: str) -> str:
         digits = _digits(text)
         if re.fullmatch(FRENCH, text):
             return digits[-9:]
+        if text[0] == "+" and (m := re.match(r"\+([0-9]{1,3})[ .(-]", text)):  # the country's code stays
+            digits = digits[len(m[1]) :]
         return digits[-10:] if len(digits) >= 10 else digits
     if kind in ("card", "ssn"):
         return _digits(text)
@@ -329,8 +363,8 @@ def _cased(text: str, new: str) -> str:
     """A surrogate in small letters with the text's capitals."""
     if text.upper() == text and text.lower() != text and len(text) > 1:
         return new.upper()
-    out = [n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(text, new)]
-    return "".join(out) + new[len(out) :]
+    out = "".join([n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(text, new)]) + new[min(len(text), len(new)) :]
+    return "-".join(x[:1].upper() + x[1:] for x in out.split("-")) if "-" in new and "-" not in text and text[:1].isupper() else out
 
 
 def render(kind: str, text: str, new: str) -> str:
@@ -346,7 +380,7 @@ def render(kind: str, text: str, new: str) -> str:
     if kind == "ip6":
         new = new if "::" in text else ":".join(f"{int(g, 16):x}" for g in ipaddress.IPv6Address(new).exploded.split(":"))
         return new.upper() if text.upper() == text else new
-    return _cased(text, new) if kind in ("email", "given", "name") else new
+    return _cased(text, new) if kind in ("email", "given", "titled", "name") else new
 
 
 Found = tuple[int, int, str, str]
@@ -355,8 +389,12 @@ Found = tuple[int, int, str, str]
 def _secrets(text: str) -> Iterator[Found]:
     low = text.lower()
     if any(w in low for w in _SECRET_WORDS):
-        for m in SECRET.finditer(text):
+        for m in itertools.chain(SECRET.finditer(text), PASSWORD.finditer(text)):
             yield *m.span(m.lastindex), "secret", m[m.lastindex]
+    for mark, pattern in (("eyJ", SIGNED), ("AKIA", ACCESS), ("://", LOGIN)):
+        if mark in text and (mark != "://" or "@" in text):
+            for m in pattern.finditer(text):
+                yield *m.span(m.lastindex or 0), "secret", m[m.lastindex or 0]
 
 
 def _emails(text: str) -> Iterator[Found]:
@@ -397,25 +435,36 @@ def _words(text: str, begin: int, end: int) -> Iterator[Found]:
         yield *m.span(), "given" if low in _LIST_OF else "name", low
 
 
+def _named(text: str, begin: int, end: int, gender: str, language: str | None) -> list[Found]:
+    """The words of a person's name; the title decides on the gender of a given name that is in no list or in another gender's."""
+    words = list(_words(text, begin, end))
+    start, stop, kind, low = words[0]
+    if kind == "given" and gender != "n" and _LIST_OF[low][0][-1] != gender:
+        words[0] = start, stop, "titled", f"{low}|{_LIST_OF[low][0][:2]} {gender}"
+    elif kind == "name" and gender != "n" and language and len(words) > 1 and text[stop] in " \n" and low not in PARTICLES:
+        words[0] = start, stop, "titled", f"{low}|{language} {gender}"
+    return words
+
+
 def _people(text: str) -> Iterator[Found]:
-    known: dict[str, str] = {}
-    titled = []
-    for title in _TITLE_OF:
+    titled: list[Found] = []
+    for title, (gender, language) in _TITLE_OF.items():
         at = text.find(title)
         while at >= 0:
             end = at + len(title)
-            if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")) and (m := PERSON.match(text, end)):
-                titled += _words(text, *m.span(1))
+            begins = at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
+            if begins and (m := PERSON.match(text, end)) and not (title == "M." and INITIAL.search(text, max(0, at - 40), at)):
+                titled += _named(text, *m.span(1), gender, language)
             at = text.find(title, end)
     if not titled:
         return
     yield from titled
-    known = {f[3]: f[2] for f in titled}
+    known = {f[3].partition("|")[0]: f[2:] for f in titled}
     common = {w for w in SMALL.findall(text) if w in known}
     for m in CAPITALISED.finditer(text):
         low = m[0].lower()
         if low in known and low not in common:
-            yield *m.span(), known[low], low
+            yield *m.span(), *known[low]
 
 
 def find(text: str) -> list[Found]:
@@ -454,8 +503,26 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     return "".join([*out, text[at:]]), [f[2] for f in found]
 
 
-def entities(df: DataFrame, column: str = "text", prints: bool = False) -> DataFrame:
-    """type and entity of each mention, with the md5 of its text if asked for."""
+def sealed(text: str, key: bytes) -> str:
+    """The text under a key, for tables: equal texts give equal seals, and only who has the key can open one."""
+    own = hashlib.blake2b(key, digest_size=32, person=b"seal").digest()
+    data = text.encode()
+    head = hashlib.blake2b(data, key=own, digest_size=16).digest()
+    return (head + _masked(data, own, head)).hex()
+
+
+def opened(seal: str, key: bytes) -> str:
+    data = bytes.fromhex(seal)
+    return _masked(data[16:], hashlib.blake2b(key, digest_size=32, person=b"seal").digest(), data[:16]).decode()
+
+
+def _masked(data: bytes, key: bytes, head: bytes) -> bytes:
+    mask = b"".join(hashlib.blake2b(head + i.to_bytes(4, "big"), key=key).digest() for i in range(-(-len(data) // 64)))
+    return bytes(a ^ b for a, b in zip(data, mask))
+
+
+def entities(df: DataFrame, column: str = "text", prints: bool = False, key: bytes = KEY) -> DataFrame:
+    """type and sealed entity of each mention, with the md5 of its text if asked for."""
     extra = ["print"] * prints
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,7 +530,7 @@ def entities(df: DataFrame, column: str = "text", prints: bool = False) -> DataF
         for b in batches:
             rows = [(i, f[2], f[3]) for i, t in enumerate(b.column(0).to_pylist()) if t for f in find(t)]
             at = pa.array([r[0] for r in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), *(c.take(at) for c in b.columns[1:])], names=["type", "entity", *extra])
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.string()), pa.array([sealed(r[2], key) for r in rows], pa.string()), *(c.take(at) for c in b.columns[1:])], names=["type", "entity", *extra])
 
     small_batches(df.sparkSession)
     text = df[column].cast("string")
@@ -482,27 +549,45 @@ def assigned(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.select("type", "entity", "attempt").mapInArrow(run, "type string, entity string, attempt int, surrogate string")
 
 
+def assigned_sealed(rows: DataFrame, key: bytes) -> DataFrame:
+    """The same for sealed entities; surrogates come sealed too, so that tables have neither."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_worker("surrogates")
+        for b in batches:
+            new = [sealed(surrogate(t, opened(e, key), key, a), key) for t, e, a in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["type", "entity", "attempt", "surrogate"])
+
+    return rows.select("type", "entity", "attempt").mapInArrow(run, "type string, entity string, attempt int, surrogate string")
+
+
 def collisions(mentions: DataFrame, key: bytes, compute: Callable[[DataFrame, bytes], DataFrame] = assigned) -> DataFrame | None:
     """type, entity and attempt of the entities whose first surrogate is taken; None if there are none.
 
     Taken: it is an entity of the corpus, or the surrogate of an entity that comes earlier (by
-    attempt, then by name). Each round gives such entities their next attempt and looks again.
+    attempt, then by name; names that a title picks give way to those of the lists). Each round gives such entities
+    their next attempt and looks again; its tables go with the next one.
     """
+    family = F.when(F.col("type") == "titled", "given").otherwise(F.col("type")).alias("family")
     every = written(mentions.groupBy("type", "entity").agg(F.lit(0).alias("attempt")), "entities")
     current = written(compute(every, key), "surrogates")
     changed = False
     for _ in itertools.count():  # formats grow with each attempt, so it ends
         real = every.select("type", F.col("entity").alias("surrogate"))
         # A given name stays within its short list, all of whose names may be real.
-        is_real = current.filter("type != 'given'").join(real, ["type", "surrogate"], "left_semi").select("type", "entity")
-        keeper = current.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = current.join(keeper, ["type", "surrogate"]).filter(F.col("entity") != F.col("first.entity")).select("type", "entity")
+        is_real = current.filter("type NOT IN ('given', 'titled')").join(real, ["type", "surrogate"], "left_semi").select("type", "entity")
+        keeper = current.groupBy(family, "surrogate").agg(F.min(F.struct("attempt", F.col("type") == "titled", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = current.select("*", family).join(keeper, ["family", "surrogate"]).filter(F.col("entity") != F.col("first.entity")).select("type", "entity")
         taken = written(is_real.union(shared).distinct(), "taken")
         if taken.isEmpty():
+            dropped(every)
+            dropped(taken)
             return current.filter("attempt > 0").select("type", "entity", "attempt") if changed else None
         changed = True
         again = current.join(taken, ["type", "entity"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
-        current = written(current.join(taken, ["type", "entity"], "left_anti").unionByName(compute(again, key)), "surrogates")
+        current, before = written(current.join(taken, ["type", "entity"], "left_anti").unionByName(compute(again, key)), "surrogates"), current
+        dropped(before)
+        dropped(taken)
 
 
 def _replace(df: DataFrame, key: bytes, shared, listed: bool) -> DataFrame:
@@ -517,10 +602,10 @@ def _replace(df: DataFrame, key: bytes, shared, listed: bool) -> DataFrame:
             own = b.column(b.num_columns - 1).to_pylist() if listed else [None] * b.num_rows
             texts, types = [], []
             for t, rows in zip(b.column(0).to_pylist(), own, strict=True):
-                attempts = {(r["type"], r["entity"]): r["attempt"] for r in rows} if rows else common
+                attempts = {(r["type"], opened(r["entity"], key)): r["attempt"] for r in rows} if rows else common
                 new, found = (None, []) if t is None else replaced(t, key, attempts)
                 texts.append(new)
-                types.append(found)
+                types.append(["given" if x == "titled" else x for x in found])
             columns = b.columns[1 : b.num_columns - 1] if listed else b.columns[1:]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *columns, pa.array(types, pa.list_(pa.string()))], names=[*kept, "types"])
 
@@ -544,13 +629,13 @@ def surrogates(df: DataFrame, key: bytes = KEY, column: str = "text", broadcast:
     def named(out: DataFrame) -> DataFrame:
         return out.select(*(f"c{places.index(i)}" for i in range(len(names))), "types").toDF(*names, types_as)
 
-    clashes = collisions(entities(plain, "c0"), key)
+    clashes = collisions(entities(plain, "c0", key=key), key, assigned_sealed)
     if clashes is None:
         return named(_replace(plain, key, None, False))
     few = clashes.limit(broadcast + 1).collect()
     if len(few) <= broadcast:
-        shared = df.sparkSession.sparkContext.broadcast({(r.type, r.entity): r.attempt for r in few})
+        shared = df.sparkSession.sparkContext.broadcast({(r.type, opened(r.entity, key)): r.attempt for r in few})
         return named(_replace(plain, key, shared, False))
-    mine = entities(plain, "c0", prints=True).join(clashes, ["type", "entity"]).groupBy("print").agg(F.collect_set(F.struct("type", "entity", "attempt")).alias("attempts"))
+    mine = entities(plain, "c0", prints=True, key=key).join(clashes, ["type", "entity"]).groupBy("print").agg(F.collect_set(F.struct("type", "entity", "attempt")).alias("attempts"))
     joined = plain.withColumn("print", F.md5("c0")).join(mine, "print", "left").select(*plain.columns, "attempts")
     return named(_replace(joined, key, None, True))
