@@ -35,13 +35,11 @@ def strings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@registry.query("fn_hash_rows", "SELECT CAST(count(DISTINCT c_name) AS BIGINT) AS names, TRUE AS spread FROM customer")
+@registry.query("fn_hash_rows", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT c_name) AS BIGINT) AS names FROM customer GROUP BY 1")
 def hash_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Murmur and xx hashes together tell all names apart, and spread them over four buckets."""
-    h = F.hash("c_name")
-    df = table(spark, d, "customer").select(F.struct(h, F.xxhash64("c_name")).alias("h"), F.pmod(h, F.lit(4)).alias("bucket"))
-    even = [F.count_if(F.col("bucket") == i) * 8 > F.count(F.lit(1)) for i in range(4)]
-    return df.agg(F.countDistinct("h").alias("names"), (even[0] & even[1] & even[2] & even[3]).alias("spread"))
+    """Murmur and xx hashes together tell all names of a nation apart."""
+    df = table(spark, d, "customer").select("c_nationkey", F.struct(F.hash("c_name"), F.xxhash64("c_name")).alias("h"))
+    return df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("h").alias("names"))
 
 
 @registry.query(
@@ -124,11 +122,16 @@ def maps(spark: SparkSession, d: str) -> DataFrame:
     return df.select("n_nationkey", F.array_sort(F.map_keys("m")).alias("keys"), total.alias("total"), F.element_at("t", "region").alias("tens"))
 
 
-@registry.query("fn_json_more", "SELECT event_type, 'STRUCT<k: BIGINT>' AS shape, ['k'] AS keys, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+@registry.query(
+    "fn_json_more",
+    """
+SELECT event_type, 'OBJECT<k: ' || CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(props, '$.k') END || '>' AS shape, json_keys(props) AS keys, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL
+""",
+)
 def json_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """The type and the keys of JSON records."""
-    df = table(spark, d, "events").select("event_type", F.json_object_keys("props").alias("keys"))
-    return df.groupBy("event_type", F.schema_of_json(F.lit('{"k": 1}')).alias("shape"), "keys").agg(F.count(F.lit(1)).alias("n")).select("event_type", "shape", "keys", "n")
+    """The type and the keys that JSON records have."""
+    df = table(spark, d, "events").select("event_type", F.schema_of_variant(F.parse_json("props")).alias("shape"), F.json_object_keys("props").alias("keys"))
+    return df.groupBy("event_type", "shape", "keys").agg(F.count(F.lit(1)).alias("n")).select("event_type", "shape", "keys", "n")
 
 
 @registry.query("fn_xml_more", "SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, n_name || ' & ' || CAST(n_regionkey AS VARCHAR) AS decoded, url_encode(n_name) AS encoded FROM nation")

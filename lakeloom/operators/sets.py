@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,12 +127,14 @@ def sample_by(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").sampleBy("o_orderstatus", {"F": 0.5, "P": 0.1}, seed=7).select("o_orderkey", "o_orderstatus")
 
 
-@registry.query("sample_split", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders, TRUE AS near_shares FROM orders")
+@registry.query("sample_split", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1")
 def random_split(spark: SparkSession, d: str) -> DataFrame:
-    """Three parts of a half, three and two tenths: together every order once, each within a tenth of its share."""
-    shares = [0.5, 0.3, 0.2]
-    parts = table(spark, d, "orders").select("o_orderkey").randomSplit(shares, seed=7)
-    every = parts[0].withColumn("part", F.lit(0)).union(parts[1].withColumn("part", F.lit(1))).union(parts[2].withColumn("part", F.lit(2)))
-    sizes = [F.count_if(F.col("part") == i) for i in range(3)]
-    near = [(sizes[i] > 0.9 * shares[i] * F.count(F.lit(1))) & (sizes[i] < 1.1 * shares[i] * F.count(F.lit(1))) for i in range(3)]
-    return every.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("orders"), (near[0] & near[1] & near[2]).alias("near_shares"))
+    """Three parts of a half, three and two tenths: together every order once."""
+    every = in_parts(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), [0.5, 0.3, 0.2])
+    return every.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("orders"), F.sum("o_orderkey").alias("total"))
+
+
+def in_parts(df: DataFrame, shares: list[float]) -> DataFrame:
+    """The rows with the number of the part that they fall in."""
+    parts = [p.withColumn("part", F.lit(i)) for i, p in enumerate(df.randomSplit(shares, seed=7))]
+    return reduce(DataFrame.union, parts)

@@ -50,3 +50,11 @@ def test_samples_have_about_their_share(spark, medium):
     n = spark.read.parquet(f"{medium}/lineitem.parquet").count()
     assert 0.07 * n < catalog.QUERIES["sample_bernoulli"](spark, medium).count() < 0.13 * n
     assert {r.o_orderstatus for r in catalog.QUERIES["sample_stratified"](spark, medium).select("o_orderstatus").distinct().collect()} == {"F", "P"}
+
+
+def test_split_parts_have_about_their_shares(spark, medium):
+    from lakeloom.operators.sets import in_parts
+
+    shares = [0.5, 0.3, 0.2]
+    sizes = {r.part: r["count"] for r in in_parts(spark.read.parquet(f"{medium}/orders.parquet"), shares).groupBy("part").count().collect()}
+    assert all(abs(sizes[i] / sum(sizes.values()) - shares[i]) < 0.1 * shares[i] for i in range(3))
