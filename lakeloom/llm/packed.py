@@ -175,7 +175,7 @@ def number_of_chunks(size: int, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 
 def chunked(df: DataFrame, n: int, key: str, column: str) -> DataFrame:
-    """chunk int, id long, text string: what the exchanges need of each document."""
+    """chunk int, id long, text string: what the exchanges need of each document. Ids are whole numbers, or their digits as text."""
     small_batches(df.sparkSession)
     identity = df[key].cast("long")
     return df.select(F.pmod(F.xxhash64(identity), F.lit(n)).cast("int").alias("chunk"), identity.alias("id"), df[column].cast("string").alias("text"))

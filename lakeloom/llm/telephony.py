@@ -5,8 +5,8 @@ container) into a column of PCM16 bytes at a target rate. ``stored`` keeps texts
 as mu-law WAV samples, reads them back, and stores their resampled PCM beside them; ``payload_features``
 is the query's form, which takes its digests from these columns.
 
-Defined results: null bytes give null PCM; empty bytes give empty PCM; an unknown codec, a
-broken container, or a header that can't be (a rate outside ``RATES``, no channel, an ADPCM block
+Defined results: null bytes give null PCM; empty raw bytes give empty PCM; an unknown codec, a
+broken container (an empty one, or one cut short within its samples), or a header that can't be (a rate outside ``RATES``, no channel, an ADPCM block
 without samples, or with several channels) gives null PCM and a reason in ``problem``; two channels
 or more become one, their mean; repeated rows give repeated results. Only the key is carried on;
 if it has an added column's name, ``input_`` goes in front.
@@ -132,6 +132,8 @@ def container(stored: bytes) -> tuple[int, int, int, int, bytes]:
             tag, channels, rate, _, align = struct.unpack_from("<HHIIH", stored, at + 8)
         elif name == b"data":
             data = stored[at + 8 : at + 8 + size]
+            if len(data) < size:
+                raise ValueError(f"{len(data)} of {size} bytes of samples")
         at += 8 + size + (size & 1)
     if data is None or not tag:
         raise ValueError("no samples")

@@ -58,6 +58,8 @@ def sentences(text: str) -> list[list[bytes]]:
     return [s.split() for s in text.lower().encode().translate(SENTENCE_TABLE).split(b"\n")]
 
 
+#: A mark is known if its gain is one that chance gives to less than one in so many times the sample's texts.
+CHANCE = 10
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
 
 
@@ -198,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column:
     prior = (totals.toxic + 1) / (totals.n + 2)
     p = F.col("a") / F.col("n")
     gain = F.col("a") * F.log(p / prior) + F.when(p < 1, (F.col("n") - F.col("a")) * F.log((1 - p) / (1 - prior))).otherwise(0.0)
-    needed = float(np.log(max(2, totals.n) * 2000))  # a text has hundreds of distinct words, each with a few marks
+    needed = float(np.log(max(2, totals.n) * CHANCE))
     best = counted.withColumn("gain", gain).filter((p > prior) & (F.col("gain") > needed)).orderBy(F.desc("gain"), "w").limit(most_marks)
     vocabulary = sorted(bytes(r.w) for r in best.select("w").collect())
     known = Marks({*vocabulary, *(w.encode() for w in KIND_OF)})

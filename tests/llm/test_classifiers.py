@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.llm import quality, toxicity
-from lakeloom.llm.queries import QUERIES, remainder
+from lakeloom.llm.queries import QUERIES, labels, remainder
 
 
 def auc(rows, label):
@@ -168,3 +168,14 @@ def test_toxicity_query_against_loops(spark, medium):
     for r in docs.collect():
         assert abs(got[r.doc_id] - plain_toxic_score(model, r.text)) < 1e-9
     assert max(got.values()) > 0.7
+
+
+@pytest.mark.parametrize("folder, least", [("sf0.01", 0.75), ("sf0.1", 0.85)])
+def test_toxic_texts_are_caught_and_clean_ones_left(spark, small, folder, least):
+    """Of held-out texts at the threshold of the query; small tables teach few marks."""
+    d = small.replace("sf0.001", folder)
+    docs, known = spark.read.parquet(f"{d}/documents.parquet"), labels(spark, d)
+    model = toxicity.fit(docs, known, remainder(3) != 1)
+    held = toxicity.score(docs.filter(remainder(3) == 1), model).join(known, "doc_id").groupBy("toxic").agg({"predicted": "avg"}).collect()
+    share = {r.toxic: r["avg(predicted)"] for r in held}
+    assert share[1] >= least and share[0] <= 0.01

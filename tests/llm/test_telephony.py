@@ -157,3 +157,12 @@ def test_headers_that_cannot_be_have_a_reason(spark):
     assert all(got[i].pcm is None and got[i].problem for i in range(len(bad)))
     assert [got[len(bad) + i].n_samples for i in range(len(good))] == [128, 64, round(64 * 16000 / 11025), 2 * 2 * 57]
     assert all(got[len(bad) + i].problem is None for i in range(len(good)))
+
+
+def test_empty_and_cut_containers(spark):
+    whole = t.wav(bytes(range(256)) * 4)
+    df = spark.createDataFrame([(0, bytearray(b"")), (1, bytearray(whole[:-100])), (2, bytearray(whole))], "k int, b binary")
+    got = {r.key: r for r in t.transcode(df, "k", "b").collect()}
+    assert got[0].pcm is None and got[0].problem == "not a WAV container"
+    assert got[1].pcm is None and got[1].problem == "924 of 1024 bytes of samples"
+    assert got[2].n_samples == 2048
