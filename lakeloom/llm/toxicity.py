@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import in_worker, small_batches, written
@@ -173,13 +173,16 @@ def train(docs: list[tuple[int, list[frozenset[bytes]]]], vocabulary: list[bytes
     return Model(float(w[-1]), {n: float(v) for n, v in zip(names, w, strict=False) if v})
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column: str = "text", label: str = "toxic", limit: int = 12_000, most_marks: int = 1024, penalty: float = 1.0) -> Model:
-    """A model from at most ``limit`` labelled documents; the driver sees counts of at most ``most_marks`` marks and the known marks of those documents' sentences."""
+def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", column: str = "text", label: str = "toxic", limit: int = 12_000, most_marks: int = 1024, penalty: float = 1.0, most_bytes: int = 200_000_000) -> Model:
+    """A model from at most ``limit`` labelled documents, and of these from no more than have ``most_bytes`` of text together; the driver sees counts of at most ``most_marks`` marks and the known marks of those documents' sentences."""
     chosen = sample_of(labels, key, label, learn, limit)
     small_batches(docs.sparkSession)
     inner = docs.select(docs[key].alias("k"), F.coalesce(docs[column].cast("string"), F.lit("")).alias("t"))
     inner = inner.join(F.broadcast(chosen), "k").select("t", "y")  # at most ``limit`` rows
-    sample = written(inner.groupBy(F.md5("t").alias("h")).agg(F.max("y").alias("y"), F.first("t").alias("t")), "toxic-sample")
+    texts = written(inner.groupBy(F.md5("t").alias("h")).agg(F.max("y").alias("y"), F.first("t").alias("t")), "toxic-sample")
+    so_far = F.sum(F.octet_length("t").cast("long")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    fits = texts.select("h", so_far.alias("bytes")).filter(F.col("bytes") <= most_bytes).select("h")  # of at most ``limit`` rows
+    sample = texts.join(F.broadcast(fits), "h")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
 
     def each_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,3 +179,9 @@ def test_toxic_texts_are_caught_and_clean_ones_left(spark, small, folder, least)
     held = toxicity.score(docs.filter(remainder(3) == 1), model).join(known, "doc_id").groupBy("toxic").agg({"predicted": "avg"}).collect()
     share = {r.toxic: r["avg(predicted)"] for r in held}
     assert share[1] >= least and share[0] <= 0.01
+
+
+def test_the_sample_of_toxic_texts_has_a_bound_in_bytes(spark, small):
+    docs, known = spark.read.parquet(f"{small}/documents.parquet"), labels(spark, small)
+    assert toxicity.fit(docs, known, remainder(3) != 1, most_bytes=0).weights == {}
+    assert toxicity.fit(docs, known, remainder(3) != 1, most_bytes=10**9).weights == toxicity.fit(docs, known, remainder(3) != 1).weights
