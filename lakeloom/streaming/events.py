@@ -7,7 +7,6 @@ never pass the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
