@@ -132,8 +132,8 @@ def test_only_changed_parts_are_added(spark, small):
 @pytest.mark.parametrize("near", [0, 1, 3, 7, 20])
 def test_clusters_against_brute_force(spark, near):
     rows = some(7, 160, 64, 0.7) + ODD
-    want, centres = brute_clusters(rows)
-    out, model = clusters.clustered(frame(spark, rows), near=near)
+    want, centres = brute_clusters(rows, rounds=5)
+    out, model = clusters.clustered(frame(spark, rows), near=near, rounds=5)
     assert sorted(((r.id, r.cluster, r.distance) for r in out.collect()), key=repr) == want
     assert model.centroids.tolist() == centres
 
@@ -151,8 +151,8 @@ def test_clusters_against_brute_force(spark, near):
     ],
 )
 def test_clusters_of_ties_copies_and_extremes(spark, rows):
-    want, centres = brute_clusters(rows)
-    out, model = clusters.clustered(frame(spark, rows))
+    want, centres = brute_clusters(rows, rounds=3)
+    out, model = clusters.clustered(frame(spark, rows), rounds=3)
     assert sorted(((r.id, r.cluster, r.distance) for r in out.collect()), key=repr) == want
     assert model.centroids.tolist() == centres
     both = clusters.with_inertia(out, model).collect()
