@@ -54,7 +54,7 @@ def _parts(source: DataFrame, parts: int, cuts: tuple[str, ...], latest_first: b
     between = [F.unix_micros(F.lit(c).cast("timestamp")) for c in cuts] or source.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.01)
     number = sum((F.when(at > c, 1).otherwise(0) for c in between), F.lit(0))
     sizes = {r.k: r.n for r in source.groupBy(number.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each part
-    files = 1 if closing else max(1, min(sizes.values(), default=0) // file_rows)
+    files = max(1, min(sizes.values(), default=0) // file_rows)
     for k in sorted(sizes, reverse=latest_first):
         source.filter(number == k).repartition(files).write.mode("append").parquet(path)
     if not sizes:
@@ -290,10 +290,11 @@ def late_reconciled(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Visits(StatefulProcessor):
-    """Per user, the open visits (a map of their begin to end and events) and a timer for each visit's end.
+    """Per user, the open visits (their begins, ends and numbers of events, as one value) and a timer for the end of the first.
 
     Visits are merged as events come, in any order: two belong together if they are less than ``gap`` apart. When the
-    watermark has passed a visit's end by the gap, nothing can join it, and its timer gives it out and forgets it.
+    watermark has passed a visit's end by the gap, nothing can join it, and it is given out and forgotten. A user's
+    state is read and written once a batch and once a timer; it has a visit for each ``gap`` of time at most.
     """
 
     def __init__(self, gap: int) -> None:
@@ -301,34 +302,49 @@ class Visits(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.visits = handle.getMapState("visits", "begin long", "end long, n long")
+        self.visits = handle.getValueState("visits", "begins array<long>, ends array<long>, counts array<long>, timer long")
 
     def _due(self, end: int) -> int:
         return -(-(end + self.gap) // 1000)  # timers have milliseconds
 
+    def _open(self) -> tuple[list[np.ndarray], int]:
+        begins, ends, counts, timer = self.visits.get() if self.visits.exists() else ([], [], [], -1)
+        return [np.asarray(x, dtype=np.int64) for x in (begins, ends, counts)], timer
+
+    def _keep(self, visits: list[np.ndarray], timer: int) -> None:
+        """Writes the state, with a timer for the first visit's end in place of the one before."""
+        if not len(visits[0]):
+            self.visits.clear()
+            return
+        due = self._due(int(visits[1][0]))
+        if due != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.visits.update((*(x.tolist() for x in visits), due))
+
+    def _merged(self, visits: list[np.ndarray]) -> list[np.ndarray]:
+        begins, ends, counts = (x[np.argsort(visits[0], kind="stable")] for x in visits)
+        ends = np.maximum.accumulate(ends)
+        first = np.flatnonzero(np.concatenate([[True], begins[1:] >= ends[:-1] + self.gap]))
+        return [begins[first], ends[np.append(first[1:], len(ends)) - 1], np.add.reduceat(counts, first)]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        visits, timer = self._open()
         for part in rows:  # no more than a part of a key's rows is held
-            at = np.sort(part["at"].to_numpy(dtype=np.int64))
-            edges = np.flatnonzero(np.diff(at) >= self.gap) + 1
-            for some in np.split(at, edges):
-                self._merge(int(some[0]), int(some[-1]), len(some))
+            at = part["at"].to_numpy(dtype=np.int64)
+            visits = self._merged([np.concatenate([x, y]) for x, y in zip(visits, (at, at, np.ones_like(at)), strict=True)])
+        self._keep(visits, timer)
         return iter(())
 
-    def _merge(self, begin: int, end: int, n: int) -> None:
-        for (b,), (e, m) in list(self.visits.iterator()):
-            if b < end + self.gap and begin < e + self.gap:
-                begin, end, n = min(b, begin), max(e, end), n + m
-                self.visits.removeKey((b,))
-        self.visits.updateValue((begin,), (end, n))
-        self.handle.registerTimer(self._due(end))
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        over = [(b, e, m) for (b,), (e, m) in self.visits.iterator() if self._due(e) <= now]
-        for b, _, _ in over:
-            self.visits.removeKey((b,))
-        if over:
-            yield pd.DataFrame({"user_id": [key[0]] * len(over), "begin": [b for b, _, _ in over], "end": [e for _, e, _ in over], "n": [m for _, _, m in over]})
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        visits, _ = self._open()
+        over = -(-(visits[1] + self.gap) // 1000) <= now
+        self._keep([x[~over] for x in visits], -1)  # the timer at hand goes by itself
+        if over.any():
+            begins, ends, counts = (x[over] for x in visits)
+            yield pd.DataFrame({"user_id": np.full(len(begins), key[0]), "begin": begins, "end": ends, "n": counts})
 
     def close(self) -> None:
         pass

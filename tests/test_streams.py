@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lakeloom.operators.rollups import DailySketches
@@ -103,3 +104,49 @@ def test_sketches_answer_for_any_days(spark, tmp_path):
     plan = sketches.between("2024-01-03", "2024-01-03")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(day)" in plan
     assert sketches.between("2030-01-01", "2030-01-02").count() == 0
+
+
+def test_a_users_visits_are_read_and_written_once_a_batch():
+    calls, timers = [], set()
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, at):  # noqa: N802
+            timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            timers.discard(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 1_000_000
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+    visits = events.Visits(1_000_000)
+    visits.init(Handle())
+    at = np.arange(0, 1000) * 10_000_000  # each event is a visit of its own
+    list(visits.handleInputRows((1,), iter([pd.DataFrame({"at": at[500:]}), pd.DataFrame({"at": at[:500] + 1})]), Times()))
+    list(visits.handleInputRows((1,), iter([pd.DataFrame({"at": at + 2})]), Times()))
+    assert len(calls) <= 4 and timers == {1001}
+    over = pd.concat(visits.handleExpiredTimer((1,), Times(), Times()))
+    assert len(over) == 100 and over["n"].tolist() == [2] * 100 and (over["end"] - over["begin"]).tolist() == [1] * 100
