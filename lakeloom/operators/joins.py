@@ -130,9 +130,12 @@ SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orde
 """,
 )
 def lateral(spark: SparkSession, d: str) -> DataFrame:
-    """The two largest orders of each customer, as a correlated subquery."""
+    """The two largest orders of each customer, as a correlated subquery.
+
+    The subquery gives out what it sorts by: Spark keeps the order of a correlated limit only if the sort is right below it.
+    """
     return spark.sql(
-        "SELECT c_custkey, o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)",
+        "SELECT c_custkey, o_orderkey FROM {customer}, LATERAL (SELECT o_totalprice, o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)",
         customer=table(spark, d, "customer"),
         orders=table(spark, d, "orders"),
     )

@@ -57,3 +57,9 @@ def test_histograms_of_many_tasks_have_a_bin_for_each_value(spark):
 def test_users_of_days_beyond_a_sketch_are_exact(spark, many_users, monkeypatch):
     monkeypatch.setattr(rollups, "THETA", 6)
     same_as_sql(spark, "agg_stored_sketches", many_users)
+
+
+def test_the_limit_of_a_lateral_join_goes_by_its_order(spark, medium):
+    plan = catalog.QUERIES["join_lateral"](spark, medium)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_totalprice" in next(x for x in plan.splitlines() if "row_number" in x and "windowspecdefinition" in x).split("windowspecdefinition", 1)[1]
+    assert rows_of(catalog.QUERIES["join_lateral"](spark, medium)) == rows_of_sql(catalog.ORACLES["join_lateral"], medium)
