@@ -46,12 +46,12 @@ def bloom_places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((h[:, None] + np.arange(HASHES, dtype=np.uint64)[None, :] * step[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
-def _filter(key: tuple, rows: pa.Table) -> pa.Table:
-    """The Bloom filter of a file's keys."""
-    hashes = np.asarray(rows.column("hash").combine_chunks())
-    bits = np.zeros(max(64, BITS * len(hashes)), dtype=bool)
-    bits[bloom_places(hashes, len(bits)).ravel()] = True
-    return pa.table({"name": [key[0].as_py()], "bloom": pa.array([np.packbits(bits).tobytes()], pa.binary()), "bits": pa.array([len(bits)], pa.int64())})
+def _filter(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Bloom filter of a file's keys, of which no more than a batch is held; the group names the file and its rows."""
+    bits = np.zeros(max(64, BITS * key[1].as_py()), dtype=bool)
+    for b in batches:
+        bits[bloom_places(np.asarray(b.column("hash")), len(bits)).ravel()] = True
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([len(bits)], pa.int64())], names=["name", "bloom", "bits"])
 
 
 def _may_hold(hashes: np.ndarray):
@@ -165,7 +165,8 @@ class LakeTable:
         rows.repartitionByRange(parts, *self.keys).sortWithinPartitions(*self.keys).write.parquet(f"{self.path}/{folder}")
         back = self.spark.read.schema(self._stored).parquet(f"{self.path}/{folder}").select(F.col("_metadata.file_name").alias("name"), self._key().alias("key"))
         ranges = back.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
-        blooms = back.select("name", F.xxhash64("key").alias("hash")).groupBy("name").applyInArrow(_filter, "name string, bloom binary, bits long")
+        hashes = back.select("name", F.xxhash64("key").alias("hash")).join(F.broadcast(ranges.select("name", "rows")), "name")  # a row for each file
+        blooms = hashes.groupBy("name", "rows").applyInArrow(_filter, "name string, bloom binary, bits long")
         stats = ranges.join(blooms, "name").withColumn("file", F.concat(F.lit(f"{folder}/"), "name")).drop("name")
         stats.write.parquet(f"{self.path}/{folder}-stats")
         return {r.file: r.rows for r in self.spark.read.schema(stats.schema).parquet(f"{self.path}/{folder}-stats").select("file", "rows").collect()}

@@ -152,3 +152,15 @@ def test_keys_of_several_columns(spark, tmp_path):
     lake.upsert(make(("x", None, 2, 5.0), (None, "2024-01-01", 0, 6.0)))
     assert sorted(r.v for r in lake.read().collect()) == [1.0, 3.0, 4.0, 5.0]
     assert [r.v for r in lake.lookup(make(("x", None, 0, 0.0))).collect()] == [5.0]
+
+
+def test_a_filter_takes_keys_in_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    hashes = np.random.default_rng(3).integers(-(2**63), 2**63, 1_000)
+    batches = (pa.RecordBatch.from_arrays([pa.array(hashes[i : i + 100])], names=["hash"]) for i in range(0, 1_000, 100))
+    (out,) = lakes._filter((pa.scalar("f"), pa.scalar(1_000)), batches)
+    bits = np.zeros(10_000, dtype=bool)
+    bits[lakes.bloom_places(hashes, 10_000).ravel()] = True
+    assert out.to_pylist() == [{"name": "f", "bloom": np.packbits(bits).tobytes(), "bits": 10_000}]
