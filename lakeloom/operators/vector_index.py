@@ -32,6 +32,8 @@ registry = Registry()
 SAMPLE, CELLS, PART, BLOCK = 100_000, 4096, 20_000, 2_000
 #: Of the cells, the share that a search probes, and how many at least. The share suits vectors in no clusters, as in the test tables; clustered ones need less.
 PROBED, LEAST = 0.6, 8
+#: Numbers in an array of a task at once.
+NUMBERS = 1 << 22
 #: Cosines are compared after rounding to so many places.
 PLACES = 6
 SCHEMA = "id long, unit array<double>, part int, cell int"
@@ -65,11 +67,17 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, size)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _in_cells(centres: np.ndarray, probes: int):
     """Each vector with its nearest cells and its distances from their centres."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _cut(batches, max(1, NUMBERS // max(1, len(centres), probes * centres.shape[1]))):
             x = _matrix(b.column(1), centres.shape[1])
             d = np.sqrt(np.maximum(1 - 2 * (x @ centres.T) + np.einsum("ij,ij->i", centres, centres), 0))
             cell = np.argsort(d, axis=1, kind="stable")[:, :probes]
@@ -86,13 +94,16 @@ def _nearest(size: int, k: int):
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         ids, out = np.asarray(vectors.column("id")), ([], [], [])
         if vectors.num_rows and queries.num_rows:
-            cosines = np.round(_matrix(queries.column("unit"), size) @ _matrix(vectors.column("unit"), size).T, PLACES) + 0.0
-            for q, row in zip(queries.column("id").to_pylist(), cosines, strict=True):
-                at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-                at = at[np.lexsort((ids[at], -row[at]))][:k]
-                out[0].extend([q] * len(at))
-                out[1].extend(ids[at].tolist())
-                out[2].extend(row[at].tolist())
+            held, asked, names = _matrix(vectors.column("unit"), size), _matrix(queries.column("unit"), size), queries.column("id").to_pylist()
+            some = max(1, NUMBERS // len(held))
+            for i in range(0, len(asked), some):
+                cosines = np.round(asked[i : i + some] @ held.T, PLACES) + 0.0
+                for q, row in zip(names[i : i + some], cosines, strict=True):
+                    at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                    at = at[np.lexsort((ids[at], -row[at]))][:k]
+                    out[0].extend([q] * len(at))
+                    out[1].extend(ids[at].tolist())
+                    out[2].extend(row[at].tolist())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "cosine": pa.array(out[2], pa.float64())})
 
     return run

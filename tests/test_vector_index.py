@@ -85,3 +85,20 @@ def test_probing_reads_its_cells_only(spark, tmp_path):
     assert "PartitionFilters: [cell" in plan
     files = {f.split("cell=")[1].split("/")[0] for f in some.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
     assert files == {"1", "2"}
+
+
+def test_a_task_compares_vectors_in_bounded_arrays(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    centres, x = r.normal(size=(40, 8)), r.normal(size=(500, 8))
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), lists], names=["id", "unit"])
+    near = lambda: [b for b in vi._in_cells(centres, 24)(iter([batch]))]
+    best = lambda: vi._nearest(8, 3)((), pa.Table.from_batches([batch]), pa.Table.from_batches([batch.slice(0, 90)]))
+    whole, found = pa.Table.from_batches(near()), best()
+    monkeypatch.setattr(vi, "NUMBERS", 4_000, raising=False)
+    assert max(len(b.column("unit").flatten()) for b in near()) <= 4_000
+    cut = pa.Table.from_batches(near())
+    assert cut.drop(["gap"]).equals(whole.drop(["gap"])) and np.allclose(cut["gap"], whole["gap"])
+    assert best().drop(["cosine"]).equals(found.drop(["cosine"])) and np.allclose(best()["cosine"], found["cosine"])
