@@ -32,6 +32,8 @@ from lakeloom.sources.tables import table
 #: Documents of a block number; bytes of text for each bucket, and for each slice of a bucket.
 BLOCK, BUCKET_BYTES, SLICE_BYTES = 1024, 32 << 20, 1 << 30
 K1, B = 1.2, 0.75
+#: Words that a task has in arrays at once, but for a longer text's.
+WORDS = 1 << 19
 #: Of a term's beginning of so many letters, up to so many are taken out.
 BEGINNING, TAKEN = 6, 2
 POSTINGS = "term string, block int, n int, most double, doc_ids array<long>, tfs array<int>, lengths array<int>, places array<array<int>>, bucket int"
@@ -66,9 +68,20 @@ def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ROWS = "term string, block int, doc_id long, tf int, length int, places array<int>"
 
 
+def _cut(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with so many words (in the third column), whatever rows a batch has; a row is never cut."""
+    for b in batches:
+        ends = np.cumsum(np.asarray(b.column(2).value_lengths().fill_null(0)).astype(np.int64))
+        begin = 0
+        while begin < b.num_rows:
+            upto = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + words, side="right"))
+            yield b.slice(begin, max(upto, begin + 1) - begin)
+            begin = max(upto, begin + 1)
+
+
 def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From doc_id, block and words of documents: a row for each of a document's terms, with its places in order."""
-    for b in batches:
+    for b in _cut(batches, WORDS):
         lists = b.column(2)
         lengths = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
         coded = lists.flatten().dictionary_encode()

@@ -131,3 +131,18 @@ def test_bounds_are_read_without_postings(spark, small):
     index = search.of_folder(spark, small)
     plan = index.blocks(["the"]).select("term", "block", "most")._jdf.queryExecution().executedPlan().toString()
     assert "doc_ids" not in plan.split("ReadSchema")[1]
+
+
+def test_a_task_takes_texts_in_bounded_runs_of_words(monkeypatch):
+    import pyarrow as pa
+
+    from lakeloom.operators import index
+
+    monkeypatch.setattr(index, "WORDS", 50, raising=False)
+    texts = [["a", "b", "a"] * k for k in (3, 0, 40, 1, 1, 1, 20)] * 3 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "block", "words"])
+    out = list(index._of_documents(iter([batch])))
+    assert len(out) > 3 and all(sum(b.column("tf").to_pylist()) <= 120 for b in out)
+    got = [(r["doc_id"], r["term"], r["places"], r["length"]) for b in out for r in b.to_pylist()]
+    want = [(i, t, [p for p, w in enumerate(words) if w == t], len(words)) for i, words in enumerate(texts) for t in sorted(set(words or []))]
+    assert sorted(got) == want
