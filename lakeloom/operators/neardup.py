@@ -7,6 +7,10 @@ in a band are candidates, and the share of sets of similarity 0.8 that agree in
 Candidates are linked only if their exact similarity reaches the threshold, so no result is approximate
 but for pairs that no band brings together.
 
+The first pass over the texts leaves digests and bands only; a second one makes the sets of those that share a
+band with another. Pairs of them first compare counts of their hashes by bins, which bound what two sets can
+share; sets travel for the pairs that this bound leaves.
+
 A band's bucket is never expanded into all its pairs. In each round some of its sets, the pivots, are
 compared with the others that no link connects with them yet: one pivot at first, then sixteen
 times as many in each round, in the buckets that still hold unconnected sets. So a bucket of one
@@ -45,19 +49,22 @@ def shingles(df: DataFrame, id: str, text: str, n: int) -> DataFrame:
     return sets.select("id", F.size("shingles").cast("long").alias("n_shingles"), "shingles", F.xxhash64("shingles").alias("a"), F.xxhash64(F.lit(1), "shingles").alias("b"))
 
 
-def banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """rep, n_shingles and a key for each band."""
+def signed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """The other columns of sets, and a key for each band in place of shingles; of no use for empty sets."""
     seeds = np.random.default_rng(7).integers(0, 2**63, size=(2, bands * rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    rest = [c for c in sets.columns if c != "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = b.column(2)
-            starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+            lists = b.column(len(rest))
+            offsets = np.asarray(lists.offsets)
+            filled = offsets[1:] > offsets[:-1]
+            starts = offsets[:-1][filled] - offsets[0]
             hashes = np.asarray(lists.flatten()).view(np.uint64)
-            keys = np.zeros((b.num_rows, bands), dtype=np.uint64)
-            for j in range(bands * rows):
+            keys = np.zeros((len(starts), bands), dtype=np.uint64)
+            for j in range(bands * rows if len(starts) else 0):
                 x = hashes * seeds[0, j] + seeds[1, j]
                 x ^= x >> np.uint64(31)
                 least = np.minimum.reduceat(x, starts)
@@ -65,11 +72,58 @@ def banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
                 at ^= least + np.uint64(j)
                 at *= np.uint64(0x9E3779B97F4A7C15)
                 at ^= at >> np.uint64(29)
-            offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))], names=["rep", "n_shingles", "keys"])
+            every = np.zeros((b.num_rows, bands), dtype=np.uint64)
+            every[filled] = keys
+            of_rows = pa.ListArray.from_arrays(np.arange(0, every.size + 1, bands, dtype=np.int32), pa.array(every.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], of_rows], names=[*rest, "keys"])
+
+    kinds = [f"{c} {sets.schema[c].dataType.simpleString()}" for c in rest]
+    return sets.select(*rest, "shingles").mapInArrow(run, ", ".join([*kinds, "keys array<long>"]))
+
+
+def banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """rep, n_shingles and a key for each band."""
+    return signed(sets.select("rep", "n_shingles", "shingles"), bands, rows).select(F.explode("keys").alias("k"), "rep", "n_shingles")
+
+
+def counted(sets: DataFrame) -> DataFrame:
+    """rep, shingles and counts: how many of the set's hashes fall into each bin, a byte a bin.
+
+    Bins are a power of two, two to four hashes each on average; counts are empty where one doesn't fit a byte.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            hashes = np.asarray(lists.flatten())
+            out = []
+            for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                bins = 1 << max((high - low + 3) // 4 - 1, 0).bit_length()
+                n = np.bincount(hashes[low:high] & (bins - 1), minlength=bins)
+                out.append(n.astype(np.uint8).tobytes() if n.max() < 256 else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out, pa.binary())], names=["rep", "shingles", "counts"])
+
+    return sets.select("rep", "shingles").mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, shingles array<long>, counts binary")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) but for those whose counts by bins rule out a similarity of so many hundredths."""
+    one = sets.select(F.col("rep").alias("a"), F.col("counts").alias("_one"))
+    two = sets.select(F.col("rep").alias("b"), F.col("counts").alias("_two"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stay = []
+            for x, y in zip(b.column(2), b.column(3)):
+                few, many = sorted((np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) for v in (x, y)), key=len)
+                # A bin of few is every len(few)-th one of many; two sets share at most the lesser count of a bin.
+                most = int(np.minimum(few, many.reshape(-1, len(few)).sum(axis=0)).sum()) if len(few) else None
+                stay.append(most is None or most * 100 >= percent * (int(few.sum()) + int(many.sum()) - most))
+            yield b.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
-    found = sets.select("rep", "n_shingles", "shingles").mapInArrow(run, f"rep {sets.schema['rep'].dataType.simpleString()}, n_shingles long, keys array<long>")
-    return found.select(F.explode("keys").alias("k"), "rep", "n_shingles")
+    kinds = pairs.select("a", "b").schema
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_one", "_two").mapInArrow(run, kinds)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -96,14 +150,17 @@ def near_classes(df: DataFrame, id: str = "doc_id", text: str = "text", n: int =
 
     Ids are unique and not null. Texts without words are linked with nothing.
     """
-    base = stored(shingles(df, id, text, n), "shingles")
+    base = stored(signed(shingles(df, id, text, n), bands, rows), "digests")
     alike = base.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("id").alias("rep"))
     alike = stored(alike, "alike")
-    sets = stored(base.join(alike.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "n_shingles", "shingles"), "sets")
-    keys = stored(banded(sets, bands, rows), "bands")
+    distinct = base.join(alike.select(F.col("rep").alias("id")), "id", "left_semi")
+    keys = stored(distinct.select(F.explode("keys").alias("k"), F.col("id").alias("rep"), "n_shingles"), "bands")
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = last = stored(keys.join(shared, "k"), "members")
     removed(keys)
+    # Only sets that share a band are made and kept; texts are read again for them.
+    some = stored(members.select(F.col("rep").alias(id)).distinct(), "shared")
+    sets = stored(counted(shingles(df.join(some, id, "left_semi"), id, text, n).select(F.col("id").alias("rep"), "shingles")), "sets")
     links, roots, many, turn = None, None, 1, 0
     while True:
         root = F.col("rep").alias("root") if roots is None else F.coalesce("root", "rep").alias("root")
@@ -116,7 +173,12 @@ def near_classes(df: DataFrame, id: str = "doc_id", text: str = "text", n: int =
             break
         small, large = F.least("n_shingles", "pivot_size"), F.greatest("n_shingles", "pivot_size")
         pairs = live.join(pivots_of(live, many, turn), "k").filter((F.col("root") != F.col("pivot_root")) & (small * 100 >= large * percent))
-        found = stored(verified(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), sets, percent), "links")
+        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pairs = stored(likely(pairs, sets, percent), "likely")
+        asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "asked")
+        found = stored(verified(pairs, sets.join(asked, "rep", "left_semi"), percent), "links")
+        removed(pairs)
+        removed(asked)
         links = found if links is None else links.union(found)
         roots = stored(components(links), "roots")
         removed(last)

@@ -111,6 +111,46 @@ def test_signature_agreement_estimates_similarity(spark):
     assert abs(keys.filter("n = 2").count() / 2000 - 0.8) < 0.04
 
 
+def test_only_sets_that_share_a_band_are_kept(spark, monkeypatch):
+    """Texts alone in all their buckets, and copies of one text, leave no set of shingles behind."""
+    kept, store = {}, neardup.stored
+
+    def noted(df, name):
+        out = store(df, name)
+        if "shingles" in out.columns:
+            kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "stored", noted)
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(50)) for _ in range(40)]
+    texts += [texts[0]] * 3 + [texts[1] + " more"]
+    assert classes(spark, texts) == brute(texts)
+    assert sum(kept.values()) == 2
+
+
+def test_counts_rule_out_no_near_pair(spark):
+    """The bound is never below the similarity, for sets of all sizes; it rules out nearly all pairs that share half."""
+    r = random.Random(7)
+    sets, pairs = [], []
+    for size in [1, 2, 3, 4, 5, 8, 9, 30, 100, 129, 700, 3000]:
+        for percent in (40, 50, 79, 80, 81, 95):
+            for other in (size, size + size // 5):
+                one = [r.randrange(-(2**63), 2**63) for _ in range(size)]
+                n = min(size, percent * (size + other) // (100 + percent))
+                two = one[:n] + [r.randrange(-(2**63), 2**63) for _ in range(other - n)]
+                pairs.append((len(sets), len(sets) + 1))
+                sets += [one, two]
+    sets += [[256 * i for i in range(2000)]] * 2  # all in one bin
+    pairs.append((len(sets) - 2, len(sets) - 1))
+    df = neardup.counted(spark.createDataFrame(list(enumerate(map(sorted, sets))), "rep long, shingles array<long>"))
+    got = {tuple(x) for x in neardup.likely(spark.createDataFrame(pairs, "a long, b long"), df, 80).collect()}
+    share = {(a, b): 100 * len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a, b in pairs}
+    assert got >= {p for p in pairs if share[p] >= 80}
+    far = [p for p in pairs if share[p] <= 50 and len(sets[p[0]]) >= 100]
+    assert len(far) >= 12 and not got & set(far)
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(1, 30)] + [(900, 901), (901, 902), (902, 900), (7, 7)]
