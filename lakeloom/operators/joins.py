@@ -11,16 +11,20 @@ from lakeloom.sources.tables import table
 registry = Registry()
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the half-open ranges [low, high) that hold them, by an equality on buckets of ``width``.
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, parts: int = 8) -> DataFrame:
+    """Points with the half-open ranges [low, high) that hold them, by an equality on cells, so many to a ``width``.
 
-    A range is repeated for each bucket that it touches; with buckets about as wide as ranges that
-    is two or three times, where a plain inequality would compare every point with every range.
+    A range is repeated for each cell that it touches; with ranges about as wide as ``width`` that is once more
+    than ``parts``, where a plain inequality would compare every point with every range. Nearly all pairs of
+    a cell are results. Sides are merged by cell, so rows come out range by range, and the ranges of a cell with
+    nearly the same points in the same order: such rows take little room where they are written.
     """
-    p = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    last = F.floor(F.col(high) / width)
-    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), last)))
-    return p.join(r, "_bucket").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_bucket")
+    cell = width / parts
+    p = points.withColumn("_cell", F.floor(F.col(at) / cell))
+    last = F.floor(F.col(high) / cell)
+    r = ranges.filter(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / cell), last)))
+    both = r.hint("merge").join(p, "_cell").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
+    return both.select(*points.columns, *ranges.columns)
 
 
 def salted_join(large: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, salts: int = 16) -> DataFrame:

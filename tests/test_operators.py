@@ -21,6 +21,21 @@ def test_range_join_equals_the_inequality(spark):
     assert got == want and got
 
 
+def test_range_join_gives_pairs_cell_by_cell(spark):
+    """Points lie anywhere in their table; rows of one cell come together and in the same order of ranges, so that files of them stay small."""
+    points = spark.range(600).select(F.col("id").alias("p"), (F.col("id") * 37 % 100).cast("double").alias("x"))
+    ranges = spark.range(90).select(F.col("id").alias("r"), (F.col("id") * 7 % 90).cast("double").alias("low")).withColumn("high", F.col("low") + 8)
+    rows = joins.range_join(points, ranges, "x", "low", "high", 8.0).select("p", "x", "r").collect()
+    assert len(rows) == 6 * sum(low <= x < low + 8 for x in range(100) for low in range(90))
+    runs = [(int(r.x), r.r) for r in rows]
+    assert sum(a[0] != b[0] for a, b in zip(runs, runs[1:])) == len({c for c, _ in runs}) - 1
+    assert sum(a != b for a, b in zip(runs, runs[1:])) == len(set(runs)) - 1
+    lists = {}
+    for r in rows:
+        lists.setdefault(int(r.x), {}).setdefault(r.r, []).append(r.p)
+    assert all(len({tuple(v) for v in of.values()}) == 1 for of in lists.values())
+
+
 def test_salted_join_equals_the_join(spark):
     a = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 17).alias("k"), "id")
     b = spark.range(40).select((F.col("id") % 20).alias("k"), F.col("id").alias("other"))
