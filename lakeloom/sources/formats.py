@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.plans.registry import Registry
+from lakeloom.sources import databases
 from lakeloom.sources.tables import table
 
 registry = Registry()
@@ -155,22 +156,16 @@ _register("csv", {"header": "true", "escape": '"'}, {"header": "true", "escape":
 _register("xml", {"rowTag": "order"}, {"rowTag": "order"})
 
 
-#: The embedded database that Spark brings along, in memory of one process, so for local mode alone; a cluster sets these options to a
-#: database that all executors reach.
-JDBC = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "url": "jdbc:derby:memory:lakeloom;create=true"}
+#: Options of a database that all executors reach; where there is none, tables go to embedded databases in the shared folder.
+JDBC: dict[str, str] = {}
 
 
 @registry.query("io_jdbc", "SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(12,2)) AS balance FROM customer WHERE c_custkey >= 100")
 def database(spark: SparkSession, d: str) -> DataFrame:
-    """Written to a database table and read back in four parts by key, with the filter pushed down to it."""
-    if ":memory:" in JDBC["url"] and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set lakeloom.sources.formats.JDBC to a database that all executors reach")
-    name = f"customers_{uuid.uuid4().hex}"
+    """Written to a database and read back in four parts or more, with the filter pushed down to it."""
     df = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
-    keys = df.agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high")).first()
-    df.write.format("jdbc").options(**JDBC, dbtable=name).save()
-    parts = {"partitionColumn": "c_custkey", "lowerBound": keys.low or 0, "upperBound": (keys.high or 0) + 1, "numPartitions": 4}
-    return spark.read.format("jdbc").options(**JDBC, dbtable=name, **parts).load().filter("c_custkey >= 100")
+    out = databases.served(df, "c_custkey", JDBC) if JDBC else databases.embedded(df, scratch(spark, "jdbc"))
+    return out.filter("c_custkey >= 100")
 
 
 @registry.query("io_text", "SELECT c_name AS value FROM customer")
